@@ -6,6 +6,8 @@ a walk has at most ten steps.  Sums are capped at 255.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,25 +19,95 @@ MAX_DEPTH = 10
 DEFAULT_WEIGHT = 75
 
 
-def _arcs(nodes: DataFrame, edges: DataFrame, edge_types: DataFrame, col: str, default_weight: int) -> DataFrame:
-    """Live edges into live nodes with what a step along them adds: ``(x, y, gain)``."""
+def _long(value: int) -> Column:
+    return F.lit(value).cast("bigint")
+
+
+def _capped(total: Column) -> Column:
+    return F.least(total, _long(MAX_FACTOR))
+
+
+def _arcs(
+    nodes: DataFrame, edges: DataFrame, edge_types: DataFrame, cols: Sequence[str], default_weight: int
+) -> DataFrame:
+    """Live edges into live nodes with what a step along them adds to each factor: ``x, y`` and one column per factor.
+
+    Every round reads them, so they are written once.
+    """
     weights = edge_types.select("edge_type_id", F.col("factor").alias("_weight"))
     factors = live_rows(nodes, "deleted").select(
-        F.col("identifier").alias("y"), F.col(col).cast("bigint").alias("_factor")
+        F.col("identifier").alias("y"), *[F.col(c).cast("bigint").alias(f"_{c}") for c in cols]
     )
     weight = F.coalesce(F.col("_weight"), F.lit(default_weight)).cast("bigint")
-    gain = F.call_function("div", F.col("_factor") * weight, F.lit(100).cast("bigint"))
-    return (
+    gains = [
+        F.coalesce(F.call_function("div", F.col(f"_{c}") * weight, _long(100)), _long(0)).alias(c) for c in cols
+    ]
+    arcs = (
         live_rows(edges, "deleted")
         .select(F.col("node_to").alias("x"), F.col("node_from").alias("y"), "edge_type_id")
         .join(weights, "edge_type_id", "left")
         .join(factors, "y")
-        .select("x", "y", F.coalesce(gain, F.lit(0).cast("bigint")).alias("gain"))
+        .select("x", "y", *gains)
     )
+    return cut_lineage(arcs)
 
 
-def _capped(total: Column) -> Column:
-    return F.least(total, F.lit(MAX_FACTOR).cast("bigint"))
+def _step(arcs: DataFrame, onward: DataFrame | None, cols: Sequence[str]) -> DataFrame:
+    """Best sums of walks that start with one of the arcs and go on with the best known walk from its end."""
+    if onward is None:
+        return arcs.groupBy("x").agg(*[_capped(F.max(c)).alias(c) for c in cols])
+    known = onward.select(F.col("x").alias("y"), *[F.col(c).alias(f"_{c}") for c in cols])
+    totals = [_capped(F.max(F.col(c) + F.coalesce(F.col(f"_{c}"), _long(0)))).alias(c) for c in cols]
+    return arcs.join(known, "y", "left").groupBy("x").agg(*totals)
+
+
+def _best_walks(arcs: DataFrame, cols: Sequence[str], depth: int, early_stop: bool) -> DataFrame:
+    """Highest sum any walk of up to ``depth`` steps from x collects, per factor.
+
+    What an arc adds does not depend on how the walk got there, and no gain is negative.  So the best walk of k steps
+    from x is the best arc out of x plus the best walk of k-1 steps from its end: the state is one row per node,
+    never one per path or per pair of nodes, and cycles need no care.
+
+    Only nodes that some arc leads into are ever walked through.  All rounds but the last therefore use just the arcs
+    between such nodes; the many nodes nobody inherits from take part once, in the last round.
+    """
+    best = None
+    if depth > 1:
+        inner = cut_lineage(arcs.join(arcs.select(F.col("y").alias("x")).distinct(), "x", "left_semi"))
+        for _ in range(depth - 1):
+            following = _step(inner, best, cols)
+            if early_stop:
+                following = cut_lineage(following)
+                # Sums only grow, so they are final when no row differs from the round before.
+                settled = best is not None and following.join(best, ["x", *cols], "left_anti").isEmpty()
+                best = following
+                if settled:
+                    break
+            else:
+                best = following
+    return _step(arcs, best, cols)
+
+
+def _with_inherited(
+    nodes: DataFrame,
+    edges: DataFrame,
+    edge_types: DataFrame,
+    cols: Sequence[str],
+    depth: int,
+    default_weight: int,
+    early_stop: bool,
+) -> DataFrame:
+    """Nodes with ``<col>_inherited`` for each factor; all factors share the rounds."""
+    best = _best_walks(_arcs(nodes, edges, edge_types, cols, default_weight), cols, depth, early_stop)
+    walked = best.select(F.col("x").alias("identifier"), *[F.col(c).alias(f"_{c}") for c in cols])
+    inherited = {
+        f"{c}_inherited": F.when(
+            F.col("deleted").isNull(),
+            _capped(F.coalesce(F.col(c).cast("bigint"), _long(0)) + F.coalesce(F.col(f"_{c}"), _long(0))),
+        ).otherwise(_long(0))
+        for c in cols
+    }
+    return nodes.join(walked, "identifier", "left").withColumns(inherited).drop(*[f"_{c}" for c in cols])
 
 
 def inherited_factor(
@@ -49,34 +121,23 @@ def inherited_factor(
 ) -> DataFrame:
     """Highest factor sum any walk from each node collects: ``(identifier, inherited)``, 0 for deleted nodes.
 
-    What an edge adds does not depend on how the walk got there, and all gains are at least 0.  So the best walk of
-    k steps from x is the best edge out of x plus the best walk of k-1 steps from its end: the state is one row per
-    node, never one per path or per pair of nodes, and cycles need no care.  A round is one join of the edges with
-    that state and one aggregation; the edge shuffle is the same in every round and Spark reuses it.
-
     ``early_stop`` writes the state after every round and stops once nothing changes, which pays on large graphs
     that are shallower than ``depth``.
     """
-    arcs = _arcs(nodes, edges, edge_types, col, default_weight)
-    best = arcs.groupBy("x").agg(_capped(F.max("gain")).alias("best"))
-    for _ in range(depth - 1):
-        onward = best.select(F.col("x").alias("y"), F.col("best").alias("_onward"))
-        total = F.col("gain") + F.coalesce(F.col("_onward"), F.lit(0).cast("bigint"))
-        following = arcs.join(onward, "y", "left").groupBy("x").agg(_capped(F.max(total)).alias("best"))
-        if early_stop:
-            following = cut_lineage(following)
-            # Sums only grow, so the state is final when no row differs from the round before.
-            settled = following.join(best, ["x", "best"], "left_anti").isEmpty()
-            best = following
-            if settled:
-                break
-        else:
-            best = following
-    own = F.coalesce(F.col(col).cast("bigint"), F.lit(0).cast("bigint"))
-    collected = _capped(own + F.coalesce(F.col("best"), F.lit(0).cast("bigint")))
-    return nodes.join(best.withColumnRenamed("x", "identifier"), "identifier", "left").select(
-        "identifier", F.when(F.col("deleted").isNull(), collected).otherwise(0).cast("bigint").alias("inherited")
-    )
+    out = _with_inherited(nodes, edges, edge_types, [col], depth, default_weight, early_stop)
+    return out.select("identifier", F.col(f"{col}_inherited").alias("inherited"))
+
+
+def with_inherited(
+    nodes: DataFrame,
+    edges: DataFrame,
+    edge_types: DataFrame,
+    depth: int = MAX_DEPTH,
+    default_weight: int = DEFAULT_WEIGHT,
+    early_stop: bool = False,
+) -> DataFrame:
+    """Nodes with both inherited factors, ``a_factor_inherited`` and ``c_factor_inherited``."""
+    return _with_inherited(nodes, edges, edge_types, ["a_factor", "c_factor"], depth, default_weight, early_stop)
 
 
 def reachable(
@@ -95,7 +156,9 @@ def reachable(
     meet in a node merge there, and the walk ends with the first empty level.
     """
     live = live_rows(nodes, "deleted").select("identifier", F.coalesce(F.col(col), F.lit(0)).cast("bigint").alias("_f"))
-    arcs = _arcs(nodes, edges, edge_types, col, default_weight).select(F.col("x").alias("node"), "y", "gain")
+    arcs = _arcs(nodes, edges, edge_types, [col], default_weight).select(
+        F.col("x").alias("node"), "y", F.col(col).alias("_gain")
+    )
     start = live if roots is None else live.join(roots.select("identifier").distinct(), "identifier", "left_semi")
     level = start.select(
         F.col("identifier").alias("root"), F.col("identifier").alias("node"), F.col("_f").alias("accumulated")
@@ -105,7 +168,7 @@ def reachable(
         level = cut_lineage(
             level.join(arcs, "node")
             .groupBy("root", F.col("y").alias("node"))
-            .agg(F.max(_capped(F.col("accumulated") + F.col("gain"))).alias("accumulated"))
+            .agg(F.max(_capped(F.col("accumulated") + F.col("_gain"))).alias("accumulated"))
         )
         if level.isEmpty():
             break
@@ -113,12 +176,3 @@ def reachable(
     best = rows.groupBy("root", "node").agg(F.max("accumulated").alias("accumulated"), F.min("depth").alias("depth"))
     factors = live.select(F.col("identifier").alias("node"), F.col("_f").alias("factor"))
     return best.join(factors, "node").select("root", "node", "factor", "accumulated", "depth")
-
-
-def with_inherited(nodes: DataFrame, edges: DataFrame, edge_types: DataFrame, depth: int = MAX_DEPTH) -> DataFrame:
-    """Nodes with both inherited factors, availability and confidentiality."""
-    out = nodes
-    for col in ("a_factor", "c_factor"):
-        factors = inherited_factor(nodes, edges, edge_types, col, depth)
-        out = out.join(factors.withColumnRenamed("inherited", f"{col}_inherited"), "identifier")
-    return out
