@@ -28,9 +28,13 @@ def plan_directory_changes(
     if state_col in source.columns:
         source = source.where(~F.col(state_col).eqNullSafe(DELETED))
     is_multi = F.col("attribute").isin(list(multi_valued))
+    match = [key, "attribute", "_match"]
 
     def side(df: DataFrame, other: DataFrame, name: str) -> DataFrame:
-        """Values with their match key and whether the other side knows the object."""
+        """Distinct values by match key, and whether the other side knows the object.
+
+        Removing duplicates on the match key leaves the rows partitioned as the pairing join wants them.
+        """
         known = other.select(key).distinct().withColumn("_known", F.lit(True))
         return (
             df.select(key, "attribute", "value")
@@ -40,12 +44,13 @@ def plan_directory_changes(
                 key,
                 "attribute",
                 F.when(is_multi, F.col("value")).otherwise(F.lit("")).alias("_match"),
-                F.struct("value", F.coalesce("_known", F.lit(False)).alias("known")).alias(name),
+                F.struct("value", F.coalesce("_known", F.lit(False)).alias("known")).alias("_row"),
             )
-            .distinct()
+            .groupBy(*match)
+            .agg(F.max("_row").alias(name))
         )
 
-    pairs = side(source, current, "_s").join(side(current, source, "_c"), [key, "attribute", "_match"], "full_outer")
+    pairs = side(source, current, "_s").join(side(current, source, "_c"), match, "full_outer")
     in_source, in_current = F.col("_s").isNotNull(), F.col("_c").isNotNull()
     op = (
         F.when(in_source & ~F.col("_s.known"), "add_object")

@@ -39,16 +39,18 @@ def latest_per_key(
     return ranked.where(F.col("_rank") == 1).drop("_rank").unionByName(loose)
 
 
-def require_unique(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """``df`` unchanged; the job fails when a key occurs twice.
+def one_change_per_key(df: DataFrame, keys: Sequence[str], is_delete: Column) -> DataFrame:
+    """One change per key of an unordered batch: a deletion wins, two upserts of one key fail the job.
 
-    Works inside the plan and on the partitioning a following join on the same keys needs anyway.
+    The choice is an aggregate, so every map task sends one row per key; rows without a key are all kept.
     """
-    position = F.row_number().over(Window.partitionBy(*keys).orderBy(F.lit(1)))
     keyed, loose = split_by_key(df, keys)
-    checked = keyed.withColumn("_position", position).where(
-        F.when(F.col("_position") == 1, True).otherwise(
-            F.raise_error(F.concat(F.lit("duplicate key in one batch: "), F.to_json(F.struct(*keys)))).cast("boolean")
-        )
+    others = [c for c in df.columns if c not in keys]
+    once = keyed.groupBy(*keys).agg(
+        F.max_by(F.struct(*others), is_delete).alias("_row"),
+        F.bool_or(is_delete).alias("_deleted"),
+        F.count_if(~is_delete).alias("_upserts"),
     )
-    return checked.drop("_position").unionByName(loose)
+    message = F.concat(F.lit("several upserts of one key in a batch: "), F.to_json(F.struct(*keys)))
+    valid = F.when(F.col("_deleted") | (F.col("_upserts") == 1), True).otherwise(F.raise_error(message).cast("boolean"))
+    return once.where(valid).select(*keys, "_row.*").unionByName(loose)

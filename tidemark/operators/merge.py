@@ -14,7 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.operators.keys import has_key, latest_per_key, require_unique, split_by_key
+from tidemark.operators.keys import has_key, latest_per_key, one_change_per_key, split_by_key
+from tidemark.session import cut_lineage
 
 CREATED, UPDATED, DELETED, UNCHANGED = "Created", "Updated", "Deleted", "Unchanged"
 
@@ -28,21 +29,33 @@ def _same_columns(target: DataFrame, staged: DataFrame, keys: Sequence[str]) ->
     return [c for c in staged.columns if c not in keys]
 
 
-def outer_pairs(target: DataFrame, staged: DataFrame, keys: Sequence[str]) -> DataFrame:
+def _packed(df: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
+    """Keys and all other columns as one struct, which is null only where a join found no row."""
+    return df.select(*keys, F.struct(*[c for c in df.columns if c not in keys], F.lit(1).alias("_hit")).alias(name))
+
+
+def outer_pairs(target: DataFrame, staged: DataFrame, keys: Sequence[str], broadcast_rows: int = 0) -> DataFrame:
     """Target and staged rows side by side: keys, structs ``_t`` and ``_s`` (null when that side has no row).
 
-    One shuffle of each side on the keys.  Rows without a key are appended unpaired.
+    The general way shuffles each side once on the keys; rows without a key are appended unpaired.  A positive
+    ``broadcast_rows`` first counts the staged rows up to that bound: a batch within it is broadcast, the target is
+    scanned twice (the second time keys only) and not shuffled at all.
     """
+    if broadcast_rows > 0 and staged.limit(broadcast_rows + 1).count() <= broadcast_rows:
+        return _small_pairs(target, cut_lineage(staged), keys)
     t_keyed, t_loose = split_by_key(target, keys)
     s_keyed, s_loose = split_by_key(staged, keys)
+    pairs = _packed(t_keyed, keys, "_t").join(_packed(s_keyed, keys, "_s"), list(keys), "full_outer")
+    pairs = pairs.unionByName(_packed(t_loose, keys, "_t"), allowMissingColumns=True)
+    return pairs.unionByName(_packed(s_loose, keys, "_s"), allowMissingColumns=True)
 
-    def packed(df: DataFrame, name: str) -> DataFrame:
-        return df.select(*keys, F.struct(*[c for c in df.columns if c not in keys], F.lit(1).alias("_hit")).alias(name))
 
-    t_side, s_side = packed(t_keyed, "_t"), packed(s_keyed, "_s")
-    pairs = t_side.join(s_side, list(keys), "full_outer")
-    pairs = pairs.unionByName(packed(t_loose, "_t"), allowMissingColumns=True)
-    return pairs.unionByName(packed(s_loose, "_s"), allowMissingColumns=True)
+def _small_pairs(target: DataFrame, staged: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The same pairs for a batch whose size was checked."""
+    pairs = _packed(target, keys, "_t").join(F.broadcast(_packed(staged, keys, "_s")), list(keys), "left")
+    found = target.select(*keys).join(F.broadcast(staged.select(*keys)), list(keys), "left_semi")
+    new = staged.join(found, list(keys), "left_anti")
+    return pairs.unionByName(_packed(new, keys, "_s"), allowMissingColumns=True)
 
 
 def merged_columns(target: DataFrame, keys: Sequence[str], written: Sequence[str]) -> list[Column]:
@@ -88,35 +101,18 @@ def merge_upsert(
     """Update matching rows with every staged non-key column, insert the others, delete nothing.
 
     ``staged`` holds at most one row per key (see :func:`latest_per_key`).  With ``with_action`` the column
-    ``_action`` tells what happened to each row.  A positive ``broadcast_rows`` first counts the staged rows up to
-    that bound; a batch within it is broadcast and the target is not shuffled at all, a larger one takes the
-    usual full outer join.
+    ``_action`` tells what happened to each row.  ``broadcast_rows`` as in :func:`outer_pairs`.
     """
     written = _same_columns(target, staged, keys)
     if not written and not with_action:
         return insert_missing(target, staged, keys)
-    if broadcast_rows > 0 and not with_action and staged.limit(broadcast_rows + 1).count() <= broadcast_rows:
-        return _upsert_small(target, staged, keys, written)
-    pairs = outer_pairs(target, staged, keys)
+    pairs = outer_pairs(target, staged, keys, broadcast_rows)
     columns = merged_columns(target, keys, written)
     if with_action:
         columns.append(action(target, written).alias("_action"))
     return pairs.select(*columns)
 
 
-def _upsert_small(target: DataFrame, staged: DataFrame, keys: Sequence[str], written: Sequence[str]) -> DataFrame:
-    """Upsert of a batch whose size was checked: the target is scanned twice, the second time keys only."""
-    packed = staged.select(*keys, F.struct(*written, F.lit(1).alias("_hit")).alias("_s"))
-    kept = target.join(F.broadcast(packed), list(keys), "left").select(
-        *[
-            F.when(F.col("_s").isNotNull(), F.col(f"_s.`{c}`")).otherwise(F.col(c)).alias(c) if c in written else c
-            for c in target.columns
-        ]
-    )
-    found = target.select(*keys).join(F.broadcast(staged.select(*keys)), list(keys), "left_semi")
-    return kept.unionByName(staged.join(found, list(keys), "left_anti"), allowMissingColumns=True)
-
-
 def insert_missing(target: DataFrame, staged: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Insert staged rows whose key the target lacks; matching rows stay untouched."""
     new = staged.join(target.select(*keys), list(keys), "left_anti")
@@ -142,17 +138,17 @@ def apply_changes(
     run_ts: object = None,
     seq: str | None = None,
     state_col: str = "_state",
+    broadcast_rows: int = 0,
 ) -> DataFrame:
     """Apply one batch of upserts and deletes.
 
     With ``seq`` the latest change of a key decides; equal or absent sequence values let the deletion win.  Without
     ``seq`` two upserts of one key are an error.  ``deleted_col`` switches to soft deletes stamped with ``run_ts``.
+    ``broadcast_rows`` as in :func:`outer_pairs`.
     """
     is_delete = F.col(state_col).eqNullSafe(DELETED)
     if seq is None:
-        once = latest_per_key(changes.where(is_delete), keys, state_col)
-        live = changes.where(~is_delete).join(once.select(*keys), list(keys), "left_anti")
-        batch = require_unique(live, keys).unionByName(once)
+        batch = one_change_per_key(changes, keys, is_delete)
     else:
         batch = latest_per_key(changes, keys, [F.col(seq), is_delete])
 
@@ -162,7 +158,7 @@ def apply_changes(
     written = [c for c in batch.columns if c not in keys and c not in extra]
     _same_columns(target, batch.drop(*extra), keys)
 
-    pairs = outer_pairs(target, batch, keys)
+    pairs = outer_pairs(target, batch, keys, broadcast_rows)
     if deleted_col is None:
         pairs = pairs.where(~F.col(f"_s.`{state_col}`").eqNullSafe(DELETED))
     return pairs.select(*merged_columns(target, keys, written))

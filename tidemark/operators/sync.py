@@ -70,6 +70,13 @@ def delta_sync(
     seq: str | None = None,
     deleted_col: str | None = None,
     run_ts: object = None,
+    broadcast_rows: int = 0,
 ) -> DataFrame:
-    """The target after a partial source read: apply what changed, never reconcile what is absent."""
-    return apply_changes(target, changes, keys, deleted_col=deleted_col, run_ts=run_ts, seq=seq)
+    """The target after a partial source read: apply what changed, never reconcile what is absent.
+
+    A delta is usually far smaller than its target: give ``broadcast_rows`` to skip the shuffle of the target when
+    the batch turns out to be within that bound.
+    """
+    return apply_changes(
+        target, changes, keys, deleted_col=deleted_col, run_ts=run_ts, seq=seq, broadcast_rows=broadcast_rows
+    )

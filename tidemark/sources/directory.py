@@ -64,6 +64,7 @@ def assemble_records(values: DataFrame, slice_size: int = RANGE_SLICE) -> DataFr
     part = F.coalesce(F.call_function("div", F.col("ordinal"), size), F.lit(0).cast("bigint")).cast("int")
     parts = (
         values.withColumn("slice", part)
+        .repartition("dn", "slice")  # serves both aggregations
         .groupBy("dn", "slice", F.lower("attribute").alias("attribute"))
         .agg(
             F.sort_array(
