@@ -61,8 +61,7 @@ CASES = {
 WEIGHTS = {"full": 100, "half": 50, "none": 0}
 
 
-@pytest.mark.parametrize("case", CASES)
-@pytest.mark.parametrize("early_stop", [False, True])
+@pytest.mark.parametrize(("case", "early_stop"), [*((c, False) for c in CASES), ("cycle", True), ("long chain", True)])
 def test_inherited_factor(spark, case, early_stop):
     nodes, edges = CASES[case]
     want = {root: max(acc for acc, _ in reach.values()) for root, reach in walk(nodes, edges, WEIGHTS).items()}

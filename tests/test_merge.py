@@ -6,9 +6,17 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from tidemark.operators import merge
-from tidemark.operators.changes import change_summary, classify_changes, delta_between, purge_expired, shadow_snapshot, with_audit_columns
-from tidemark.operators.keys import latest_per_key
+from tidemark.operators.changes import (
+    change_summary,
+    classify_changes,
+    delta_between,
+    purge_expired,
+    shadow_snapshot,
+    with_audit_columns,
+)
+from tidemark.operators.keys import latest_per_key, rejected_rows
 from tidemark.operators.sync import DeletionThresholdExceeded, delta_sync, full_sync
+from tidemark.sources.mapping import ignore_case
 from tidemark.sources.snapshots import write_bucketed
 
 RUN = "2024-05-01 10:00:00"
@@ -62,6 +70,29 @@ def test_unknown_column_is_an_error(spark, target):
         merge.merge_upsert(target, frame(spark, [(1, "x")], "id int, nope string"), ["id"])
 
 
+@pytest.mark.parametrize("broadcast_rows", [0, 10])
+def test_a_repeated_staged_key_fails(spark, target, broadcast_rows):
+    staged = frame(spark, [(2, "x", None), (2, "y", None)])
+    with pytest.raises(PySparkException, match="a key occurs twice"):
+        merge.merge_upsert(target, staged, ["id"], broadcast_rows=broadcast_rows).collect()
+
+
+def test_rejected_rows(spark, rows):
+    df = frame(spark, [(1, "a", None), (1, "b", None), (None, "c", None), (2, "d", None)])
+    assert rows(rejected_rows(df, ["id"]), "name", "reject_reason") == [
+        ("a", "key occurs twice"),
+        ("b", "key occurs twice"),
+        ("c", "key missing"),
+    ]
+
+
+def test_keys_may_ignore_case(spark, rows):
+    target = ignore_case(frame(spark, [("Ann", 1), ("Bob", 2)], "name string, n int"), ["name"])
+    staged = ignore_case(frame(spark, [("ANN", 9), ("cid", 3)], "name string, n int"), ["name"])
+    assert rows(merge.merge_upsert(target, staged, ["name"])) == [("Ann", 9), ("Bob", 2), ("cid", 3)]
+    assert rows(target.where("name = 'BOB'"), "n") == [(2,)]
+
+
 def test_upsert_twice_equals_once(spark, target, rows):
     staged = frame(spark, [(2, "x", None), (3, "y", "z")])
     once = merge.merge_upsert(target, staged, ["id"])

@@ -29,7 +29,7 @@ def classify_changes(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> Dat
         F.when(F.col("_s").isNull(), F.col(f"_t.`{f.name}`")).otherwise(F.col(f"_s.`{f.name}`")).alias(f.name)
         for f in values
     ]
-    return outer_pairs(old.select(*new.columns), new, keys).select(*keys, *kept, state.alias("_state"))
+    return outer_pairs(old.select(*new.columns), new, keys, unique=True).select(*keys, *kept, state.alias("_state"))
 
 
 def delta_between(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -140,6 +140,27 @@ def with_inherited(
     return _with_inherited(nodes, edges, edge_types, ["a_factor", "c_factor"], depth, default_weight, early_stop)
 
 
+def _walks(start: DataFrame, arcs: DataFrame, depth: int) -> DataFrame:
+    """Levels of the walk from every start node: ``(root, node, gain, depth)``, one row per pair and level.
+
+    Paths that meet in a node merge there.  Every level is written once and read by the next one and by the result;
+    the walk ends with the first empty level.
+    """
+    level = start.select("root", F.col("root").alias("node"), _long(0).alias("gain"))
+    rows = level.withColumn("depth", F.lit(0))
+    steps = arcs.select(F.col("x").alias("node"), "y", F.col("gain").alias("_gain"))
+    for step in range(1, depth + 1):
+        level = cut_lineage(
+            level.join(steps, "node")
+            .groupBy("root", F.col("y").alias("node"))
+            .agg(_capped(F.max(F.col("gain") + F.col("_gain"))).alias("gain"))
+        )
+        if level.isEmpty():
+            break
+        rows = rows.unionByName(level.withColumn("depth", F.lit(step)))
+    return rows
+
+
 def reachable(
     nodes: DataFrame,
     edges: DataFrame,
@@ -152,27 +173,32 @@ def reachable(
     """Nodes each root reaches: ``(root, node, factor, accumulated, depth)`` with the best sum and the fewest steps.
 
     ``roots`` (column ``identifier``) limits the starting nodes; without it all live nodes start.  The result is a
-    table of node pairs by nature, so every level is written to the shared folder and computed once; paths that
-    meet in a node merge there, and the walk ends with the first empty level.
+    table of node pairs by nature.  Without ``roots`` only nodes that some arc leads into are walked from level by
+    level; every other node adds its first step to their finished walks in a single join.
     """
-    live = live_rows(nodes, "deleted").select("identifier", F.coalesce(F.col(col), F.lit(0)).cast("bigint").alias("_f"))
-    arcs = _arcs(nodes, edges, edge_types, [col], default_weight).select(
-        F.col("x").alias("node"), "y", F.col(col).alias("_gain")
-    )
-    start = live if roots is None else live.join(roots.select("identifier").distinct(), "identifier", "left_semi")
-    level = start.select(
-        F.col("identifier").alias("root"), F.col("identifier").alias("node"), F.col("_f").alias("accumulated")
+    live = live_rows(nodes, "deleted").select(
+        F.col("identifier").alias("root"), F.coalesce(F.col(col).cast("bigint"), _long(0)).alias("own")
     )
-    rows = level.withColumn("depth", F.lit(0))
-    for step in range(1, depth + 1):
-        level = cut_lineage(
-            level.join(arcs, "node")
-            .groupBy("root", F.col("y").alias("node"))
-            .agg(F.max(_capped(F.col("accumulated") + F.col("_gain"))).alias("accumulated"))
+    arcs = _arcs(nodes, edges, edge_types, [col], default_weight).withColumnRenamed(col, "gain")
+    best = [F.max("gain").alias("gain"), F.min("depth").alias("depth")]
+    if roots is not None:
+        start = live.join(roots.select(F.col("identifier").alias("root")).distinct(), "root", "left_semi")
+        pairs = _walks(start, arcs, depth).groupBy("root", "node").agg(*best)
+    else:
+        entered = arcs.select(F.col("y").alias("root")).distinct()
+        inner = _walks(live.join(entered, "root", "left_semi"), arcs, depth)
+        outside = live.join(entered, "root", "left_anti").select("root")
+        onward = inner.where(F.col("depth") < depth).groupBy("root", "node").agg(*best)
+        onward = onward.select(F.col("root").alias("y"), "node", F.col("gain").alias("_gain"), "depth")
+        first = arcs.withColumnRenamed("x", "root").join(outside, "root", "left_semi")
+        outer = first.join(onward, "y").groupBy("root", "node").agg(
+            _capped(F.max(F.col("gain") + F.col("_gain"))).alias("gain"), (F.min("depth") + 1).alias("depth")
         )
-        if level.isEmpty():
-            break
-        rows = rows.unionByName(level.withColumn("depth", F.lit(step)))
-    best = rows.groupBy("root", "node").agg(F.max("accumulated").alias("accumulated"), F.min("depth").alias("depth"))
-    factors = live.select(F.col("identifier").alias("node"), F.col("_f").alias("factor"))
-    return best.join(factors, "node").select("root", "node", "factor", "accumulated", "depth")
+        alone = outside.select("root", F.col("root").alias("node"), _long(0).alias("gain"), F.lit(0).alias("depth"))
+        pairs = inner.groupBy("root", "node").agg(*best).unionByName(outer).unionByName(alone)
+    factors = live.select(F.col("root").alias("node"), F.col("own").alias("factor"))
+    return (
+        pairs.join(live, "root")
+        .join(factors, "node")
+        .select("root", "node", "factor", _capped(F.col("own") + F.col("gain")).alias("accumulated"), "depth")
+    )

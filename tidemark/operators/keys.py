@@ -39,6 +39,29 @@ def latest_per_key(
     return ranked.where(F.col("_rank") == 1).drop("_rank").unionByName(loose)
 
 
+def require_unique(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``df`` unchanged; the job fails when a key occurs twice.
+
+    The check runs on the partitioning and sort order that a following join on the same keys needs anyway.
+    """
+    keyed, loose = split_by_key(df, keys)
+    message = F.concat(F.lit("a key occurs twice in one batch: "), F.to_json(F.struct(*keys)))
+    first = F.when(F.col("_position") == 1, True).otherwise(F.raise_error(message).cast("boolean"))
+    position = F.row_number().over(Window.partitionBy(*keys).orderBy(*keys))
+    return keyed.withColumn("_position", position).where(first).drop("_position").unionByName(loose)
+
+
+def rejected_rows(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows a keyed write cannot place, with ``reject_reason``: a key column is missing, or the key occurs twice.
+
+    A run that has any counts as failed: it commits no state and reconciles nothing.
+    """
+    keyed, loose = split_by_key(df, keys)
+    repeated = keyed.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > 1).drop("_n")
+    twice = keyed.join(repeated, list(keys), "left_semi").withColumn("reject_reason", F.lit("key occurs twice"))
+    return loose.withColumn("reject_reason", F.lit("key missing")).unionByName(twice)
+
+
 def one_change_per_key(df: DataFrame, keys: Sequence[str], is_delete: Column) -> DataFrame:
     """One change per key of an unordered batch: a deletion wins, two upserts of one key fail the job.
 

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.operators.keys import has_key, latest_per_key, one_change_per_key, split_by_key
+from tidemark.operators.keys import has_key, latest_per_key, one_change_per_key, require_unique, split_by_key
 from tidemark.session import cut_lineage
 
 CREATED, UPDATED, DELETED, UNCHANGED = "Created", "Updated", "Deleted", "Unchanged"
@@ -34,17 +34,24 @@ def _packed(df: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
     return df.select(*keys, F.struct(*[c for c in df.columns if c not in keys], F.lit(1).alias("_hit")).alias(name))
 
 
-def outer_pairs(target: DataFrame, staged: DataFrame, keys: Sequence[str], broadcast_rows: int = 0) -> DataFrame:
+def outer_pairs(
+    target: DataFrame, staged: DataFrame, keys: Sequence[str], broadcast_rows: int = 0, unique: bool = False
+) -> DataFrame:
     """Target and staged rows side by side: keys, structs ``_t`` and ``_s`` (null when that side has no row).
 
     The general way shuffles each side once on the keys; rows without a key are appended unpaired.  A positive
     ``broadcast_rows`` first counts the staged rows up to that bound: a batch within it is broadcast, the target is
     scanned twice (the second time keys only) and not shuffled at all.
+
+    A staged key that occurs twice fails the job, unless the caller knows that keys are ``unique``.
     """
+    checked = staged if unique else require_unique(staged, keys)
     if broadcast_rows > 0 and staged.limit(broadcast_rows + 1).count() <= broadcast_rows:
-        return _small_pairs(target, cut_lineage(staged), keys)
+        return _small_pairs(target, cut_lineage(checked), keys)
     t_keyed, t_loose = split_by_key(target, keys)
     s_keyed, s_loose = split_by_key(staged, keys)
+    if not unique:
+        s_keyed = require_unique(s_keyed, keys)
     pairs = _packed(t_keyed, keys, "_t").join(_packed(s_keyed, keys, "_s"), list(keys), "full_outer")
     pairs = pairs.unionByName(_packed(t_loose, keys, "_t"), allowMissingColumns=True)
     return pairs.unionByName(_packed(s_loose, keys, "_s"), allowMissingColumns=True)
@@ -100,7 +107,7 @@ def merge_upsert(
 ) -> DataFrame:
     """Update matching rows with every staged non-key column, insert the others, delete nothing.
 
-    ``staged`` holds at most one row per key (see :func:`latest_per_key`).  With ``with_action`` the column
+    ``staged`` holds one row per key (see :func:`latest_per_key`), else the job fails.  With ``with_action`` the column
     ``_action`` tells what happened to each row.  ``broadcast_rows`` as in :func:`outer_pairs`.
     """
     written = _same_columns(target, staged, keys)
@@ -115,7 +122,7 @@ def merge_upsert(
 
 def insert_missing(target: DataFrame, staged: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Insert staged rows whose key the target lacks; matching rows stay untouched."""
-    new = staged.join(target.select(*keys), list(keys), "left_anti")
+    new = require_unique(staged, keys).join(target.select(*keys), list(keys), "left_anti")
     return target.unionByName(new, allowMissingColumns=True)
 
 
@@ -158,7 +165,7 @@ def apply_changes(
     written = [c for c in batch.columns if c not in keys and c not in extra]
     _same_columns(target, batch.drop(*extra), keys)
 
-    pairs = outer_pairs(target, batch, keys, broadcast_rows)
+    pairs = outer_pairs(target, batch, keys, broadcast_rows, unique=True)
     if deleted_col is None:
         pairs = pairs.where(~F.col(f"_s.`{state_col}`").eqNullSafe(DELETED))
     return pairs.select(*merged_columns(target, keys, written))

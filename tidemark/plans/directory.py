@@ -239,6 +239,43 @@ def parse_repl_metadata(t: Tables) -> DataFrame:
     )
 
 
+@query(
+    "parse_repl_value_metadata",
+    """
+    SELECT event_id AS dn, 'member' AS attribute, 'CN=u' || user_id AS object_dn, length(props)::INTEGER AS data_size,
+           epoch_us(ts) AS created_micros, CASE WHEN event_type = 'error' THEN epoch_us(ts) END AS deleted_micros,
+           event_type = 'error' AS is_deleted
+    FROM events
+    """,
+)
+def parse_repl_value_metadata(t: Tables) -> DataFrame:
+    """One value document per event inside a blob document; errors are deleted values."""
+    ticks = _filetime_of("ts").cast("string")
+    xml = F.concat(
+        F.lit("<DS_REPL_VALUE_META_DATA_BLOB><DS_REPL_VALUE_META_DATA><pszAttributeName>member</pszAttributeName>"),
+        F.lit("<pszObjectDn>CN=u"),
+        F.col("user_id").cast("string"),
+        F.lit("</pszObjectDn><cbData>"),
+        F.length("props").cast("string"),
+        F.lit("</cbData><ftimeCreated>"),
+        ticks,
+        F.lit("</ftimeCreated><ftimeDeleted>"),
+        F.when(F.col("event_type") == "error", ticks).otherwise("0"),
+        F.lit("</ftimeDeleted></DS_REPL_VALUE_META_DATA></DS_REPL_VALUE_META_DATA_BLOB>"),
+    )
+    documents = t.events.select(F.col("event_id").alias("dn"), xml.alias("xml"))
+    rows = directory.parse_repl_metadata(documents, "xml", values=True)
+    return rows.select(
+        "dn",
+        "attribute",
+        "object_dn",
+        "data_size",
+        F.unix_micros("created").alias("created_micros"),
+        F.unix_micros("deleted").alias("deleted_micros"),
+        "is_deleted",
+    )
+
+
 @query(
     "plan_directory_changes",
     """

@@ -235,6 +235,29 @@ def identity_view(t: Tables) -> DataFrame:
     return views.identity_view(identities, units)
 
 
+@query(
+    "identity_page",
+    """
+    SELECT c_custkey AS id, c_name AS display_name FROM customer WHERE c_acctbal >= 0
+    ORDER BY c_name, c_custkey LIMIT 100
+    """,
+)
+def identity_page(t: Tables) -> DataFrame:
+    """The default page of identities: by display name, the key breaking ties."""
+    live = t.customer.where("c_acctbal >= 0").withColumnsRenamed({"c_custkey": "id", "c_name": "display_name"})
+    return read.entity_read(live, ["id", "display_name"], order=["display_name", "id"], top=100)
+
+
+@query(
+    "newest_first_page",
+    "SELECT event_id, ts FROM events WHERE event_type <> 'error' ORDER BY ts DESC, event_id LIMIT 100",
+)
+def newest_first_page(t: Tables) -> DataFrame:
+    """The default page of approval requests and the like: newest first."""
+    live = t.events.where("event_type <> 'error'")
+    return read.entity_read(live, ["event_id", "ts"], order=[("ts", "desc"), "event_id"], top=100)
+
+
 @query(
     "approval_view",
     """

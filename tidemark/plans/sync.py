@@ -11,11 +11,12 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import changes, merge
 from tidemark.operators import sync as sync_ops
-from tidemark.operators.keys import latest_per_key
+from tidemark.operators.keys import latest_per_key, rejected_rows
 
 from tidemark.plans.registry import Tables, query
 from tidemark.session import work_path
 from tidemark.sources import tables
+from tidemark.sources.mapping import ignore_case
 from tidemark.sources.state import commit_state, load_state
 
 RUN_TS = "2024-02-01 12:00:00"
@@ -114,6 +115,41 @@ def merge_counters(t: Tables) -> DataFrame:
     return merged.groupBy("_action").agg(F.count(F.lit(1)).alias("rows"))
 
 
+@query(
+    "rejected_rows",
+    """
+    WITH staged AS (SELECT nullif(l_orderkey, l_partkey) AS id, l_linenumber AS line, l_suppkey AS supplier FROM lineitem)
+    SELECT id, line, supplier, CASE WHEN id IS NULL THEN 'key missing' ELSE 'key occurs twice' END AS reject_reason
+    FROM staged QUALIFY id IS NULL OR count(*) OVER (PARTITION BY id, line) > 1
+    """,
+)
+def rejected(t: Tables) -> DataFrame:
+    staged = t.lineitem.select(
+        F.nullif("l_orderkey", "l_partkey").alias("id"),
+        F.col("l_linenumber").alias("line"),
+        F.col("l_suppkey").alias("supplier"),
+    )
+    return rejected_rows(staged, ["id", "line"])
+
+
+@query(
+    "merge_ignoring_case",
+    """
+    SELECT coalesce(t.p_name, s.name) AS name, CASE WHEN s.name IS NULL THEN t.n ELSE s.n END AS n
+    FROM (SELECT p_name, count(*) AS n FROM part GROUP BY 1) t
+    FULL JOIN (SELECT upper(replace(p_name, 'ring', 'knob')) AS name, CAST(max(p_size) AS BIGINT) AS n FROM part GROUP BY 1) s
+      ON lower(t.p_name) = lower(s.name)
+    """,
+)
+def merge_ignoring_case(t: Tables) -> DataFrame:
+    """Part names in upper case meet their lower-case counterparts; the matched rows keep the target's spelling."""
+    target = t.part.groupBy(F.col("p_name").alias("name")).agg(F.count(F.lit(1)).alias("n"))
+    renamed = F.upper(F.replace("p_name", F.lit("ring"), F.lit("knob")))
+    staged = t.part.groupBy(renamed.alias("name")).agg(F.max("p_size").cast("bigint").alias("n"))
+    merged = merge.merge_upsert(ignore_case(target, ["name"]), ignore_case(staged, ["name"]), ["name"])
+    return merged.withColumn("name", F.collate("name", "UTF8_BINARY"))
+
+
 @query(
     "delete_by_key",
     f"WITH {TARGET_SQL} SELECT * FROM target WHERE id NOT IN (SELECT id FROM source WHERE label = 'R')",

@@ -73,6 +73,14 @@ def align_to_target(df: DataFrame, schema: T.StructType, keys: Sequence[str]) ->
     return df.select(*[F.col(by_name[f.name.lower()]).cast(f.dataType).alias(f.name) for f in common])
 
 
+def ignore_case(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """Compare these text columns without regard to case, as databases with a case-insensitive collation do.
+
+    Filters, joins and merges on the columns follow; the text itself keeps its case.
+    """
+    return df.withColumns({c: F.collate(F.col(c), "UTF8_LCASE") for c in cols})
+
+
 def typed_properties(df: DataFrame, json_col: str) -> DataFrame:
     """One row per top-level property of a JSON object, typed as text, int64 or decimal, boolean, null or raw JSON."""
     others = [c for c in df.columns if c != json_col]
