@@ -39,16 +39,15 @@ def latest_per_key(
     return ranked.where(F.col("_rank") == 1).drop("_rank").unionByName(loose)
 
 
-def require_unique(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """``df`` unchanged; the job fails when a key occurs twice.
+def require_unique(keyed: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``keyed`` unchanged; the job fails when a key occurs twice.  All rows must have a key.
 
     The check runs on the partitioning and sort order that a following join on the same keys needs anyway.
     """
-    keyed, loose = split_by_key(df, keys)
     message = F.concat(F.lit("a key occurs twice in one batch: "), F.to_json(F.struct(*keys)))
     first = F.when(F.col("_position") == 1, True).otherwise(F.raise_error(message).cast("boolean"))
     position = F.row_number().over(Window.partitionBy(*keys).orderBy(*keys))
-    return keyed.withColumn("_position", position).where(first).drop("_position").unionByName(loose)
+    return keyed.withColumn("_position", position).where(first).drop("_position")
 
 
 def rejected_rows(df: DataFrame, keys: Sequence[str]) -> DataFrame:

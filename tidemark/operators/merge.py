@@ -45,13 +45,12 @@ def outer_pairs(
 
     A staged key that occurs twice fails the job, unless the caller knows that keys are ``unique``.
     """
-    checked = staged if unique else require_unique(staged, keys)
-    if broadcast_rows > 0 and staged.limit(broadcast_rows + 1).count() <= broadcast_rows:
-        return _small_pairs(target, cut_lineage(checked), keys)
-    t_keyed, t_loose = split_by_key(target, keys)
     s_keyed, s_loose = split_by_key(staged, keys)
     if not unique:
         s_keyed = require_unique(s_keyed, keys)
+    if broadcast_rows > 0 and staged.limit(broadcast_rows + 1).count() <= broadcast_rows:
+        return _small_pairs(target, cut_lineage(s_keyed.unionByName(s_loose)), keys)
+    t_keyed, t_loose = split_by_key(target, keys)
     pairs = _packed(t_keyed, keys, "_t").join(_packed(s_keyed, keys, "_s"), list(keys), "full_outer")
     pairs = pairs.unionByName(_packed(t_loose, keys, "_t"), allowMissingColumns=True)
     return pairs.unionByName(_packed(s_loose, keys, "_s"), allowMissingColumns=True)
@@ -122,8 +121,9 @@ def merge_upsert(
 
 def insert_missing(target: DataFrame, staged: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Insert staged rows whose key the target lacks; matching rows stay untouched."""
-    new = require_unique(staged, keys).join(target.select(*keys), list(keys), "left_anti")
-    return target.unionByName(new, allowMissingColumns=True)
+    keyed, loose = split_by_key(staged, keys)
+    new = require_unique(keyed, keys).join(target.select(*keys), list(keys), "left_anti")
+    return target.unionByName(new, allowMissingColumns=True).unionByName(loose, allowMissingColumns=True)
 
 
 def delete_by_key(target: DataFrame, dead: DataFrame, keys: Sequence[str]) -> DataFrame:
