@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.functions.times import wall_clock
+
 COMPARISONS = {"eq": eq, "ne": ne, "gt": gt, "ge": ge, "lt": lt, "le": le}
 TEXT_TESTS = {"contains": F.contains, "startswith": F.startswith, "endswith": F.endswith}
 CONNECTIVES = {"and": and_, "or": or_}
@@ -24,6 +26,8 @@ def typed_literal(value: object, data_type: T.DataType) -> Column:
     """A literal of the column's own type where the caller gave text, so that the filter still reaches the scan."""
     if isinstance(value, uuid.UUID):
         return F.lit(str(value))
+    if isinstance(data_type, T.TimestampNTZType):
+        return wall_clock(value)
     if isinstance(value, str) and not isinstance(data_type, T.StringType):
         return F.lit(value).cast(data_type)
     return F.lit(value)

@@ -9,6 +9,7 @@ from operator import and_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions.times import wall_clock
 from tidemark.operators.merge import CREATED, DELETED, UNCHANGED, UPDATED, outer_pairs, same_value
 
 
@@ -55,7 +56,7 @@ def with_audit_columns(df: DataFrame, run_ts: object, user: str, action_col: str
     """
     created = F.col(action_col) == CREATED
     touched = F.col(action_col).isin(CREATED, UPDATED)
-    stamp = F.lit(run_ts).cast("timestamp_ntz")
+    stamp = wall_clock(run_ts)
 
     def previous(name: str, data_type: str) -> Column:
         return F.col(name) if name in df.columns else F.lit(None).cast(data_type)
@@ -76,6 +77,6 @@ def purge_expired(
     df: DataFrame, inserted_col: str, deleted_col: str, as_of: object, days: int = 90
 ) -> DataFrame:
     """Drop rows that were inserted more than ``days`` before ``as_of`` and are soft-deleted."""
-    cutoff = F.lit(as_of).cast("timestamp_ntz") - F.make_dt_interval(F.lit(days))
+    cutoff = wall_clock(as_of) - F.make_dt_interval(F.lit(days))
     expired = (F.col(inserted_col) < cutoff) & F.col(deleted_col).isNotNull()
     return df.where(~F.coalesce(expired, F.lit(False)))

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.functions.times import wall_clock
 from tidemark.operators.keys import has_key, latest_per_key, one_change_per_key, require_unique, split_by_key
 from tidemark.session import cut_lineage
 
@@ -133,7 +134,7 @@ def delete_by_key(target: DataFrame, dead: DataFrame, keys: Sequence[str]) -> Da
 
 def stamp_deleted(df: DataFrame, deleted_col: str, run_ts: object, state_col: str = "_state") -> DataFrame:
     """Set the deletion column: the run time on rows reported deleted, null on all others, which reinstates them."""
-    stamp = F.when(F.col(state_col) == DELETED, F.lit(run_ts)).cast("timestamp_ntz")
+    stamp = F.when(F.col(state_col) == DELETED, wall_clock(run_ts))
     return df.withColumn(deleted_col, stamp)
 
 
@@ -188,7 +189,7 @@ def reconcile_deletes(
         return keyed.join(seen_keys, list(keys), "left_semi").unionByName(loose)
     marked = target.join(seen_keys.withColumn("_seen", F.lit(True)), list(keys), "left")
     gone = has_key(keys) & F.col("_seen").isNull() & F.col(deleted_col).isNull()
-    stamp = F.when(gone, F.lit(run_ts).cast("timestamp_ntz")).otherwise(F.col(deleted_col))
+    stamp = F.when(gone, wall_clock(run_ts)).otherwise(F.col(deleted_col))
     return marked.withColumn(deleted_col, stamp).select(*target.columns)
 
 

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions.times import wall_clock
 from tidemark.operators.merge import apply_changes, deletion_guard, merged_columns, outer_pairs
 
 DEFAULT_DELETE_PERCENTAGE = 10
@@ -54,10 +55,9 @@ def full_sync(
     if deleted_col is None:
         return pairs.where(~(unseen & keyed)).select(*merged_columns(target, keys, written))
     stamp = (
-        F.when(~unseen, F.lit(None))
-        .when(keyed & F.col(f"_t.`{deleted_col}`").isNull(), F.lit(run_ts))
+        F.when(~unseen, wall_clock(None))
+        .when(keyed & F.col(f"_t.`{deleted_col}`").isNull(), wall_clock(run_ts))
         .otherwise(F.col(f"_t.`{deleted_col}`"))
-        .cast("timestamp_ntz")
     )
     columns = merged_columns(target.drop(deleted_col), keys, written)
     return pairs.select(*columns, stamp.alias(deleted_col)).select(*target.columns)

@@ -6,6 +6,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.functions.times import wall_clock
+
 STATE_SCHEMA = "config_name string, source_id string, kind string, value string, updated_at timestamp_ntz"
 
 
@@ -48,5 +50,5 @@ def commit_state(
         F.col("s").alias("source_id"),
         F.col("k").alias("kind"),
         F.col("v").alias("value"),
-        F.lit(updated_at).cast("timestamp_ntz").alias("updated_at"),
+        wall_clock(updated_at).alias("updated_at"),
     ).coalesce(1).write.mode("append").json(path)
