@@ -18,6 +18,10 @@ FLAGS = ("boolean", "integer", "long", "double", "datetime", "guid", "bytes", "s
 DEFAULT_TYPE = "Default"
 
 
+def _entity_type(by: str | None) -> Column:
+    return F.coalesce(F.col(by).cast("string"), F.lit(DEFAULT_TYPE)) if by else F.lit(DEFAULT_TYPE)
+
+
 def _flag_of(data_type: T.DataType, is_guid: bool) -> str:
     if is_guid:
         return "guid"
@@ -36,25 +40,6 @@ def _flag_of(data_type: T.DataType, is_guid: bool) -> str:
     return "string"
 
 
-def _statistics(
-    is_null: Column, flags: dict[str, Column], length: Column, unicode: Column, number: Column
-) -> list[Column]:
-    """The aggregates of one property, as named columns."""
-
-    def seen(condition: Column) -> Column:
-        return F.coalesce(F.max(condition), F.lit(False))
-
-    return [
-        F.count(F.lit(1)).alias("observations"),
-        F.count_if(is_null).alias("nulls"),
-        F.coalesce(F.max(length), F.lit(0)).alias("max_length"),
-        seen(unicode).alias("has_unicode"),
-        *[seen(flags[name]).alias(f"has_{name}") for name in FLAGS],
-        F.min(number).alias("min_integer"),
-        F.max(number).alias("max_integer"),
-    ]
-
-
 def profile_properties(
     df: DataFrame,
     by: str | None = None,
@@ -63,39 +48,47 @@ def profile_properties(
 ) -> DataFrame:
     """Profile of every column per entity type: one scan, one aggregation, one row per type and property.
 
-    Arrays, maps and structs are profiled as their JSON text.  Every row observes every column.
+    A column has one type, so at most three aggregates per column tell all: how many values, and the length and
+    character range of text or the bounds of whole numbers.  Arrays, maps and structs are profiled as their JSON
+    text.  Every row observes every column.
     """
     names = [c for c in (columns or df.columns) if c != by]
-    entity_type = F.coalesce(F.col(by).cast("string"), F.lit(DEFAULT_TYPE)) if by else F.lit(DEFAULT_TYPE)
-    no_text, no_number = F.lit(None).cast("int"), F.lit(None).cast("bigint")
-    per_column = []
-    for name in names:
-        data_type = df.schema[name].dataType
+    aggregates, rows = [F.count(F.lit(1)).alias("rows")], []
+    for i, name in enumerate(names):
+        data_type, value = df.schema[name].dataType, F.col(name)
         kind = _flag_of(data_type, name in guid_columns)
-        value = F.col(name)
-        nested = isinstance(data_type, T.ArrayType | T.MapType | T.StructType | T.VariantType)
-        flags = {f: value.isNotNull() if f == kind else F.lit(False) for f in FLAGS}
-        length = no_text
+        measures = {"values": F.count(value)}
         if kind == "bytes":
-            length = F.octet_length(value)
+            measures["length"] = F.max(F.octet_length(value))
+        elif isinstance(data_type, T.StringType) and kind == "string":
+            measures |= {"length": F.max(utf16_length(value)), "unicode": F.max(has_unicode(value))}
         elif kind == "string":
-            length = utf16_length(F.to_json(value) if nested else value.cast("string"))
-        unicode = has_unicode(value) if kind == "string" and not nested else F.lit(False)
-        number = value.cast("bigint") if kind in ("integer", "long") else no_number
-        per_column.append((name, _statistics(value.isNull(), flags, length, unicode, number)))
-
-    wide = df.groupBy(entity_type.alias("entity_type")).agg(
-        *[s.alias(f"{i}.{j}") for i, (_, stats) in enumerate(per_column) for j, s in enumerate(stats)]
-    )
-    fields = ["observations", "nulls", "max_length", "has_unicode", *[f"has_{f}" for f in FLAGS]]
-    fields += ["min_integer", "max_integer"]
-    rows = F.array(
-        *[
-            F.struct(F.lit(name).alias("property"), *[F.col(f"`{i}.{j}`").alias(f) for j, f in enumerate(fields)])
-            for i, (name, _) in enumerate(per_column)
-        ]
+            measures["length"] = F.max(utf16_length(F.to_json(value)))
+        elif kind in ("integer", "long"):
+            measures |= {"low": F.min(value), "high": F.max(value)}
+        aggregates += [measure.alias(f"{i}.{m}") for m, measure in measures.items()]
+
+        def got(m: str, data_type: str, i: int = i, known: dict[str, Column] = measures) -> Column:
+            return (F.col(f"`{i}.{m}`") if m in known else F.lit(None)).cast(data_type)
+
+        found = got("values", "bigint") > 0
+        rows.append(
+            F.struct(
+                F.lit(name).alias("property"),
+                F.col("rows").alias("observations"),
+                (F.col("rows") - got("values", "bigint")).alias("nulls"),
+                F.coalesce(got("length", "int"), F.lit(0)).alias("max_length"),
+                F.coalesce(got("unicode", "boolean"), F.lit(False)).alias("has_unicode"),
+                *[(found if f == kind else F.lit(False)).alias(f"has_{f}") for f in FLAGS],
+                got("low", "bigint").alias("min_integer"),
+                got("high", "bigint").alias("max_integer"),
+            )
+        )
+    return (
+        df.groupBy(_entity_type(by).alias("entity_type"))
+        .agg(*aggregates)
+        .select("entity_type", F.inline(F.array(*rows)))
     )
-    return wide.select("entity_type", F.inline(rows))
 
 
 def profile_bag(df: DataFrame, bag_col: str, by: str | None = None) -> DataFrame:
@@ -106,12 +99,14 @@ def profile_bag(df: DataFrame, bag_col: str, by: str | None = None) -> DataFrame
     bag = F.col(bag_col)
     if isinstance(df.schema[bag_col].dataType, T.StringType):
         bag = F.from_json(bag, "map<string,variant>")
-    entity_type = F.coalesce(F.col(by).cast("string"), F.lit(DEFAULT_TYPE)) if by else F.lit(DEFAULT_TYPE)
-    entries = df.select(entity_type.alias("entity_type"), F.explode(bag).alias("_key", "_value")).select(
+    # Reading the kind and the text once, before the aggregation, keeps its many uses cheap.
+    entries = df.select(_entity_type(by).alias("entity_type"), F.explode(bag).alias("_key", "_value")).select(
         "entity_type",
         F.lower("_key").alias("property"),
-        "_value",
         F.schema_of_variant("_value").alias("_kind"),
+        F.try_variant_get("_value", "$", "string").alias("_text"),
+        F.try_variant_get("_value", "$", "bigint").alias("_number"),
+        F.octet_length(F.try_variant_get("_value", "$", "binary")).alias("_octets"),
     )
     kind = F.col("_kind")
     flags = {
@@ -124,20 +119,26 @@ def profile_bag(df: DataFrame, bag_col: str, by: str | None = None) -> DataFrame
         "bytes": kind == "BINARY",
         "string": (kind == "STRING") | kind.startswith("ARRAY") | kind.startswith("OBJECT"),
     }
-    text = F.try_variant_get("_value", "$", "string")
-    octets = F.octet_length(F.try_variant_get("_value", "$", "binary"))
-    length = F.when(flags["bytes"], octets).when(flags["string"], utf16_length(text))
-    unicode = F.when(kind == "STRING", has_unicode(text))
-    number = F.when(flags["long"], F.try_variant_get("_value", "$", "bigint"))
+    text = F.col("_text")
+    length = F.when(flags["bytes"], F.col("_octets")).when(flags["string"], utf16_length(text))
+
+    def seen(condition: Column) -> Column:
+        return F.coalesce(F.max(condition), F.lit(False))
+
     return entries.groupBy("entity_type", "property").agg(
-        *_statistics(kind == "VOID", flags, length, unicode, number)
+        F.count(F.lit(1)).alias("observations"),
+        F.count_if(kind == "VOID").alias("nulls"),
+        F.coalesce(F.max(length), F.lit(0)).alias("max_length"),
+        seen((kind == "STRING") & has_unicode(text)).alias("has_unicode"),
+        *[seen(flags[name]).alias(f"has_{name}") for name in FLAGS],
+        F.min(F.when(flags["long"], F.col("_number"))).alias("min_integer"),
+        F.max(F.when(flags["long"], F.col("_number"))).alias("max_integer"),
     )
 
 
 def entity_types(df: DataFrame, by: str, profile: DataFrame) -> DataFrame:
     """Entity count and number of distinct properties per entity type."""
-    entity_type = F.coalesce(F.col(by).cast("string"), F.lit(DEFAULT_TYPE)).alias("entity_type")
-    counts = df.groupBy(entity_type).agg(F.count(F.lit(1)).alias("entities"))
+    counts = df.groupBy(_entity_type(by).alias("entity_type")).agg(F.count(F.lit(1)).alias("entities"))
     properties = profile.groupBy("entity_type").agg(F.count(F.lit(1)).alias("properties"))
     return counts.join(properties, "entity_type", "left").fillna(0, ["properties"])
 

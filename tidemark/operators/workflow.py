@@ -50,11 +50,12 @@ def open_approvals(accepted: DataFrame, states: DataFrame, requester: str, new_s
 
     Without a row for that state none is opened.
     """
-    first = states.where(F.col("name") == new_state).agg(F.max("state_id").alias("state_id"))
+    first = states.where(F.col("name") == new_state).agg(F.max("state_id")).scalar()
     return (
         accepted.where(F.col("approval_id").isNotNull())
         .select(F.col("id").alias("transaction_id"), "approval_id", F.lit(requester).alias("requester"))
-        .join(first, F.col("state_id").isNotNull())
+        .withColumn("state_id", first)
+        .where(F.col("state_id").isNotNull())
     )
 
 

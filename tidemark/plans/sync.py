@@ -359,10 +359,10 @@ def latest_per_user(t: Tables) -> DataFrame:
 
 @query(
     "delta_gt",
-    "SELECT event_id, ts FROM events WHERE ts > (SELECT ts FROM events WHERE event_id = 5)",
+    "SELECT event_id, ts FROM events WHERE ts > (SELECT min(ts) FROM events WHERE event_type = 'purchase')",
 )
 def delta_gt(t: Tables) -> DataFrame:
-    last = t.events.where(F.col("event_id") == 5).first()["ts"]
+    last = t.events.where("event_type = 'purchase'").agg(F.min("ts").alias("ts")).first()["ts"]
     return tables.delta_read(t.events.select("event_id", "ts"), "ts", last)
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.predicates import predicate, typed_literal
@@ -60,11 +60,15 @@ def next_watermark(df: DataFrame, col: str, last: object = None) -> DataFrame:
 
 def mark_deleted(df: DataFrame, col: str, values: Sequence[object], state_col: str = "_state") -> DataFrame:
     """Set the state Deleted where the marker column says so; other rows keep theirs or stay unclassified."""
-    other = F.col(state_col) if state_col in df.columns else F.lit("Unclassified")
-    return df.withColumn(state_col, F.when(F.col(col).isin(list(values)), DELETED).otherwise(other))
+    marked = F.when(F.col(col).isin(list(values)), DELETED)
+    return df.withColumn(state_col, marked.otherwise(_known_state(df, state_col)))
+
+
+def _known_state(df: DataFrame, state_col: str) -> Column:
+    return F.col(state_col) if state_col in df.columns else F.lit("Unclassified")
 
 
 def with_tombstones(changed: DataFrame, deleted: DataFrame, state_col: str = "_state") -> DataFrame:
     """Changed rows followed by the deleted-objects feed, whose rows are marked Deleted."""
-    marked = mark_deleted(changed, changed.columns[0], [], state_col)
-    return marked.unionByName(deleted.withColumn(state_col, F.lit(DELETED)), allowMissingColumns=True)
+    classified = changed.withColumn(state_col, _known_state(changed, state_col))
+    return classified.unionByName(deleted.withColumn(state_col, F.lit(DELETED)), allowMissingColumns=True)
