@@ -12,6 +12,7 @@ from tidemark.operators.changes import (
     delta_between,
     purge_expired,
     shadow_snapshot,
+    threshold_guard,
     with_audit_columns,
 )
 from tidemark.operators.keys import latest_per_key, rejected_rows
@@ -175,6 +176,15 @@ def test_guard_is_strict(spark, missing, allowed):
     assert (row.existing, row.deletions, row.percent, row.allowed) == (100, missing, float(missing), allowed)
 
 
+def test_thresholds_by_operation(spark, rows):
+    old = spark.range(10).selectExpr("id", "'a' AS v")
+    new = spark.range(1, 13).selectExpr("id", "if(id < 4, 'b', 'a') AS v")
+    out = threshold_guard(old, new, ["id"], {"Created": 20, "Updated": 29.9, "Deleted": 10})
+    assert rows(out) == [("Created", 3, 10, 30.0, False), ("Deleted", 1, 10, 10.0, True), ("Updated", 3, 10, 30.0, False)]
+    empty = threshold_guard(old.limit(0), new, ["id"], {"Deleted": 0})
+    assert rows(empty) == [("Deleted", 0, 0, 0.0, True)]
+
+
 def test_guard_on_an_empty_target(spark):
     row = merge.deletion_guard(spark.range(0), spark.range(3), ["id"], 10).first()
     assert (row.existing, row.percent, row.allowed) == (0, 0.0, True)

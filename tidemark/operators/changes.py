@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from functools import reduce
 from operator import and_
 
@@ -43,6 +43,34 @@ def change_summary(before: DataFrame, after: DataFrame, keys: Sequence[str]) ->
     return classify_changes(before, after, keys).groupBy("_state").agg(F.count(F.lit(1)).alias("rows"))
 
 
+def threshold_guard(
+    before: DataFrame, after: DataFrame, keys: Sequence[str], thresholds: Mapping[str, float]
+) -> DataFrame:
+    """One row per guarded operation: affected rows, existing rows, their percentage, and whether that is allowed.
+
+    ``thresholds`` gives the highest allowed percentage of existing rows by state name.  One aggregation counts all.
+    """
+    state = F.col("_state")
+    counts = classify_changes(before, after, keys).agg(
+        F.count_if(state != CREATED).alias("existing"),
+        *[F.count_if(state == name).alias(f"_{i}") for i, name in enumerate(thresholds)],
+    )
+    rows = []
+    for i, (name, limit) in enumerate(thresholds.items()):
+        affected = F.col(f"_{i}")
+        percent = F.when(F.col("existing") == 0, 0.0).otherwise(F.try_divide(affected * 100.0, F.col("existing")))
+        rows.append(
+            F.struct(
+                F.lit(name).alias("operation"),
+                affected.alias("rows"),
+                F.col("existing"),
+                percent.alias("percent"),
+                (percent <= limit).alias("allowed"),
+            )
+        )
+    return counts.select(F.inline(F.array(*rows)))
+
+
 def shadow_snapshot(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Keys and the whole row as JSON with sorted property names, nulls left out."""
     return df.select(*keys, F.to_json(F.struct(*sorted(df.columns))).alias("shadow_json"))

@@ -176,8 +176,10 @@ def reachable(
     table of node pairs by nature.  Without ``roots`` only nodes that some arc leads into are walked from level by
     level; every other node adds its first step to their finished walks in a single join.
     """
-    live = live_rows(nodes, "deleted").select(
-        F.col("identifier").alias("root"), F.coalesce(F.col(col).cast("bigint"), _long(0)).alias("own")
+    live = cut_lineage(
+        live_rows(nodes, "deleted").select(
+            F.col("identifier").alias("root"), F.coalesce(F.col(col).cast("bigint"), _long(0)).alias("own")
+        )
     )
     arcs = _arcs(nodes, edges, edge_types, [col], default_weight).withColumnRenamed(col, "gain")
     best = [F.max("gain").alias("gain"), F.min("depth").alias("depth")]
@@ -186,16 +188,18 @@ def reachable(
         pairs = _walks(start, arcs, depth).groupBy("root", "node").agg(*best)
     else:
         entered = arcs.select(F.col("y").alias("root")).distinct()
-        inner = _walks(live.join(entered, "root", "left_semi"), arcs, depth)
+        # A first step leaves one step less to go on with: keep the best walk of that length too.
+        shorter = F.max(F.when(F.col("depth") < depth, F.col("gain"))).alias("_gain")
+        walks = _walks(live.join(entered, "root", "left_semi"), arcs, depth)
+        inner = cut_lineage(walks.groupBy("root", "node").agg(*best, shorter))
+        onward = inner.where(F.col("_gain").isNotNull()).select(F.col("root").alias("y"), "node", "_gain", "depth")
         outside = live.join(entered, "root", "left_anti").select("root")
-        onward = inner.where(F.col("depth") < depth).groupBy("root", "node").agg(*best)
-        onward = onward.select(F.col("root").alias("y"), "node", F.col("gain").alias("_gain"), "depth")
         first = arcs.withColumnRenamed("x", "root").join(outside, "root", "left_semi")
         outer = first.join(onward, "y").groupBy("root", "node").agg(
             _capped(F.max(F.col("gain") + F.col("_gain"))).alias("gain"), (F.min("depth") + 1).alias("depth")
         )
         alone = outside.select("root", F.col("root").alias("node"), _long(0).alias("gain"), F.lit(0).alias("depth"))
-        pairs = inner.groupBy("root", "node").agg(*best).unionByName(outer).unionByName(alone)
+        pairs = inner.drop("_gain").unionByName(outer).unionByName(alone)
     factors = live.select(F.col("root").alias("node"), F.col("own").alias("factor"))
     return (
         pairs.join(live, "root")

@@ -345,6 +345,26 @@ def change_summary(t: Tables) -> DataFrame:
     return changes.change_summary(_accounts(t), delta_sync(t), ["id"])
 
 
+@query(
+    "threshold_guard",
+    f"""
+    WITH {ACCOUNTS_SQL},
+    s AS (
+        SELECT CASE WHEN a.id IS NULL THEN 'Created' WHEN c.status = 'F' THEN 'Deleted'
+                    WHEN c.id IS NULL OR (a.amount = c.amount AND a.updated = c.updated) THEN 'Unchanged'
+                    ELSE 'Updated' END AS state
+        FROM accounts a FULL JOIN latest c ON a.id = c.id WHERE a.id IS NOT NULL OR c.status <> 'F'),
+    n AS (SELECT count(*) FILTER (WHERE state <> 'Created') AS existing FROM s)
+    SELECT operation, rows, existing, rows * CAST(100 AS DOUBLE) / existing AS percent,
+           rows * CAST(100 AS DOUBLE) / existing <= top AS allowed
+    FROM (VALUES ('Updated', 90), ('Deleted', 10)) AS o(operation, top), n,
+         LATERAL (SELECT count(*) AS rows FROM s WHERE state = operation)
+    """,
+)
+def threshold_guard(t: Tables) -> DataFrame:
+    return changes.threshold_guard(_accounts(t), delta_sync(t), ["id"], {"Updated": 90, "Deleted": 10})
+
+
 @query(
     "latest_per_key",
     """
