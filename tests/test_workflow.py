@@ -41,6 +41,13 @@ def test_successors_for_all_flag_pairs(spark, rows):
         assert [r[0] for r in rows(workflow.successors(results, chain(spark)), "id")] == want
 
 
+def test_each_successor_starts_once(spark, rows):
+    results = spark.createDataFrame(
+        [(1, True, False), (1, True, False), (1, True, True)], "transaction_id int, completed boolean, has_error boolean"
+    )
+    assert rows(workflow.successors(results, chain(spark)), "id") == [(2,), (3,)]
+
+
 def test_results_of_unknown_transactions(spark, rows):
     results = spark.createDataFrame([(1, True), (77, True)], "transaction_id int, completed boolean")
     recorded, rejected = workflow.record_results(results, chain(spark))

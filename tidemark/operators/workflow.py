@@ -69,20 +69,22 @@ def record_results(results: DataFrame, transactions: DataFrame) -> tuple[DataFra
 
 
 def successors(results: DataFrame, transactions: DataFrame) -> DataFrame:
-    """Live transactions to start next: ``(predecessor_id, id, operation_id)`` per result.
+    """Live transactions to start next: ``(predecessor_id, id, operation_id)``.
 
-    Success starts all successors, an error those that run on a predecessor's error, anything else none.
+    Success starts all successors, an error those that run on a predecessor's error, anything else none.  Several
+    results of one transaction in a batch are merged first, so each successor starts once and no group multiplies.
     """
     success = F.col("completed") & ~F.col("has_error")
     after = (
         results.where(success | F.col("has_error"))
-        .join(transactions.select(F.col("id").alias("transaction_id")), "transaction_id", "left_semi")
-        .select(F.col("transaction_id").alias("predecessor_id"), "has_error")
+        .groupBy(F.col("transaction_id").alias("predecessor_id"))
+        .agg(F.bool_or(success).alias("_success"))
+        .join(transactions.select(F.col("id").alias("predecessor_id")), "predecessor_id", "left_semi")
     )
     waiting = live_rows(transactions, "deleted").where(F.col("predecessor_id").isNotNull())
     return (
         waiting.join(after, "predecessor_id")
-        .where(~F.col("has_error") | F.col("run_on_predecessor_error"))
+        .where(F.col("_success") | F.col("run_on_predecessor_error"))
         .select("predecessor_id", "id", "operation_id")
     )
 

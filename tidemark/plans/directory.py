@@ -45,19 +45,20 @@ def _attribute_schema(t: Tables) -> DataFrame:
 @query(
     "decode_attributes",
     """
-    SELECT o_orderkey AS dn, 'isOpen' AS attribute, 'boolean' AS kind, o_orderstatus = 'O' AS boolean, NULL::INTEGER AS integer,
-           NULL::BIGINT AS long, NULL::TIMESTAMP AS time, NULL::VARCHAR AS text, NULL::VARCHAR AS bytes FROM orders
-    UNION ALL SELECT o_orderkey, 'priority', 'integer', NULL, CAST(o_orderpriority[1] AS INTEGER), NULL, NULL, NULL, NULL FROM orders
-    UNION ALL SELECT o_orderkey, 'bigKey', 'long', NULL, NULL,
+    SELECT o_orderkey AS dn, 'isOpen' AS attribute, 'boolean' AS kind, o_orderstatus = 'O' AS boolean, CAST(0 AS INTEGER) AS integer,
+           CAST(0 AS BIGINT) AS long, NULL::TIMESTAMP AS time, NULL::VARCHAR AS text, NULL::VARCHAR AS bytes FROM orders
+    UNION ALL SELECT o_orderkey, 'priority', 'integer', false, CAST(o_orderpriority[1] AS INTEGER), 0, NULL, NULL, NULL FROM orders
+    UNION ALL SELECT o_orderkey, 'bigKey', 'long', false, 0,
         CASE WHEN o_orderstatus = 'P' THEN 0 ELSE o_orderkey * 10000000000 END, NULL, NULL, NULL FROM orders
-    UNION ALL SELECT o_orderkey, 'whenCreated', 'time', NULL, NULL, NULL, o_orderdate, NULL, NULL FROM orders
-    UNION ALL SELECT o_orderkey, 'displayName', 'text', NULL, NULL, NULL, NULL, 'Ordér ' || o_orderkey, NULL FROM orders
-    UNION ALL SELECT o_orderkey, 'photo', 'bytes', NULL, NULL, NULL, NULL, NULL, hex(encode(o_orderpriority)) FROM orders
+    UNION ALL SELECT o_orderkey, 'whenCreated', 'time', false, 0, 0, o_orderdate, NULL, NULL FROM orders
+    UNION ALL SELECT o_orderkey, 'displayName', 'text', false, 0, 0, NULL, 'Ordér ' || o_orderkey, NULL FROM orders
+    UNION ALL SELECT o_orderkey, 'photo', 'bytes', false, 0, 0, NULL, NULL, hex(encode(o_orderpriority)) FROM orders
     """,
 )
 def decode_attributes(t: Tables) -> DataFrame:
     out = directory.decode_attributes(_values(t), _attribute_schema(t))
-    return out.select("dn", "attribute", "value.*").withColumn("bytes", F.hex("bytes"))
+    flat = out.select("dn", "attribute", "value.*").withColumn("bytes", F.hex("bytes"))
+    return flat.fillna(0, ["integer", "long"]).fillna(False, ["boolean"])
 
 
 @query(
@@ -206,7 +207,7 @@ def account_flags(t: Tables) -> DataFrame:
     SELECT o_orderkey AS dn, 'status' AS attribute, 3 AS version, epoch_us(o_orderdate) AS changed_micros,
            o_orderkey AS usn_originating, o_custkey AS usn_local FROM orders
     UNION ALL
-    SELECT o_orderkey, 'priority', 4, NULL, o_custkey, o_orderkey FROM orders
+    SELECT o_orderkey, 'priority', 4, 0, o_custkey, o_orderkey FROM orders
     """,
 )
 def parse_repl_metadata(t: Tables) -> DataFrame:
@@ -236,14 +237,14 @@ def parse_repl_metadata(t: Tables) -> DataFrame:
         F.unix_micros("changed").alias("changed_micros"),
         "usn_originating",
         "usn_local",
-    )
+    ).fillna(0, ["changed_micros"])
 
 
 @query(
     "parse_repl_value_metadata",
     """
     SELECT event_id AS dn, 'member' AS attribute, 'CN=u' || user_id AS object_dn, length(props)::INTEGER AS data_size,
-           epoch_us(ts) AS created_micros, CASE WHEN event_type = 'error' THEN epoch_us(ts) END AS deleted_micros,
+           epoch_us(ts) AS created_micros, CASE WHEN event_type = 'error' THEN epoch_us(ts) ELSE 0 END AS deleted_micros,
            event_type = 'error' AS is_deleted
     FROM events
     """,
@@ -273,7 +274,7 @@ def parse_repl_value_metadata(t: Tables) -> DataFrame:
         F.unix_micros("created").alias("created_micros"),
         F.unix_micros("deleted").alias("deleted_micros"),
         "is_deleted",
-    )
+    ).fillna(0, ["deleted_micros"])
 
 
 @query(

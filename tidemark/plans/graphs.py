@@ -124,7 +124,7 @@ def _edges(t: Tables) -> DataFrame:
     "edge_view",
     f"""
     WITH {GRAPH_SQL}
-    SELECT e.node_to, e.node_from, e.edge_type_id, ty.name AS edge_type_name, ty.factor,
+    SELECT e.node_to, e.node_from, e.edge_type_id, ty.name AS edge_type_name, coalesce(ty.factor, -1) AS factor,
            a.display_name AS node_to_display_name, a.type AS node_to_type, a.c_factor AS node_to_c_factor,
            a.a_factor AS node_to_a_factor, b.display_name AS node_from_display_name, b.type AS node_from_type,
            b.c_factor AS node_from_c_factor, b.a_factor AS node_from_a_factor
@@ -134,7 +134,7 @@ def _edges(t: Tables) -> DataFrame:
     """,
 )
 def edge_view(t: Tables) -> DataFrame:
-    return views.edge_view(_edges(t), _types(t), _nodes(t))
+    return views.edge_view(_edges(t), _types(t), _nodes(t)).fillna(-1, ["factor"])
 
 
 @query(

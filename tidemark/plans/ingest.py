@@ -54,12 +54,11 @@ def map_properties(t: Tables) -> DataFrame:
 @query(
     "align_to_target",
     """
-    SELECT CAST(p_partkey AS INTEGER) AS p_partkey, p_name, CAST(p_size AS BIGINT) AS p_size,
-           CAST(p_retailprice AS DECIMAL(12, 2)) AS p_retailprice FROM part
+    SELECT CAST(p_partkey AS INTEGER) AS p_partkey, p_name, CAST(p_size AS VARCHAR) AS p_size, p_retailprice FROM part
     """,
 )
 def align_to_target(t: Tables) -> DataFrame:
-    target = T.StructType.fromDDL("p_partkey int, p_name string, p_size bigint, p_retailprice decimal(12,2), absent int")
+    target = T.StructType.fromDDL("p_partkey int, p_name string, p_size string, p_retailprice double, absent int")
     return mapping.align_to_target(t.part, target, ["p_partkey"])
 
 
@@ -89,12 +88,12 @@ def normalise_keys(t: Tables) -> DataFrame:
     "typed_properties",
     """
     SELECT event_id, 'k' AS property, 'long' AS kind, NULL::VARCHAR AS string_value,
-           CAST(json_extract(props, '$.k') AS BIGINT) AS long_value, NULL::BOOLEAN AS boolean_value FROM events
-    UNION ALL SELECT event_id, 'type', 'string', event_type, NULL, NULL FROM events
-    UNION ALL SELECT event_id, 'costly', 'boolean', NULL, NULL, value > 10 FROM events
-    UNION ALL SELECT event_id, 'none', 'null', NULL, NULL, NULL FROM events
-    UNION ALL SELECT event_id, 'ratio', 'decimal', NULL, NULL, NULL FROM events
-    UNION ALL SELECT event_id, 'ids', 'raw', '[' || event_id || ',' || user_id || ']', NULL, NULL FROM events
+           CAST(json_extract(props, '$.k') AS BIGINT) AS long_value, false AS boolean_value FROM events
+    UNION ALL SELECT event_id, 'type', 'string', event_type, 0, false FROM events
+    UNION ALL SELECT event_id, 'costly', 'boolean', NULL, 0, value > 10 FROM events
+    UNION ALL SELECT event_id, 'none', 'null', NULL, 0, false FROM events
+    UNION ALL SELECT event_id, 'ratio', 'decimal', NULL, 0, false FROM events
+    UNION ALL SELECT event_id, 'ids', 'raw', '[' || event_id || ',' || user_id || ']', 0, false FROM events
     """,
 )
 def typed_properties(t: Tables) -> DataFrame:
@@ -109,7 +108,8 @@ def typed_properties(t: Tables) -> DataFrame:
         F.concat_ws(",", F.col("event_id").cast("string"), F.col("user_id").cast("string")),
         F.lit("]}"),
     )
-    return mapping.typed_properties(t.events.select("event_id", body.alias("body")), "body").drop("decimal_value")
+    typed = mapping.typed_properties(t.events.select("event_id", body.alias("body")), "body").drop("decimal_value")
+    return typed.fillna(0, ["long_value"]).fillna(False, ["boolean_value"])
 
 
 def _pages(t: Tables) -> DataFrame:

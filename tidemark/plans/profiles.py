@@ -23,7 +23,7 @@ def _profile_sql(table: str, columns: dict[str, str], by: str = "'Default'", col
         flags = ", ".join(
             (f"bool_or({name} IS NOT NULL)" if f == kind else "false") + f" AS has_{f}" for f in profile.FLAGS
         )
-        low, high = (f"CAST({m}({name}) AS BIGINT)" if whole else "NULL::BIGINT" for m in ("min", "max"))
+        low, high = (f"CAST({m}({name}) AS BIGINT)" if whole else "CAST(0 AS BIGINT)" for m in ("min", "max"))
         parts.append(
             f"SELECT {by} AS entity_type, '{name}' AS property, count(*) AS observations, "
             f"count(*) - count({name}) AS nulls, CAST({length} AS INTEGER) AS max_length, {unicode} AS has_unicode, "
@@ -41,9 +41,14 @@ CUSTOMER = {
 }
 
 
+def _filled(profiles: DataFrame) -> DataFrame:
+    """Properties without whole numbers show 0 as their bounds."""
+    return profiles.fillna(0, ["min_integer", "max_integer"])
+
+
 @query("profile_customer", _profile_sql("customer", CUSTOMER))
 def profile_customer(t: Tables) -> DataFrame:
-    return profile.profile_properties(t.customer)
+    return _filled(profile.profile_properties(t.customer))
 
 
 DOCUMENTS = {"doc_id": "long", "text": "string", "source": "string", "n_chars": "long"}
@@ -51,7 +56,7 @@ DOCUMENTS = {"doc_id": "long", "text": "string", "source": "string", "n_chars":
 
 @query("profile_documents", _profile_sql("documents", DOCUMENTS, by="lang"))
 def profile_documents(t: Tables) -> DataFrame:
-    return profile.profile_properties(t.documents, by="lang")
+    return _filled(profile.profile_properties(t.documents, by="lang"))
 
 
 LINEITEM = {
@@ -66,7 +71,7 @@ LINEITEM = {
 
 @query("profile_lineitem", _profile_sql("lineitem", LINEITEM))
 def profile_lineitem(t: Tables) -> DataFrame:
-    return profile.profile_properties(t.lineitem.select(*LINEITEM))
+    return _filled(profile.profile_properties(t.lineitem.select(*LINEITEM)))
 
 
 BAG_SQL = """
@@ -126,7 +131,7 @@ DEFINITIONS = (
         SELECT *, CASE WHEN sql_type NOT IN ('VARCHAR', 'NVARCHAR') OR max_length = 0 THEN NULL ELSE
                list_min(list_filter([16, 32, 50, 100, 128, 256, 450, 512, 1024, 2048, 4000], lambda s: s >= padded)) END AS column_length
         FROM typed)
-    SELECT property, sql_type, column_length, is_nullable,
+    SELECT property, sql_type, coalesce(column_length, -1) AS column_length, is_nullable,
            '[' || property || '] ' || sql_type
            || CASE WHEN sql_type IN ('VARCHAR', 'NVARCHAR') THEN '(' || coalesce(CAST(column_length AS VARCHAR), 'MAX') || ')'
                    WHEN sql_type = 'DATETIME2' THEN '(7)' ELSE '' END
@@ -141,7 +146,7 @@ def column_definitions(t: Tables) -> DataFrame:
     profiles = profile.profile_properties(t.documents).unionByName(profile_lineitem(t))
     return profile.infer_columns(profiles).select(
         "property", "sql_type", "column_length", "is_nullable", "definition"
-    )
+    ).fillna(-1, ["column_length"])
 
 
 @query(
@@ -155,11 +160,12 @@ def entity_types(t: Tables) -> DataFrame:
 @query(
     "length_bucket",
     """
-    SELECT doc_id, CASE WHEN length(text) > 0 THEN
+    SELECT doc_id, coalesce(CASE WHEN length(text) > 0 THEN
         list_min(list_filter([16, 32, 50, 100, 128, 256, 450, 512, 1024, 2048, 4000],
-                             lambda s: s >= floor(length(text) * CAST(1.2 AS DOUBLE)))) END AS bucket
+                             lambda s: s >= floor(length(text) * CAST(1.2 AS DOUBLE)))) END, -1) AS bucket
     FROM documents
     """,
 )
 def length_buckets(t: Tables) -> DataFrame:
-    return t.documents.select("doc_id", length_bucket(F.char_length("text")).alias("bucket"))
+    buckets = t.documents.select("doc_id", length_bucket(F.char_length("text")).alias("bucket"))
+    return buckets.fillna(-1, ["bucket"])

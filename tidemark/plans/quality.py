@@ -50,12 +50,13 @@ def check_schema(t: Tables) -> DataFrame:
     SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_returnflag, count(*) AS occurrences
     FROM lineitem GROUP BY ALL HAVING count(*) > 1
     UNION ALL
-    SELECT l_orderkey, NULL, NULL, NULL, NULL, count(*) FROM lineitem GROUP BY l_orderkey HAVING count(*) > 1
+    SELECT l_orderkey, -1, -1, -1, NULL, count(*) FROM lineitem GROUP BY l_orderkey HAVING count(*) > 1
     """,
 )
 def check_unique(t: Tables) -> DataFrame:
     five = quality.check_unique(t.lineitem, ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_returnflag"])
-    return five.unionByName(quality.check_unique(t.lineitem, ["l_orderkey"]), allowMissingColumns=True)
+    one = quality.check_unique(t.lineitem, ["l_orderkey"])
+    return five.unionByName(one, allowMissingColumns=True).fillna(-1)
 
 
 @query(

@@ -175,24 +175,22 @@ def _stamped_orders(t: Tables) -> DataFrame:
 
 @query(
     "live_rows",
-    "SELECT o_orderkey, o_orderstatus, CAST(NULL AS TIMESTAMP) AS deleted FROM orders WHERE o_orderstatus = 'F'",
+    "SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderstatus = 'F'",
 )
 def live_rows(t: Tables) -> DataFrame:
-    return read.live_rows(_stamped_orders(t), "deleted")
+    return read.live_rows(_stamped_orders(t), "deleted").drop("deleted")
 
 
 @query(
     "live_rows_sentinel",
     """
-    SELECT o_orderkey, o_orderstatus,
-           CASE WHEN o_orderstatus = 'P' THEN TIMESTAMP '9999-12-31' WHEN o_orderstatus = 'O' THEN o_orderdate END AS deleted
-    FROM orders
+    SELECT o_orderkey, o_orderstatus FROM orders
     WHERE coalesce(CASE WHEN o_orderstatus = 'P' THEN TIMESTAMP '9999-12-31' WHEN o_orderstatus = 'O' THEN o_orderdate END,
                    TIMESTAMP '9999-12-31') = TIMESTAMP '9999-12-31'
     """,
 )
 def live_rows_sentinel(t: Tables) -> DataFrame:
-    return read.live_rows(_stamped_orders(t), "deleted", sentinel=SENTINEL)
+    return read.live_rows(_stamped_orders(t), "deleted", sentinel=SENTINEL).drop("deleted")
 
 
 @query("minimal_view", "SELECT s_suppkey AS id, s_name AS display_name FROM supplier")
@@ -214,7 +212,7 @@ def find_by_id(t: Tables) -> DataFrame:
 @query(
     "identity_view",
     """
-    SELECT i.c_custkey AS id, i.c_name AS display_name, nullif(i.c_custkey // 10, i.c_custkey) AS manager_id,
+    SELECT i.c_custkey AS id, i.c_name AS display_name, coalesce(nullif(i.c_custkey // 10, i.c_custkey), -1) AS manager_id,
            m.c_name AS manager_display_name, i.c_nationkey AS unit_id, n.n_name AS unit_display_name
     FROM customer i
     LEFT JOIN customer m ON nullif(i.c_custkey // 10, i.c_custkey) = m.c_custkey
@@ -232,7 +230,7 @@ def identity_view(t: Tables) -> DataFrame:
         F.when(F.col("c_acctbal") < 0, F.lit(SENTINEL)).cast("timestamp_ntz").alias("deleted"),
     )
     units = t.nation.select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("display_name"))
-    return views.identity_view(identities, units)
+    return views.identity_view(identities, units).fillna(-1, ["manager_id"])
 
 
 @query(

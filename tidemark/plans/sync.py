@@ -119,7 +119,7 @@ def merge_counters(t: Tables) -> DataFrame:
     "rejected_rows",
     """
     WITH staged AS (SELECT nullif(l_orderkey, l_partkey) AS id, l_linenumber AS line, l_suppkey AS supplier FROM lineitem)
-    SELECT id, line, supplier, CASE WHEN id IS NULL THEN 'key missing' ELSE 'key occurs twice' END AS reject_reason
+    SELECT coalesce(id, -1) AS id, line, supplier, CASE WHEN id IS NULL THEN 'key missing' ELSE 'key occurs twice' END AS reject_reason
     FROM staged QUALIFY id IS NULL OR count(*) OVER (PARTITION BY id, line) > 1
     """,
 )
@@ -129,7 +129,7 @@ def rejected(t: Tables) -> DataFrame:
         F.col("l_linenumber").alias("line"),
         F.col("l_suppkey").alias("supplier"),
     )
-    return rejected_rows(staged, ["id", "line"])
+    return rejected_rows(staged, ["id", "line"]).fillna(-1, ["id"])
 
 
 @query(

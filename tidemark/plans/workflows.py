@@ -96,15 +96,15 @@ def _created(t: Tables) -> tuple[DataFrame, DataFrame]:
 
 @query(
     "create_transactions",
-    f"WITH {WORK_SQL} SELECT id, operation_id, approval_id, predecessor_id FROM checked WHERE reject_reason IS NULL",
+    f"WITH {WORK_SQL} SELECT id, operation_id, coalesce(approval_id, -1) AS approval_id, predecessor_id FROM checked WHERE reject_reason IS NULL",
 )
 def create_transactions(t: Tables) -> DataFrame:
-    return _created(t)[0]
+    return _created(t)[0].fillna(-1, ["approval_id"])
 
 
-@query("rejected_transactions", f"WITH {WORK_SQL} SELECT * FROM checked WHERE reject_reason IS NOT NULL")
+@query("rejected_transactions", f"WITH {WORK_SQL} SELECT * REPLACE (coalesce(approval_id, -1) AS approval_id) FROM checked WHERE reject_reason IS NOT NULL")
 def rejected_transactions(t: Tables) -> DataFrame:
-    return _created(t)[1]
+    return _created(t)[1].fillna(-1, ["approval_id"])
 
 
 @query(
@@ -119,7 +119,7 @@ def open_approvals(t: Tables) -> DataFrame:
     """Order states serve as approval states, the finished one as the first."""
     names = F.when(F.col("o_orderstatus") == "F", "New").otherwise(F.col("o_orderstatus"))
     states = t.orders.select(F.concat(F.lit("st-"), "o_orderstatus").alias("state_id"), names.alias("name")).distinct()
-    return workflow.open_approvals(create_transactions(t), states, "sync")
+    return workflow.open_approvals(_created(t)[0], states, "sync")
 
 
 @query(
