@@ -99,14 +99,8 @@ def profile_bag(df: DataFrame, bag_col: str, by: str | None = None) -> DataFrame
     bag = F.col(bag_col)
     if isinstance(df.schema[bag_col].dataType, T.StringType):
         bag = F.from_json(bag, "map<string,variant>")
-    # Reading the kind and the text once, before the aggregation, keeps its many uses cheap.
     entries = df.select(_entity_type(by).alias("entity_type"), F.explode(bag).alias("_key", "_value")).select(
-        "entity_type",
-        F.lower("_key").alias("property"),
-        F.schema_of_variant("_value").alias("_kind"),
-        F.try_variant_get("_value", "$", "string").alias("_text"),
-        F.try_variant_get("_value", "$", "bigint").alias("_number"),
-        F.octet_length(F.try_variant_get("_value", "$", "binary")).alias("_octets"),
+        "entity_type", F.lower("_key").alias("property"), "_value", F.schema_of_variant("_value").alias("_kind")
     )
     kind = F.col("_kind")
     flags = {
@@ -119,20 +113,28 @@ def profile_bag(df: DataFrame, bag_col: str, by: str | None = None) -> DataFrame
         "bytes": kind == "BINARY",
         "string": (kind == "STRING") | kind.startswith("ARRAY") | kind.startswith("OBJECT"),
     }
+    # Each value is read once, as what it is, before the many aggregates use it.
+    typed = entries.select(
+        "entity_type",
+        "property",
+        "_kind",
+        F.when(flags["string"], F.try_variant_get("_value", "$", "string")).alias("_text"),
+        F.when(flags["long"], F.try_variant_get("_value", "$", "bigint")).alias("_number"),
+        F.when(flags["bytes"], F.octet_length(F.try_variant_get("_value", "$", "binary"))).alias("_octets"),
+    )
     text = F.col("_text")
-    length = F.when(flags["bytes"], F.col("_octets")).when(flags["string"], utf16_length(text))
 
     def seen(condition: Column) -> Column:
         return F.coalesce(F.max(condition), F.lit(False))
 
-    return entries.groupBy("entity_type", "property").agg(
+    return typed.groupBy("entity_type", "property").agg(
         F.count(F.lit(1)).alias("observations"),
         F.count_if(kind == "VOID").alias("nulls"),
-        F.coalesce(F.max(length), F.lit(0)).alias("max_length"),
+        F.coalesce(F.max(F.coalesce("_octets", utf16_length(text))), F.lit(0)).alias("max_length"),
         seen((kind == "STRING") & has_unicode(text)).alias("has_unicode"),
         *[seen(flags[name]).alias(f"has_{name}") for name in FLAGS],
-        F.min(F.when(flags["long"], F.col("_number"))).alias("min_integer"),
-        F.max(F.when(flags["long"], F.col("_number"))).alias("max_integer"),
+        F.min("_number").alias("min_integer"),
+        F.max("_number").alias("max_integer"),
     )
 
 
