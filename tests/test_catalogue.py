@@ -4,6 +4,7 @@ import duckdb
 import pytest
 
 from __spark_entry__ import entry, oracle_sql, queries
+from tidemark.plans import ORACLES, QUERIES
 from tools.compare import TABLES, rows_of
 
 FOLDER = "/root/testdata/sf0.001"
@@ -18,10 +19,11 @@ def db():
 
 
 def test_every_query_has_sql():
-    assert set(queries()) == set(oracle_sql())
+    assert set(QUERIES) == set(ORACLES)
+    assert set(QUERIES) <= set(queries()) and set(oracle_sql()) <= set(queries())
 
 
-@pytest.mark.parametrize("name", list(queries()))
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_query(spark, db, name):
     df = queries()[name](spark, FOLDER)
     cursor = db.execute(oracle_sql()[name])

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,17 +25,14 @@ def configure(builder: SparkSession.Builder) -> SparkSession.Builder:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder every executor can reach, taken from ``spark.checkpoint.dir``.
+    """Folder for intermediate tables that the driver and every executor can reach.
 
-    Only a local-mode session without that setting (tests, a laptop) gets a temporary folder; a cluster without
-    it is an error, because executors could not read what the driver wrote to its own disk.
+    It is ``spark.checkpoint.dir``; where that is unset, a folder below the warehouse, which Spark shares as well.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-    return tempfile.mkdtemp(prefix="tidemark-")
+    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_tidemark_work"
 
 
 def work_path(spark: SparkSession, name: str) -> str:
@@ -48,3 +45,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     path = work_path(df.sparkSession, "cut")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def drop_work(spark: SparkSession) -> None:
+    """Delete every intermediate table below the shared folder; results that still read them must be stored first."""
+    jvm = spark._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    for status in files.listStatus(folder) if files.exists(folder) else []:
+        if re.fullmatch(r".+-[0-9a-f]{32}", status.getPath().getName()):
+            files.delete(status.getPath(), True)
