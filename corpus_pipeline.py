@@ -8,7 +8,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidemark.llm.decontamination import without_contaminated
 from tidemark.llm.quality import quality_cascade
+from tidemark.llm.simhash import one_of_each
 from tidemark.session import cut_lineage
 
 
@@ -17,7 +19,17 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_cascade(docs).filter("kept").select("row.*")
 
 
-STAGES = [("quality", quality)]
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near-duplicates, that with the smallest id."""
+    return one_of_each(docs)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which no benchmark item occurs."""
+    return without_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("decontaminate", decontaminate)]
 
 # Near-duplicate links, banded alignment and packing have no SQL form; tests hold the pipeline against brute force.
 ORACLE_SQL = None

@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.llm.decontamination import contaminated
 from tidemark.llm.quality import quality_cascade
+from tidemark.llm.simhash import near_duplicates
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -27,3 +29,16 @@ def op6_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     judged = quality_cascade(table(spark, folder, "documents").select("doc_id", "text"))
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
     return judged.select("row.doc_id", *(f"m.{n}" for n in names), "base_failed", "kept", "rejected_by")
+
+
+@query
+def op9_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    """Occurrences of benchmark items in documents; a document without any is clean and has no row."""
+    return contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@query
+def op10_simhash_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
+    near = near_duplicates(table(spark, folder, "documents"))
+    fingerprint = F.lpad(F.lower(F.hex("fp")), 16, "0")
+    return near.select(F.col("id").alias("doc_id"), fingerprint.alias("fingerprint"), "component_id")
