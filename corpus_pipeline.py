@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm.decontamination import without_contaminated
 from tidemark.llm.quality import quality_cascade
+from tidemark.llm.secrets import redact
 from tidemark.llm.simhash import one_of_each
 from tidemark.session import cut_lineage
 
@@ -29,7 +30,12 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return without_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
-STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("decontaminate", decontaminate)]
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with the secrets in their texts redacted."""
+    return redact(docs, chars_col="n_chars")
+
+
+STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("decontaminate", decontaminate), ("secrets", secrets)]
 
 # Near-duplicate links, banded alignment and packing have no SQL form; tests hold the pipeline against brute force.
 ORACLE_SQL = None

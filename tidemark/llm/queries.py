@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.decontamination import contaminated
 from tidemark.llm.quality import quality_cascade
+from tidemark.llm.secrets import listed, secrets
 from tidemark.llm.simhash import near_duplicates
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -42,3 +43,20 @@ def op10_simhash_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     near = near_duplicates(table(spark, folder, "documents"))
     fingerprint = F.lpad(F.lower(F.hex("fp")), 16, "0")
     return near.select(F.col("id").alias("doc_id"), fingerprint.alias("fingerprint"), "component_id")
+
+
+@query
+def op8_secret_scans(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents").select("doc_id", "text", "source", "lang")
+    found = secrets(documents, repository=F.struct("source", "lang"))
+
+    def number(kind: str) -> Column:
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
+
+    return found.select(
+        "row.doc_id",
+        *map(number, ("assign", "access", "hex")),
+        F.sha2(listed(F.col("base")), 256).alias("base_sha256"),
+        listed(F.col("spans")).alias("spans"),
+        F.size(F.filter("spans", lambda s: s["live"])).cast("bigint").alias("n_live"),
+    )
