@@ -9,9 +9,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm.decontamination import without_contaminated
+from tidemark.llm.packing import packed, pieces
 from tidemark.llm.quality import quality_cascade
 from tidemark.llm.secrets import redact
 from tidemark.llm.simhash import one_of_each
+from tidemark.llm.tokens import public_tokenizer
 from tidemark.session import cut_lineage
 
 
@@ -35,7 +37,18 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return redact(docs, chars_col="n_chars")
 
 
-STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("decontaminate", decontaminate), ("secrets", secrets)]
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token pieces of all documents and their places in sequences."""
+    return packed(pieces(docs, public_tokenizer()))
+
+
+STAGES = [
+    ("quality", quality),
+    ("near_duplicates", near_duplicates),
+    ("decontaminate", decontaminate),
+    ("secrets", secrets),
+    ("pack", pack),
+]
 
 # Near-duplicate links, banded alignment and packing have no SQL form; tests hold the pipeline against brute force.
 ORACLE_SQL = None

@@ -8,9 +8,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.decontamination import contaminated
+from tidemark.llm.packing import packed, pieces
 from tidemark.llm.quality import quality_cascade
 from tidemark.llm.secrets import listed, secrets
 from tidemark.llm.simhash import near_duplicates
+from tidemark.llm.tokens import public_tokenizer
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -60,3 +62,8 @@ def op8_secret_scans(spark: SparkSession, folder: str) -> DataFrame:
         listed(F.col("spans")).alias("spans"),
         F.size(F.filter("spans", lambda s: s["live"])).cast("bigint").alias("n_live"),
     )
+
+
+@query
+def op7_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packed(pieces(table(spark, folder, "documents"), public_tokenizer()))
