@@ -12,7 +12,9 @@ from tidemark.llm.packing import packed, pieces
 from tidemark.llm.quality import quality_cascade
 from tidemark.llm.secrets import listed, secrets
 from tidemark.llm.simhash import near_duplicates
+from tidemark.llm.token_files import read_documents, write_token_files
 from tidemark.llm.tokens import public_tokenizer
+from tidemark.session import work_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -27,6 +29,13 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+@query
+def op3_token_files(spark: SparkSession, folder: str) -> DataFrame:
+    path = work_path(spark, "tokens")
+    write_token_files(table(spark, folder, "documents"), path, public_tokenizer())
+    return read_documents(spark, path).withColumnRenamed("id", "doc_id")
+
+
 @query
 def op6_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     judged = quality_cascade(table(spark, folder, "documents").select("doc_id", "text"))
