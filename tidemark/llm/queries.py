@@ -14,49 +14,82 @@ from tidemark.llm.secrets import listed, secrets
 from tidemark.llm.simhash import near_duplicates
 from tidemark.llm.token_files import read_documents, write_token_files
 from tidemark.llm.tokens import public_tokenizer
+from tidemark.llm.warc import read_facts, write_archive
 from tidemark.session import work_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
-def query(function: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-    QUERIES[function.__name__] = function
-    return function
+def query(oracle: str | None = None) -> Callable:
+    """Register a query under its function's name, with SQL that gives the same rows where there is any."""
+
+    def register(function: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+        QUERIES[function.__name__] = function
+        if oracle:
+            ORACLES[function.__name__] = oracle
+        return function
+
+    return register
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-@query
+@query(
+    """
+    WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+    f AS (SELECT h, min(page_id) AS first, sha1(h) AS hex FROM p GROUP BY h)
+    SELECT page_id, strlen(h) AS payload_bytes,
+           list_aggregate(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+               1 + (('0x' || substr(hex, 5 * (i // 4) + 1, 5))::BIGINT >> (5 * (3 - i % 4)) & 31)::BIGINT, 1)),
+               'string_agg', '') AS payload_digest,
+           CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+           CASE WHEN page_id <> first THEN first END AS refers_to
+    FROM p JOIN f USING (h)
+    """
+)
+def op1_warc_archive(spark: SparkSession, folder: str) -> DataFrame:
+    path = work_path(spark, "warc")
+    write_archive(table(spark, folder, "pages"), path)
+    return read_facts(spark, path).select(
+        F.col("id").cast("bigint").alias("page_id"),
+        "payload_bytes",
+        "payload_digest",
+        "record_type",
+        F.col("refers_to").cast("bigint").alias("refers_to"),
+    )
+
+
+@query()
 def op3_token_files(spark: SparkSession, folder: str) -> DataFrame:
     path = work_path(spark, "tokens")
     write_token_files(table(spark, folder, "documents"), path, public_tokenizer())
     return read_documents(spark, path).withColumnRenamed("id", "doc_id")
 
 
-@query
+@query()
 def op6_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     judged = quality_cascade(table(spark, folder, "documents").select("doc_id", "text"))
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
     return judged.select("row.doc_id", *(f"m.{n}" for n in names), "base_failed", "kept", "rejected_by")
 
 
-@query
+@query()
 def op9_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     """Occurrences of benchmark items in documents; a document without any is clean and has no row."""
     return contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
-@query
+@query()
 def op10_simhash_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     near = near_duplicates(table(spark, folder, "documents"))
     fingerprint = F.lpad(F.lower(F.hex("fp")), 16, "0")
     return near.select(F.col("id").alias("doc_id"), fingerprint.alias("fingerprint"), "component_id")
 
 
-@query
+@query()
 def op8_secret_scans(spark: SparkSession, folder: str) -> DataFrame:
     documents = table(spark, folder, "documents").select("doc_id", "text", "source", "lang")
     found = secrets(documents, repository=F.struct("source", "lang"))
@@ -73,6 +106,6 @@ def op8_secret_scans(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-@query
+@query()
 def op7_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packed(pieces(table(spark, folder, "documents"), public_tokenizer()))
