@@ -14,6 +14,7 @@ from tidemark.llm.secrets import listed, secrets
 from tidemark.llm.simhash import near_duplicates
 from tidemark.llm.token_files import read_documents, write_token_files
 from tidemark.llm.tokens import public_tokenizer
+from tidemark.llm.urls import judged
 from tidemark.llm.warc import read_facts, write_archive
 from tidemark.session import work_path
 
@@ -69,6 +70,12 @@ def op3_token_files(spark: SparkSession, folder: str) -> DataFrame:
     return read_documents(spark, path).withColumnRenamed("id", "doc_id")
 
 
+@query()
+def op5_url_filters(spark: SparkSession, folder: str) -> DataFrame:
+    result = judged(table(spark, folder, "pages").select("page_id", "url"))
+    return result.select("row.page_id", "host", "path", "rule", "verdict", "score")
+
+
 @query()
 def op6_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     judged = quality_cascade(table(spark, folder, "documents").select("doc_id", "text"))
