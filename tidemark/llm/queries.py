@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.decontamination import contaminated
+from tidemark.llm.html_text import extract
 from tidemark.llm.packing import packed, pieces
 from tidemark.llm.quality import quality_cascade
 from tidemark.llm.secrets import listed, secrets
@@ -70,6 +71,11 @@ def op3_token_files(spark: SparkSession, folder: str) -> DataFrame:
     return read_documents(spark, path).withColumnRenamed("id", "doc_id")
 
 
+@query()
+def op4_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
+    return extract(table(spark, folder, "pages"))
+
+
 @query()
 def op5_url_filters(spark: SparkSession, folder: str) -> DataFrame:
     result = judged(table(spark, folder, "pages").select("page_id", "url"))
