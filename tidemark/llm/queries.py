@@ -15,6 +15,7 @@ from tidemark.llm.secrets import listed, secrets
 from tidemark.llm.simhash import near_duplicates
 from tidemark.llm.token_files import read_documents, write_token_files
 from tidemark.llm.tokens import public_tokenizer
+from tidemark.llm.toxicity import fit, held_out, scored
 from tidemark.llm.urls import judged
 from tidemark.llm.warc import read_facts, write_archive
 from tidemark.session import work_path
@@ -64,6 +65,15 @@ def op1_warc_archive(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query()
+def op2_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents")
+    model = fit(documents, table(spark, folder, "labels"))
+    result = scored(documents, model).withColumnRenamed("id", "doc_id")
+    predicted = (F.col("score") >= 0.5).cast("int").alias("predicted")
+    return result.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", predicted)
+
+
 @query()
 def op3_token_files(spark: SparkSession, folder: str) -> DataFrame:
     path = work_path(spark, "tokens")
