@@ -16,7 +16,7 @@ from tidemark.operators.changes import (
     with_audit_columns,
 )
 from tidemark.operators.keys import latest_per_key, rejected_rows
-from tidemark.operators.sync import DeletionThresholdExceeded, delta_sync, full_sync
+from tidemark.operators.sync import DeletionThresholdExceeded, RowsRejected, delta_sync, full_sync, run_delta_sync, run_full_sync
 from tidemark.sources.mapping import ignore_case
 from tidemark.sources.snapshots import write_bucketed
 
@@ -44,8 +44,7 @@ def test_upsert_updates_inserts_and_keeps(spark, target, rows):
     ]
     key = lambda r: [(v is None, str(v)) for v in r]
     assert rows(merge.merge_upsert(target, staged, ["id"])) == sorted(want, key=key)
-    assert rows(merge.merge_upsert(target, staged, ["id"], broadcast_rows=10)) == sorted(want, key=key)
-    assert rows(merge.merge_upsert(target, staged, ["id"], broadcast_rows=2)) == sorted(want, key=key)
+    assert rows(merge.merge_upsert(target, staged, ["id"], small_batch=True)) == sorted(want, key=key)
 
 
 def test_columns_that_are_not_staged_survive(spark, target, rows):
@@ -71,11 +70,11 @@ def test_unknown_column_is_an_error(spark, target):
         merge.merge_upsert(target, frame(spark, [(1, "x")], "id int, nope string"), ["id"])
 
 
-@pytest.mark.parametrize("broadcast_rows", [0, 10])
-def test_a_repeated_staged_key_fails(spark, target, broadcast_rows):
+@pytest.mark.parametrize("small_batch", [False, True])
+def test_a_repeated_staged_key_fails(spark, target, small_batch):
     staged = frame(spark, [(2, "x", None), (2, "y", None)])
     with pytest.raises(PySparkException, match="a key occurs twice"):
-        merge.merge_upsert(target, staged, ["id"], broadcast_rows=broadcast_rows).collect()
+        merge.merge_upsert(target, staged, ["id"], small_batch=small_batch).collect()
 
 
 def test_rejected_rows(spark, rows):
@@ -114,8 +113,8 @@ def test_delete_by_key(spark, target, rows):
 CHANGES = "id int, name string, mail string, _state string, seq int"
 
 
-@pytest.mark.parametrize("broadcast_rows", [0, 100])
-def test_latest_change_decides(spark, target, rows, broadcast_rows):
+@pytest.mark.parametrize("small_batch", [False, True])
+def test_latest_change_decides(spark, target, rows, small_batch):
     changes = frame(
         spark,
         [
@@ -129,7 +128,7 @@ def test_latest_change_decides(spark, target, rows, broadcast_rows):
         ],
         CHANGES,
     )
-    out = merge.apply_changes(target, changes, ["id"], seq="seq", broadcast_rows=broadcast_rows)
+    out = merge.apply_changes(target, changes, ["id"], seq="seq", small_batch=small_batch)
     assert rows(out) == [(2, "back", "m"), (None, "loose", None)]
 
 
@@ -179,9 +178,10 @@ def test_guard_is_strict(spark, missing, allowed):
 def test_thresholds_by_operation(spark, rows):
     old = spark.range(10).selectExpr("id", "'a' AS v")
     new = spark.range(1, 13).selectExpr("id", "if(id < 4, 'b', 'a') AS v")
-    out = threshold_guard(old, new, ["id"], {"Created": 20, "Updated": 29.9, "Deleted": 10})
+    states = classify_changes(old, new, ["id"])
+    out = threshold_guard(states, {"Created": 20, "Updated": 29.9, "Deleted": 10}, "_state")
     assert rows(out) == [("Created", 3, 10, 30.0, False), ("Deleted", 1, 10, 10.0, True), ("Updated", 3, 10, 30.0, False)]
-    empty = threshold_guard(old.limit(0), new, ["id"], {"Deleted": 0})
+    empty = threshold_guard(classify_changes(old.limit(0), new, ["id"]), {"Deleted": 0}, "_state")
     assert rows(empty) == [("Deleted", 0, 0, 0.0, True)]
 
 
@@ -242,7 +242,7 @@ def test_random_histories_match_a_dictionary(spark, rows):
     changes = frame(spark, log, "id int, name string, _state string, seq int")
     want = sorted(state.items(), key=lambda r: str(r[0]))
     assert rows(delta_sync(target, changes, ["id"], seq="seq")) == want
-    assert rows(delta_sync(target, changes, ["id"], seq="seq", broadcast_rows=5000)) == want
+    assert rows(delta_sync(target, changes, ["id"], seq="seq", small_batch=True)) == want
 
 
 def test_classification(spark, rows):
@@ -257,7 +257,7 @@ def test_classification(spark, rows):
     ]
     deleted = delta_between(old, new, ["id"]).where("_state = 'Deleted'").first()
     assert (deleted.id, deleted.name, deleted.mail) == (3, "c", "y")
-    assert rows(change_summary(old, new, ["id"])) == [("Created", 1), ("Deleted", 1), ("Unchanged", 2), ("Updated", 1)]
+    assert rows(change_summary(classify_changes(old, new, ["id"]), "_state")) == [("Created", 1), ("Deleted", 1), ("Unchanged", 2), ("Updated", 1)]
 
 
 def test_classification_of_maps_and_variants(spark, rows):
@@ -319,7 +319,7 @@ def test_null_keys_are_not_deduplicated(spark, rows):
 def test_small_batch_leaves_the_target_unshuffled(spark, plan_of):
     orders = spark.read.parquet("/root/testdata/sf0.001/orders.parquet").select("o_orderkey", "o_orderstatus")
     staged = orders.limit(5)
-    plan = plan_of(merge.merge_upsert(orders, staged, ["o_orderkey"], broadcast_rows=100))
+    plan = plan_of(merge.merge_upsert(orders, staged, ["o_orderkey"], small_batch=True))
     assert "SortMergeJoin" not in plan and "FullOuter" not in plan
     general = plan_of(merge.merge_upsert(orders, staged, ["o_orderkey"]))
     assert "FullOuter" in general
@@ -331,8 +331,146 @@ def test_bucketed_snapshot_is_not_shuffled_again(spark, plan_of, rows):
     target = spark.table("orders_snapshot")
     lines = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet")
     staged = lines.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.max("l_linestatus").alias("o_orderstatus"))
-    out = merge.merge_upsert(target, staged, ["o_orderkey"])
+    out = merge.merge_upsert(target, staged, ["o_orderkey"], complete_keys=True)
     joined = plan_of(out).split("FullOuter")[1].split("FileScan")[1:]
     target_side = plan_of(out).split("FullOuter")[1].split("FileScan")[0]
     assert joined and "Exchange" not in target_side
     assert rows(out) == rows(merge.merge_upsert(orders, staged, ["o_orderkey"]))
+
+
+def once(plan):
+    """Scans and shuffles of a plan, by input file or shuffle."""
+    return plan.count("FileScan"), plan.count("Exchange hashpartitioning")
+
+
+@pytest.fixture
+def as_at_scale(spark):
+    """Nothing is small enough to broadcast or to share a partition."""
+    names = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {name: spark.conf.get(name) for name in names}
+    for name, value in names.items():
+        spark.conf.set(name, value)
+    yield
+    for name, value in before.items():
+        spark.conf.set(name, value)
+
+
+def test_every_input_is_read_and_shuffled_once(spark, plan_of, as_at_scale):
+    folder = "/root/testdata/sf0.001"
+    orders = spark.read.parquet(f"{folder}/orders.parquet").select(F.nullif("o_orderkey", F.lit(3)).alias("k"), "o_orderdate")
+    lines = spark.read.parquet(f"{folder}/lineitem.parquet").select(F.nullif("l_orderkey", F.lit(5)).alias("k"), F.col("l_shipdate").alias("o_orderdate"), F.col("l_linenumber").alias("_seq"))
+    staged = lines.drop("_seq")
+    feed = lines.withColumn("_state", F.lit("Updated"))
+    assert once(plan_of(merge.merge_upsert(orders, staged, ["k"]))) == (2, 2)
+    assert once(plan_of(merge.apply_changes(orders, feed, ["k"], seq="_seq"))) == (2, 2)
+    assert once(plan_of(delta_sync(orders, feed, ["k"], seq="_seq", run_ts=RUN))) == (2, 2)
+    assert once(plan_of(merge.delete_by_key(orders, staged, ["k"]))) == (2, 2)
+    assert once(plan_of(merge.insert_missing(orders, staged, ["k"]))) == (3, 2)  # the target itself, and its keys
+
+
+def test_rows_without_a_key_spread(spark, as_at_scale):
+    target = spark.range(0, 40_000, 1, 8).selectExpr("if(id % 3 = 0, null, id) AS k", "id AS v")
+    out = merge.merge_upsert(target, target.where("k IS NULL"), ["k"])
+    sizes = [r["n"] for r in out.where("k IS NULL").groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+    assert sum(sizes) == 2 * 13_334 and max(sizes) < 0.4 * sum(sizes)
+    plain = spark.range(100).selectExpr("if(id < 90, null, id) AS k")
+    for out in (merge.delete_by_key(target, plain, ["k"]), merge.reconcile_deletes(target, plain, ["k"])):
+        sizes = [r["n"] for r in out.where("k IS NULL").groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+        assert sum(sizes) == 13_334 and max(sizes) < 0.4 * sum(sizes)
+
+
+def test_landed_pages_are_parsed_once(spark, plan_of, tmp_path):
+    from tidemark.sources.pages import read_pages
+
+    spark.createDataFrame([('[{"id":1,"name":"a"},{"id":null,"name":"b"}]',)], "value string").write.parquet(f"{tmp_path}/p")
+    staged = read_pages(spark.read.parquet(f"{tmp_path}/p"), item_schema="id int, name string")
+    target = spark.read.parquet("/root/testdata/sf0.001/region.parquet").selectExpr("r_regionkey AS id", "r_name AS name")
+    plan = plan_of(merge.merge_upsert(target, staged, ["id"]))
+    assert plan.count("from_json") == plan.count("Generate inline") == 1
+    assert merge.merge_upsert(target, staged, ["id"]).count() == 6
+
+
+def test_run_counts_audit_and_rejects(spark, rows):
+    target = frame(spark, [(1, "a"), (2, "b"), (3, "c"), (None, "loose")], "id int, name string")
+    source = frame(spark, [(1, "a"), (2, "B"), (4, "d")], "id int, name string")
+    run = run_full_sync(target, source, ["id"], percentage=50)
+    assert run.counts == {"Unchanged": 2, "Updated": 1, "Created": 1, "Deleted": 1} and not run.failed
+    assert rows(run.snapshot) == [(1, "a"), (2, "B"), (4, "d"), (None, "loose")]
+    stamped = {r.id: r for r in with_audit_columns(run.merged, RUN, "me").collect()}
+    assert stamped[4].inserted == STAMP and stamped[2].updated == STAMP and stamped[1].updated is None
+    bad = run_full_sync(target, source.union(frame(spark, [(None, "x")], "id int, name string")), ["id"])
+    assert bad.failed and rows(bad.rejected) == [(None, "x")] and rows(bad.snapshot) == rows(target)
+    assert bad.merged.count() == 0
+    with pytest.raises(RowsRejected):
+        full_sync(target, source.union(frame(spark, [(None, "x")], "id int, name string")), ["id"])
+
+
+def test_rejected_run_commits_no_state(spark, tmp_path):
+    from tidemark.sources.state import load_state
+
+    target = frame(spark, [(1, "a")], "id int, name string")
+    path = f"{tmp_path}/state"
+    good = run_delta_sync(target, frame(spark, [(1, "b", "Updated"), (2, "c", "Deleted")], "id int, name string, _state string"), ["id"])
+    good.commit(spark, path, "c", "s", "k", "9", RUN)
+    bad = run_delta_sync(target, frame(spark, [(None, "b", "Updated")], "id int, name string, _state string"), ["id"])
+    bad.commit(spark, path, "c", "s", "k", "10", RUN)
+    assert good.counts == {"Updated": 1} and bad.failed
+    assert load_state(spark, path, "c", "s", "k") == "9"
+
+
+def test_repeated_full_syncs_do_not_pile_up(spark, rows):
+    target = frame(spark, [(1, "a"), (None, "loose")], "id int, name string")
+    source = frame(spark, [(1, "b")], "id int, name string")
+    once_more = full_sync(full_sync(target, source, ["id"]), source, ["id"])
+    assert rows(once_more) == [(1, "b"), (None, "loose")]
+
+
+@pytest.mark.parametrize(
+    "call",
+    [
+        lambda t, s: merge.apply_changes(t, s.withColumn("_state", F.lit("Deleted")), ["id"], deleted_col="deleted"),
+        lambda t, s: merge.reconcile_deletes(t, s, ["id"], deleted_col="deleted"),
+        lambda t, s: full_sync(t, s, ["id"], deleted_col="deleted"),
+    ],
+)
+def test_soft_deletes_need_their_time(spark, call):
+    target = frame(spark, [(1, None)], "id int, deleted timestamp_ntz")
+    with pytest.raises(ValueError, match="run_ts"):
+        call(target, target.select("id"))
+
+
+def test_full_sync_refuses_unknown_columns(spark, target):
+    with pytest.raises(ValueError, match="no column"):
+        full_sync(target, frame(spark, [(1, "x")], "id int, nope string"), ["id"])
+
+
+def test_classification_needs_unique_keys(spark):
+    twice, single = frame(spark, [(1, "a", None), (1, "b", None)]), frame(spark, [(1, "a", None)])
+    for old, new in ((twice, single), (single, twice)):
+        with pytest.raises(PySparkException, match="a key occurs twice"):
+            classify_changes(old, new, ["id"]).collect()
+
+
+def test_equal_values_of_every_type(spark, rows):
+    kinds = "id int, m map<string,int>, s struct<a:int,m:map<string,array<int>>>, l array<map<string,int>>"
+    old = frame(spark, [(1, {"a": 1, "b": 2}, (1, {"x": [1], "y": [2]}), [{"p": 1, "q": 2}])], kinds)
+    new = frame(spark, [(1, {"b": 2, "a": 1}, (1, {"y": [2], "x": [1]}), [{"q": 2, "p": 1}])], kinds)
+    other = frame(spark, [(1, {"b": 2, "a": 1}, (1, {"y": [2], "x": [3]}), [{"q": 2, "p": 1}])], kinds)
+    assert rows(classify_changes(old, new, ["id"]), "_state") == [("Unchanged",)]
+    assert rows(classify_changes(old, other, ["id"]), "_state") == [("Updated",)]
+    assert shadow_snapshot(old, ["id"]).first().shadow_json == shadow_snapshot(new, ["id"]).first().shadow_json
+
+    def bags(text):
+        return spark.range(1).select("id", F.array(F.parse_json(F.lit(text))).alias("v"))
+
+    assert rows(classify_changes(bags('{"a":1}'), bags('{"a":1}'), ["id"]), "_state") == [("Unchanged",)]
+    assert rows(classify_changes(bags('{"a":1}'), bags('{"a":2}'), ["id"]), "_state") == [("Updated",)]
+
+
+def test_of_several_deletions_the_choice_is_fixed(spark, rows):
+    target = frame(spark, [(1, "a", None)], "id int, name string, deleted timestamp_ntz")
+    dead = [(1, name, "Deleted") for name in ("x", "z", "y")]
+    for order in (dead, dead[::-1]):
+        changes = frame(spark, order, "id int, name string, _state string").repartition(3)
+        out = merge.apply_changes(target, changes, ["id"], deleted_col="deleted", run_ts=RUN)
+        assert rows(out) == [(1, "z", STAMP)]

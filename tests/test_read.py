@@ -22,8 +22,8 @@ def test_null_sorts_lowest(people):
 
 def test_top_and_skip(people):
     assert ids(read.entity_read(people, order=["id"], top=2, skip=1)) == [2, 3]
-    assert ids(read.entity_read(people, order=["id"], top=0, default_top=3)) == [1, 2, 3]
-    assert ids(read.entity_read(people, order=["id"], top=-1, default_top=0)) == [1, 2, 3, 4, 5]
+    assert ids(read.entity_read(people, order=["id"], top=0)) == [1, 2, 3, 4, 5]
+    assert ids(read.entity_read(people, order=["id"], top=-1)) == [1, 2, 3, 4, 5]
     assert ids(read.entity_read(people, order=["id"], skip=9)) == []
 
 

@@ -3,7 +3,7 @@ import random
 from pyspark.sql import functions as F
 
 from tidemark.session import work_path
-from tidemark.streaming.upsert import compact, read_current, stream_upsert
+from tidemark.streaming.upsert import compact, drop_contained, read_current, stream_upsert
 
 SCHEMA = "id bigint, name string, seq bigint, _state string"
 
@@ -84,3 +84,55 @@ def test_a_replayed_feed_changes_nothing(spark):
     changes = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(feed.inbox)
     stream_upsert(changes, feed.path, ["id"], "seq", f"{feed.path}/checkpoint-2").awaitTermination()
     assert feed.current() == feed.state
+
+
+def change(spark, feed, *rows, checkpoint="checkpoint", inbox=None):
+    """Let rows arrive and run the stream over them."""
+    inbox = inbox or feed.inbox
+    spark.createDataFrame(list(rows), SCHEMA).coalesce(1).write.mode("append").parquet(inbox)
+    changes = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(inbox)
+    stream_upsert(changes, feed.path, ["id"], "seq", f"{feed.path}/{checkpoint}").awaitTermination()
+
+
+def test_compacting_twice_keeps_the_base(spark):
+    feed = Feed(spark)
+    change(spark, feed, (1, "a", 1, "Created"))
+    for at in ("2024-01-01", "2024-01-01", "2024-01-02"):
+        compact(spark, feed.path, SCHEMA, ["id"], "seq", at)
+        assert feed.current() == {1: "a"}
+
+
+def test_a_new_checkpoint_after_a_compaction(spark):
+    feed = Feed(spark)
+    for seq in range(3):
+        change(spark, feed, (1, f"v{seq}", seq, "Updated"))
+    compact(spark, feed.path, SCHEMA, ["id"], "seq", "2024-01-01")
+    change(spark, feed, (1, "new", 99, "Updated"), checkpoint="second", inbox=f"{feed.inbox}-2")
+    assert feed.current() == {1: "new"}
+    compact(spark, feed.path, SCHEMA, ["id"], "seq", "2024-01-02")
+    drop_contained(spark, feed.path)
+    assert feed.current() == {1: "new"}
+
+
+def test_late_and_equal_changes_do_not_depend_on_compaction(spark):
+    first = [(1, "new", 10, "Updated"), (2, "dead", 10, "Deleted"), (3, "b", 5, "Updated"), (4, "x", 5, "Updated")]
+    later = [(1, "stale", 5, "Updated"), (2, "stale", 9, "Updated"), (3, "a", 5, "Updated"), (4, "x", 5, "Deleted")]
+    results = []
+    for compacted in (False, True):
+        feed = Feed(spark)
+        change(spark, feed, *first)
+        if compacted:
+            compact(spark, feed.path, SCHEMA, ["id"], "seq", "2024-01-01")
+            drop_contained(spark, feed.path)
+        change(spark, feed, *later)
+        results.append(feed.current())
+    assert results == [{1: "new", 3: "b"}] * 2
+
+
+def test_state_of_equal_times(spark):
+    from tidemark.sources.state import commit_state, load_state
+
+    path = work_path(spark, "test-state")
+    for value in ("9", "10", "9", "10"):
+        commit_state(spark, path, "c", "s", "k", value, "2024-01-01")
+        assert load_state(spark, path, "c", "s", "k") == value

@@ -61,7 +61,9 @@ def test_trigger_keeps_the_old_identifier_for_null(spark, rows):
         [("a", "op a", "/a", "POST", True, 3)],
         "id string, name string, uri string, method string, managed_identity boolean, retry int",
     )
-    out = workflow.trigger_update(chain(spark), updates, operations)
+    updates = updates.union(spark.createDataFrame([(2, "w1"), (99, None)], updates.schema))
+    out, rejected = workflow.trigger_update(chain(spark), updates, operations)
+    assert rows(rejected) == [(99, "w", "transaction not found")]
     assert rows(out, "id", "workflow_identifier", "operation_name", "retry") == [(1, "w1", "op a", 3), (2, "w2", "op a", 3)]
 
 

@@ -8,15 +8,18 @@ from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.functions.times import wall_clock
+from tidemark.operators.keys import require_unique, spread
 from tidemark.operators.merge import CREATED, DELETED, UNCHANGED, UPDATED, outer_pairs, same_value
 
 
 def classify_changes(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Every key of either snapshot with ``_state``; columns come from the new row, of deleted keys from the old one.
 
-    Values are compared one by one, so the result does not depend on hashes.
+    Values are compared one by one, so the result does not depend on hashes.  A key that occurs twice in either
+    snapshot fails the job.
     """
     values = [field for field in new.schema.fields if field.name not in keys]
     same = [same_value(f.name, f.dataType) for f in values]
@@ -30,7 +33,8 @@ def classify_changes(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> Dat
         F.when(F.col("_s").isNull(), F.col(f"_t.`{f.name}`")).otherwise(F.col(f"_s.`{f.name}`")).alias(f.name)
         for f in values
     ]
-    return outer_pairs(old.select(*new.columns), new, keys, unique=True).select(*keys, *kept, state.alias("_state"))
+    before = require_unique(spread(old.select(*new.columns), keys), keys)
+    return outer_pairs(before, new, keys).select(*keys, *kept, state.alias("_state"))
 
 
 def delta_between(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -38,20 +42,19 @@ def delta_between(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFr
     return classify_changes(old, new, keys).where(F.col("_state") != UNCHANGED)
 
 
-def change_summary(before: DataFrame, after: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Row count per kind of change."""
-    return classify_changes(before, after, keys).groupBy("_state").agg(F.count(F.lit(1)).alias("rows"))
+def change_summary(rows: DataFrame, state_col: str = "_action") -> DataFrame:
+    """Row count per kind of change, from the rows of a run or of :func:`classify_changes`."""
+    return rows.groupBy(F.col(state_col).alias("_state")).agg(F.count(F.lit(1)).alias("rows"))
 
 
-def threshold_guard(
-    before: DataFrame, after: DataFrame, keys: Sequence[str], thresholds: Mapping[str, float]
-) -> DataFrame:
+def threshold_guard(rows: DataFrame, thresholds: Mapping[str, float], state_col: str = "_action") -> DataFrame:
     """One row per guarded operation: affected rows, existing rows, their percentage, and whether that is allowed.
 
-    ``thresholds`` gives the highest allowed percentage of existing rows by state name.  One aggregation counts all.
+    ``thresholds`` gives the highest allowed percentage of existing rows by state name.  One aggregation over the rows
+    of a run, or of :func:`classify_changes`, counts all.
     """
-    state = F.col("_state")
-    counts = classify_changes(before, after, keys).agg(
+    state = F.col(state_col)
+    counts = rows.agg(
         F.count_if(state != CREATED).alias("existing"),
         *[F.count_if(state == name).alias(f"_{i}") for i, name in enumerate(thresholds)],
     )
@@ -73,7 +76,23 @@ def threshold_guard(
 
 def shadow_snapshot(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Keys and the whole row as JSON with sorted property names, nulls left out."""
-    return df.select(*keys, F.to_json(F.struct(*sorted(df.columns))).alias("shadow_json"))
+    values = [_ordered(F.col(f"`{f.name}`"), f.dataType).alias(f.name) for f in df.schema.fields]
+    row = F.struct(*(value for _, value in sorted(zip(df.columns, values, strict=True), key=lambda pair: pair[0])))
+    return df.select(*keys, F.to_json(row).alias("shadow_json"))
+
+
+def _ordered(value: Column, data_type: T.DataType) -> Column:
+    """A value with the entries of its maps in the order of their keys."""
+    if isinstance(data_type, T.MapType):
+        entries = F.array_sort(F.map_entries(value), lambda a, b: F.when(a["key"] < b["key"], -1).otherwise(1))
+        inner = F.transform(entries, lambda e: F.struct(e["key"].alias("key"), _ordered(e["value"], data_type.valueType).alias("value")))
+        return F.map_from_entries(inner)
+    if isinstance(data_type, T.ArrayType):
+        return F.transform(value, lambda x: _ordered(x, data_type.elementType))
+    if isinstance(data_type, T.StructType):
+        fields = [_ordered(value[f.name], f.dataType).alias(f.name) for f in data_type.fields]
+        return F.when(value.isNotNull(), F.struct(*fields))
+    return value
 
 
 def with_audit_columns(df: DataFrame, run_ts: object, user: str, action_col: str = "_action") -> DataFrame:

@@ -15,13 +15,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.functions.times import wall_clock
-from tidemark.operators.keys import has_key, latest_per_key, one_change_per_key, require_unique, split_by_key
+from tidemark.operators.keys import APART, has_key, latest_apart, one_change_per_key, require_unique, spread
 from tidemark.session import cut_lineage
 
 CREATED, UPDATED, DELETED, UNCHANGED = "Created", "Updated", "Deleted", "Unchanged"
 
 
-def _same_columns(target: DataFrame, staged: DataFrame, keys: Sequence[str]) -> list[str]:
+def same_columns(target: DataFrame, staged: DataFrame, keys: Sequence[str]) -> list[str]:
     """Non-key staged columns; all of them and all keys must exist in the target."""
     present = set(target.columns)
     missing = [c for c in [*keys, *staged.columns] if c not in present]
@@ -36,33 +36,38 @@ def _packed(df: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
 
 
 def outer_pairs(
-    target: DataFrame, staged: DataFrame, keys: Sequence[str], broadcast_rows: int = 0, unique: bool = False
+    target: DataFrame,
+    staged: DataFrame,
+    keys: Sequence[str],
+    unique: bool = False,
+    complete_keys: bool = False,
+    small_batch: bool = False,
 ) -> DataFrame:
     """Target and staged rows side by side: keys, structs ``_t`` and ``_s`` (null when that side has no row).
 
-    The general way shuffles each side once on the keys; rows without a key are appended unpaired.  A positive
-    ``broadcast_rows`` first counts the staged rows up to that bound: a batch within it is broadcast, the target is
-    scanned twice (the second time keys only) and not shuffled at all.
+    Each side is read once and shuffled once, on the keys; rows without a key spread out and stay unpaired.
+    ``complete_keys`` says that no key is null, which spares the further shuffle column and so keeps the partitioning
+    of bucketed snapshots.  ``small_batch`` stores the batch and pairs it with a left and an anti join, of which Spark
+    broadcasts the batch by its measured bytes; the target is then read twice, the second time keys only.
 
     A staged key that occurs twice fails the job, unless the caller knows that keys are ``unique``.
     """
-    s_keyed, s_loose = split_by_key(staged, keys)
+    on = list(keys)
+    if not complete_keys:
+        target, staged, on = spread(target, keys), spread(staged, keys), [*keys, APART]
     if not unique:
-        s_keyed = require_unique(s_keyed, keys)
-    if broadcast_rows > 0 and staged.limit(broadcast_rows + 1).count() <= broadcast_rows:
-        return _small_pairs(target, cut_lineage(s_keyed.unionByName(s_loose)), keys)
-    t_keyed, t_loose = split_by_key(target, keys)
-    pairs = _packed(t_keyed, keys, "_t").join(_packed(s_keyed, keys, "_s"), list(keys), "full_outer")
-    pairs = pairs.unionByName(_packed(t_loose, keys, "_t"), allowMissingColumns=True)
-    return pairs.unionByName(_packed(s_loose, keys, "_s"), allowMissingColumns=True)
+        staged = require_unique(staged, keys)
+    if small_batch:
+        return _small_pairs(target, cut_lineage(staged), on)
+    return _packed(target, on, "_t").join(_packed(staged, on, "_s"), on, "full_outer")
 
 
-def _small_pairs(target: DataFrame, staged: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """The same pairs for a batch whose size was checked."""
-    pairs = _packed(target, keys, "_t").join(F.broadcast(_packed(staged, keys, "_s")), list(keys), "left")
-    found = target.select(*keys).join(F.broadcast(staged.select(*keys)), list(keys), "left_semi")
-    new = staged.join(found, list(keys), "left_anti")
-    return pairs.unionByName(_packed(new, keys, "_s"), allowMissingColumns=True)
+def _small_pairs(target: DataFrame, staged: DataFrame, on: Sequence[str]) -> DataFrame:
+    """The same pairs for a stored batch that Spark may find small enough to broadcast."""
+    pairs = _packed(target, on, "_t").join(_packed(staged, on, "_s"), list(on), "left")
+    found = target.select(*on).join(staged.select(*on), list(on), "left_semi")
+    new = staged.join(found, list(on), "left_anti")
+    return pairs.unionByName(_packed(new, on, "_s"), allowMissingColumns=True)
 
 
 def merged_columns(target: DataFrame, keys: Sequence[str], written: Sequence[str]) -> list[Column]:
@@ -79,12 +84,31 @@ def merged_columns(target: DataFrame, keys: Sequence[str], written: Sequence[str
     return columns
 
 
+def comparable(value: Column, data_type: T.DataType) -> Column:
+    """A value in a form whose equality is that of the value: maps as sorted entries, variants as their JSON text."""
+    if isinstance(data_type, T.VariantType):
+        return F.to_json(value)
+    if isinstance(data_type, T.MapType):
+        entry = T.ArrayType(
+            T.StructType([T.StructField("key", data_type.keyType), T.StructField("value", data_type.valueType)])
+        )
+        return F.sort_array(comparable(F.map_entries(value), entry))
+    if isinstance(data_type, T.ArrayType) and _contains_loose(data_type.elementType):
+        return F.transform(value, lambda x: comparable(x, data_type.elementType))
+    if isinstance(data_type, T.StructType) and _contains_loose(data_type):
+        fields = [comparable(value[f.name], f.dataType).alias(f.name) for f in data_type.fields]
+        return F.when(value.isNotNull(), F.struct(*fields))
+    return value
+
+
+def _contains_loose(data_type: T.DataType) -> bool:
+    return "map<" in data_type.simpleString() or "variant" in data_type.simpleString()
+
+
 def same_value(name: str, data_type: T.DataType) -> Column:
     """Whether a column is equal on both sides of :func:`outer_pairs`, two nulls being equal."""
     left, right = F.col(f"_t.`{name}`"), F.col(f"_s.`{name}`")
-    if isinstance(data_type, T.MapType | T.VariantType):  # no equality of their own, but their JSON text has
-        left, right = F.to_json(left), F.to_json(right)
-    return left.eqNullSafe(right)
+    return comparable(left, data_type).eqNullSafe(comparable(right, data_type))
 
 
 def action(target: DataFrame, written: Sequence[str]) -> Column:
@@ -103,17 +127,18 @@ def merge_upsert(
     staged: DataFrame,
     keys: Sequence[str],
     with_action: bool = False,
-    broadcast_rows: int = 0,
+    complete_keys: bool = False,
+    small_batch: bool = False,
 ) -> DataFrame:
     """Update matching rows with every staged non-key column, insert the others, delete nothing.
 
     ``staged`` holds one row per key (see :func:`latest_per_key`), else the job fails.  With ``with_action`` the column
-    ``_action`` tells what happened to each row.  ``broadcast_rows`` as in :func:`outer_pairs`.
+    ``_action`` tells what happened to each row.  ``complete_keys`` and ``small_batch`` as in :func:`outer_pairs`.
     """
-    written = _same_columns(target, staged, keys)
+    written = same_columns(target, staged, keys)
     if not written and not with_action:
         return insert_missing(target, staged, keys)
-    pairs = outer_pairs(target, staged, keys, broadcast_rows)
+    pairs = outer_pairs(target, staged, keys, complete_keys=complete_keys, small_batch=small_batch)
     columns = merged_columns(target, keys, written)
     if with_action:
         columns.append(action(target, written).alias("_action"))
@@ -122,14 +147,25 @@ def merge_upsert(
 
 def insert_missing(target: DataFrame, staged: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Insert staged rows whose key the target lacks; matching rows stay untouched."""
-    keyed, loose = split_by_key(staged, keys)
-    new = require_unique(keyed, keys).join(target.select(*keys), list(keys), "left_anti")
-    return target.unionByName(new, allowMissingColumns=True).unionByName(loose, allowMissingColumns=True)
+    new = require_unique(spread(staged, keys), keys).join(_known(target, keys), [*keys, APART], "left_anti")
+    return target.unionByName(new.drop(APART), allowMissingColumns=True)
+
+
+def _known(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Keys to be joined with spread rows; those that are null spread as well and match nothing."""
+    return spread(df.select(*keys), keys)
 
 
 def delete_by_key(target: DataFrame, dead: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Target rows whose key is not among the dead ones."""
-    return target.join(dead.select(*keys), list(keys), "left_anti")
+    kept = spread(target, keys).join(_known(dead, keys), [*keys, APART], "left_anti")
+    return kept.select(*target.columns)
+
+
+def needs_run_ts(deleted_col: str | None, run_ts: object) -> None:
+    """A soft delete without its time would leave the row live."""
+    if deleted_col is not None and run_ts is None:
+        raise ValueError("soft deletes need run_ts, the time of the run")
 
 
 def stamp_deleted(df: DataFrame, deleted_col: str, run_ts: object, state_col: str = "_state") -> DataFrame:
@@ -146,30 +182,43 @@ def apply_changes(
     run_ts: object = None,
     seq: str | None = None,
     state_col: str = "_state",
-    broadcast_rows: int = 0,
+    with_action: bool = False,
+    small_batch: bool = False,
 ) -> DataFrame:
     """Apply one batch of upserts and deletes.
 
     With ``seq`` the latest change of a key decides; equal or absent sequence values let the deletion win.  Without
     ``seq`` two upserts of one key are an error.  ``deleted_col`` switches to soft deletes stamped with ``run_ts``.
-    ``broadcast_rows`` as in :func:`outer_pairs`.
+    With ``with_action`` the column ``_action`` tells what happened, and deleted rows stay in the result, so that counts
+    and audit columns come from the same join; :func:`surviving` drops them.  ``small_batch`` as in :func:`outer_pairs`.
     """
+    needs_run_ts(deleted_col, run_ts)
     is_delete = F.col(state_col).eqNullSafe(DELETED)
     if seq is None:
-        batch = one_change_per_key(changes, keys, is_delete)
+        batch = spread(one_change_per_key(changes, keys, is_delete), keys)
     else:
-        batch = latest_per_key(changes, keys, [F.col(seq), is_delete])
+        batch = latest_apart(spread(changes, keys), keys, [F.col(seq), is_delete])
 
     if deleted_col is not None:
         batch = stamp_deleted(batch, deleted_col, run_ts, state_col)
-    extra = {state_col} | ({seq} if seq and seq not in target.columns else set())
+    extra = {state_col, APART} | ({seq} if seq and seq not in target.columns else set())
     written = [c for c in batch.columns if c not in keys and c not in extra]
-    _same_columns(target, batch.drop(*extra), keys)
+    same_columns(target, batch.drop(*extra), keys)
 
-    pairs = outer_pairs(target, batch, keys, broadcast_rows, unique=True)
+    pairs = outer_pairs(target, batch, keys, unique=True, small_batch=small_batch)
+    gone = F.col(f"_s.`{state_col}`").eqNullSafe(DELETED)
+    known = F.col("_t").isNotNull()
     if deleted_col is None:
-        pairs = pairs.where(~F.col(f"_s.`{state_col}`").eqNullSafe(DELETED))
-    return pairs.select(*merged_columns(target, keys, written))
+        pairs = pairs.where(~gone | known) if with_action else pairs.where(~gone)
+    columns = merged_columns(target, keys, written)
+    if with_action:
+        columns.append(F.when(gone & known, DELETED).otherwise(action(target, written)).alias("_action"))
+    return pairs.select(*columns)
+
+
+def surviving(rows: DataFrame) -> DataFrame:
+    """The next snapshot from hard-deleting rows with their ``_action``."""
+    return rows.where(F.col("_action") != DELETED).drop("_action")
 
 
 def reconcile_deletes(
@@ -183,13 +232,13 @@ def reconcile_deletes(
 
     Rows already stamped keep their stamp; rows without a key cannot be identified and stay.
     """
-    seen_keys = seen.select(*keys).distinct()
+    needs_run_ts(deleted_col, run_ts)
+    seen_keys = _known(seen, keys).distinct().withColumn("_seen", F.lit(True))
+    marked = spread(target, keys).join(seen_keys, [*keys, APART], "left")
+    unseen = has_key(keys) & F.col("_seen").isNull()
     if deleted_col is None:
-        keyed, loose = split_by_key(target, keys)
-        return keyed.join(seen_keys, list(keys), "left_semi").unionByName(loose)
-    marked = target.join(seen_keys.withColumn("_seen", F.lit(True)), list(keys), "left")
-    gone = has_key(keys) & F.col("_seen").isNull() & F.col(deleted_col).isNull()
-    stamp = F.when(gone, wall_clock(run_ts)).otherwise(F.col(deleted_col))
+        return marked.where(~unseen).select(*target.columns)
+    stamp = F.when(unseen & F.col(deleted_col).isNull(), wall_clock(run_ts)).otherwise(F.col(deleted_col))
     return marked.withColumn(deleted_col, stamp).select(*target.columns)
 
 

@@ -11,8 +11,6 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.predicates import predicate, typed_literal
 
-DEFAULT_TOP = 10_000
-
 
 def sort_keys(order: Sequence[str | tuple[str, str]]) -> list[Column]:
     """Sort columns from ``"name"`` or ``("name", "desc")``; null sorts lowest, as in SQL Server."""
@@ -31,9 +29,8 @@ def entity_read(
     top: int | None = None,
     skip: int | None = None,
     distinct: bool = False,
-    default_top: int = DEFAULT_TOP,
 ) -> DataFrame:
-    """Filter, project, sort and page rows; a missing or non-positive ``top`` means ``default_top``.
+    """Filter, project, sort and page rows; without a positive ``top`` all rows are returned.
 
     Sort plus limit compiles to one top-n operator, so no full sort takes place.  A deep ``skip`` still has to
     rank all skipped rows: use :func:`page_after` to walk a large table.
@@ -47,28 +44,34 @@ def entity_read(
         out = out.select(*select)
     if skip and skip > 0:
         out = out.offset(skip)
-    limit = top if top and top > 0 else default_top
-    return out.limit(limit) if limit > 0 else out
+    return out.limit(top) if top and top > 0 else out
 
 
 def page_after(
     df: DataFrame,
     order: Sequence[str | tuple[str, str]],
     after: Sequence[object] | None,
-    top: int = DEFAULT_TOP,
+    top: int | None = None,
 ) -> DataFrame:
     """The ``top`` rows that follow the key values ``after``; the filter reaches the scan, so pages stay equally cheap.
 
-    The sort columns must be non-null and together unique.
+    The sort columns must be together unique.  Nulls sort lowest, as in :func:`sort_keys`, and get onto pages like
+    any other value.
     """
     if after is None:
         return entity_read(df, order=order, top=top)
     beyond = None
     for item, value in reversed(list(zip(order, after))):
         name, direction = (item, "asc") if isinstance(item, str) else item
-        bound = typed_literal(value, df.select(name).schema[0].dataType)
-        step = F.col(name) < bound if direction.lower() == "desc" else F.col(name) > bound
-        beyond = step if beyond is None else step | ((F.col(name) == bound) & beyond)
+        descending = direction.lower() == "desc"
+        if value is None:
+            step, same = (F.lit(False) if descending else F.col(name).isNotNull()), F.col(name).isNull()
+        else:
+            bound = typed_literal(value, df.select(name).schema[0].dataType)
+            step, same = (F.col(name) > bound), F.col(name) == bound
+            if descending:
+                step = (F.col(name) < bound) | F.col(name).isNull()
+        beyond = step if beyond is None else step | (same & beyond)
     return entity_read(df.where(beyond), order=order, top=top)
 
 

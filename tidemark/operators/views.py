@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators.keys import join_spread
 from tidemark.operators.read import live_rows
 
 
@@ -21,12 +22,8 @@ def identity_view(identities: DataFrame, units: DataFrame) -> DataFrame:
         F.col("id").alias("manager_id"), F.col("display_name").alias("manager_display_name")
     )
     unit_names = units.select(F.col("id").alias("unit_id"), F.col("display_name").alias("unit_display_name"))
-    return (
-        live_rows(identities, "deleted")
-        .drop("deleted")
-        .join(unit_names, "unit_id", "left")
-        .join(managers, "manager_id", "left")
-    )
+    live = live_rows(identities, "deleted").drop("deleted")
+    return join_spread(join_spread(live, unit_names, "unit_id"), managers, "manager_id")
 
 
 def edge_view(edges: DataFrame, edge_types: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -43,9 +40,7 @@ def edge_view(edges: DataFrame, edge_types: DataFrame, nodes: DataFrame) -> Data
         )
 
     return (
-        live_rows(edges, "deleted")
-        .drop("deleted")
-        .join(types, "edge_type_id", "left")
+        join_spread(live_rows(edges, "deleted").drop("deleted"), types, "edge_type_id")
         .join(end("to"), "node_to", "left")
         .join(end("from"), "node_from", "left")
     )

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators.keys import join_spread
 from tidemark.operators.read import live_rows
 from tidemark.operators.views import transaction_detail
+from tidemark.session import cut_lineage
 
 
 def check_requests(
@@ -15,17 +17,14 @@ def check_requests(
     """Requests with ``reject_reason``: the first failing existence check, null when accepted.
 
     A request names an ``operation_id`` and optionally an ``approval_id`` and a ``predecessor_id``; a predecessor
-    must exist before the batch.  Each lookup side holds one row per id, so the joins keep one row per request.
+    must exist before the batch.  Each lookup side holds one row per id, so the joins keep one row per request.  The
+    many requests without approval or predecessor spread over all tasks.
     """
-
-    def known(df: DataFrame, request_col: str, flag: str) -> DataFrame:
-        return df.select(F.col("id").alias(request_col)).distinct().withColumn(flag, F.lit(True))
-
-    checked = (
-        requests.join(known(operations, "operation_id", "_operation"), "operation_id", "left")
-        .join(known(approvals, "approval_id", "_approval"), "approval_id", "left")
-        .join(known(transactions, "predecessor_id", "_predecessor"), "predecessor_id", "left")
-    )
+    checked = requests
+    for df, name in ((operations, "operation"), (approvals, "approval"), (transactions, "predecessor")):
+        key = f"{name}_id"
+        ids = df.select(F.col("id").alias(key)).distinct().withColumn(f"_{name}", F.lit(True))
+        checked = join_spread(checked, ids, key)
     reason = (
         F.when(F.col("_operation").isNull(), "operation not found")
         .when(F.col("approval_id").isNotNull() & F.col("_approval").isNull(), "approval not found")
@@ -37,8 +36,8 @@ def check_requests(
 def create_transactions(
     requests: DataFrame, operations: DataFrame, approvals: DataFrame, transactions: DataFrame
 ) -> tuple[DataFrame, DataFrame]:
-    """Accepted requests, which become transactions, and rejected ones with their reason."""
-    checked = check_requests(requests, operations, approvals, transactions)
+    """Accepted requests, which become transactions, and rejected ones with their reason; checked and stored once."""
+    checked = cut_lineage(check_requests(requests, operations, approvals, transactions))
     return (
         checked.where(F.col("reject_reason").isNull()).drop("reject_reason"),
         checked.where(F.col("reject_reason").isNotNull()),
@@ -61,10 +60,11 @@ def open_approvals(accepted: DataFrame, states: DataFrame, requester: str, new_s
 
 def record_results(results: DataFrame, transactions: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Results of existing transactions, to be appended, and those of unknown ones."""
-    ids = transactions.select(F.col("id").alias("transaction_id"))
+    ids = transactions.select(F.col("id").alias("transaction_id")).distinct().withColumn("_known", F.lit(True))
+    marked = cut_lineage(join_spread(results, ids, "transaction_id"))
     return (
-        results.join(ids, "transaction_id", "left_semi"),
-        results.join(ids, "transaction_id", "left_anti").withColumn("reject_reason", F.lit("transaction not found")),
+        marked.where("_known").drop("_known"),
+        marked.where("_known IS NULL").drop("_known").withColumn("reject_reason", F.lit("transaction not found")),
     )
 
 
@@ -89,10 +89,19 @@ def successors(results: DataFrame, transactions: DataFrame) -> DataFrame:
     )
 
 
-def trigger_update(transactions: DataFrame, updates: DataFrame, operations: DataFrame) -> DataFrame:
-    """Triggered transactions with their operation details and new workflow identifier; a null one keeps the old."""
-    new = updates.select("id", F.col("workflow_identifier").alias("_new"))
-    updated = transactions.join(new, "id").withColumn(
-        "workflow_identifier", F.coalesce("_new", "workflow_identifier")
+def trigger_update(
+    transactions: DataFrame, updates: DataFrame, operations: DataFrame
+) -> tuple[DataFrame, DataFrame]:
+    """Triggered transactions with their operation details and new workflow identifier, and rejected updates.
+
+    A null identifier keeps the old one.  Several updates of one transaction count as one, with the greatest
+    identifier; an update without a known transaction is rejected.
+    """
+    new = updates.groupBy("id").agg(F.max("workflow_identifier").alias("_new"))
+    known = transactions.withColumn("_known", F.lit(True))
+    marked = cut_lineage(join_spread(new, known, "id"))
+    accepted = marked.where("_known").withColumn("workflow_identifier", F.coalesce("_new", "workflow_identifier"))
+    rejected = marked.where("_known IS NULL").select(
+        "id", F.col("_new").alias("workflow_identifier"), F.lit("transaction not found").alias("reject_reason")
     )
-    return transaction_detail(updated.drop("_new"), operations)
+    return transaction_detail(accepted.select(*transactions.columns), operations), rejected

@@ -45,7 +45,6 @@ def entity_read_text(t: Tables) -> DataFrame:
             ("or", ("contains", "p_name", "widget"), ("startswith", "p_name", "blue")),
             ("not", ("endswith", "p_name", "ring")),
         ),
-        default_top=0,
     )
 
 
@@ -72,7 +71,6 @@ def entity_read_comparisons(t: Tables) -> DataFrame:
             ),
             ("ge", "l_shipdate", "2001-01-01 00:00:00"),
         ),
-        default_top=0,
     )
 
 
@@ -90,13 +88,12 @@ def entity_read_nulls(t: Tables) -> DataFrame:
         orders,
         select=["o_orderkey", "o_orderstatus", "priority"],
         where=("or", ("eq", "priority", None), ("and", ("ne", "priority", None), ("eq", "o_orderstatus", "F"))),
-        default_top=0,
     )
 
 
 @query("entity_distinct", "SELECT DISTINCT o_orderpriority, o_orderstatus FROM orders")
 def entity_distinct(t: Tables) -> DataFrame:
-    return read.entity_read(t.orders, select=["o_orderpriority", "o_orderstatus"], distinct=True, default_top=0)
+    return read.entity_read(t.orders, select=["o_orderpriority", "o_orderstatus"], distinct=True)
 
 
 @query(

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.plans.registry import Tables, query
 from tidemark.session import work_path
 from tidemark.sources.tables import mark_deleted
-from tidemark.streaming.upsert import compact, read_current, stream_upsert
+from tidemark.streaming.upsert import compact, drop_contained, read_current, stream_upsert
 
 FEED_SCHEMA = "user_id bigint, event_type string, ts timestamp_ntz, value double, event_id bigint, _state string"
 
@@ -62,4 +62,29 @@ def stream_compacted(t: Tables) -> DataFrame:
     )
     stream_upsert(feed, path, ["user_id"], "event_id", f"{path}/checkpoint").awaitTermination()
     compact(t.spark, path, schema, ["user_id"], "event_id", "2024-02-01", base)
-    return read_current(t.spark, path, schema, ["user_id"], "event_id")
+    return read_current(t.spark, path, schema, ["user_id"], "event_id").drop("event_id")
+
+
+@query(
+    "stream_upsert_late_batches",
+    """
+    SELECT user_id, event_type, ts, value, event_id FROM events
+    QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1 AND event_type <> 'error'
+    """,
+)
+def stream_late(t: Tables) -> DataFrame:
+    """Events arrive in several batches with the later ones first, around compactions and a new checkpoint."""
+    path, keys = work_path(t.spark, "stream"), ["user_id"]
+    third = F.ntile(3).over(Window.partitionBy("event_type").orderBy(F.desc("event_id")))
+    feed = mark_deleted(t.events, "event_type", ["error"]).withColumn("third", third)
+    feed.write.partitionBy("third").parquet(f"{path}/arriving")
+    for step, checkpoint in ((1, "a"), (2, "a"), (3, "b")):
+        arrived = t.spark.read.schema(FEED_SCHEMA).parquet(f"{path}/arriving/third={step}")
+        arrived.repartition(2).write.mode("append").parquet(f"{path}/inbox-{checkpoint}")
+        source = t.spark.readStream.schema(FEED_SCHEMA).option("maxFilesPerTrigger", 1)
+        arriving = source.parquet(f"{path}/inbox-{checkpoint}")
+        stream_upsert(arriving, path, keys, "event_id", f"{path}/checkpoint-{checkpoint}").awaitTermination()
+        if step < 3:
+            compact(t.spark, path, FEED_SCHEMA, keys, "event_id", f"2024-02-0{step}")
+    drop_contained(t.spark, path)
+    return read_current(t.spark, path, FEED_SCHEMA, keys, "event_id")

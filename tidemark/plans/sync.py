@@ -46,8 +46,8 @@ def _target(t: Tables) -> DataFrame:
 
 def _source(t: Tables) -> DataFrame:
     """One row per order; the label is null where its lines disagree."""
-    low, high = F.min(F.ascii("l_returnflag")), F.max(F.ascii("l_returnflag"))  # numbers keep the aggregate hashed
-    label = F.when(low == high, F.char(low))
+    low, high = F.min("l_returnflag"), F.max("l_returnflag")
+    label = F.when(low == high, low)
     return t.lineitem.groupBy(F.col("l_orderkey").alias("id")).agg(
         label.alias("label"), F.count(F.lit(1)).alias("lines"), F.max("l_shipdate").alias("seen_at")
     )
@@ -82,7 +82,7 @@ def merge_upsert_small_batch(t: Tables) -> DataFrame:
         F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("segment")
     )
     staged = t.nation.select(F.col("n_nationkey").cast("bigint").alias("id"), F.col("n_name").alias("name"))
-    return merge.merge_upsert(target, staged, ["id"], broadcast_rows=100_000)
+    return merge.merge_upsert(target, staged, ["id"], small_batch=True)
 
 
 @query(
@@ -311,7 +311,7 @@ def delta_sync(t: Tables) -> DataFrame:
     """,
 )
 def delta_sync_small_batch(t: Tables) -> DataFrame:
-    """The latest event of each user as a delta that is broadcast if its checked size allows."""
+    """The latest event of each user as a delta that Spark broadcasts if its bytes allow."""
     accounts = t.orders.groupBy(F.col("o_custkey").alias("id")).agg(
         F.max("o_totalprice").alias("amount"), F.max("o_orderdate").alias("updated")
     )
@@ -326,8 +326,11 @@ def delta_sync_small_batch(t: Tables) -> DataFrame:
         "event_type",
         ["error"],
     ).drop("event_type")
-    latest = latest_per_key(feed, ["id"], "_seq")
-    return sync_ops.delta_sync(accounts, latest, ["id"], seq="_seq", broadcast_rows=1_000_000)
+    return sync_ops.delta_sync(accounts, feed, ["id"], seq="_seq", small_batch=True)
+
+
+def _delta_run(t: Tables) -> sync_ops.Run:
+    return sync_ops.run_delta_sync(_accounts(t), _order_feed(t), ["id"], seq="_seq")
 
 
 @query(
@@ -342,7 +345,7 @@ def delta_sync_small_batch(t: Tables) -> DataFrame:
     """,
 )
 def change_summary(t: Tables) -> DataFrame:
-    return changes.change_summary(_accounts(t), delta_sync(t), ["id"])
+    return changes.change_summary(_delta_run(t).rows)
 
 
 @query(
@@ -362,7 +365,7 @@ def change_summary(t: Tables) -> DataFrame:
     """,
 )
 def threshold_guard(t: Tables) -> DataFrame:
-    return changes.threshold_guard(_accounts(t), delta_sync(t), ["id"], {"Updated": 90, "Deleted": 10})
+    return changes.threshold_guard(_delta_run(t).rows, {"Updated": 90, "Deleted": 10})
 
 
 @query(

@@ -164,7 +164,22 @@ def successors(t: Tables) -> DataFrame:
 def trigger_update(t: Tables) -> DataFrame:
     identifier = F.when(F.col("completed"), F.concat(F.lit("run-"), "transaction_id"))
     updates = _results(t).select(F.col("transaction_id").alias("id"), identifier.alias("workflow_identifier"))
-    return workflow.trigger_update(_transactions(t), updates, _operations(t))
+    return workflow.trigger_update(_transactions(t), updates, _operations(t))[0]
+
+
+@query(
+    "trigger_update_rejected",
+    f"""
+    WITH {WORK_SQL}
+    SELECT 'no-' || r.transaction_id AS id, 'run' AS workflow_identifier, 'transaction not found' AS reject_reason
+    FROM results r WHERE NOT r.completed
+    """,
+)
+def trigger_update_rejected(t: Tables) -> DataFrame:
+    """Updates of transactions that do not exist, in place of those that are not completed."""
+    wanted = F.when(F.col("completed"), F.col("transaction_id")).otherwise(F.concat(F.lit("no-"), "transaction_id"))
+    updates = _results(t).select(wanted.alias("id"), F.lit("run").alias("workflow_identifier"))
+    return workflow.trigger_update(_transactions(t), updates, _operations(t))[1]
 
 
 @query(
