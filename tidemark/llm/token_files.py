@@ -39,7 +39,7 @@ from tidemark.llm.tokens import CHUNK_CHARS, encoder
 MAGIC = b"TDAC1\0\0\0"
 WIDTHS = (12, 4)  # bits of the first chunk and of every further one
 RANK_BLOCK = 512  # bits between two entries of a rank directory
-SEGMENT_TOKENS = 1 << 20  # a segment is closed by the document that reaches this
+SEGMENT_TOKENS = 1 << 18  # a segment is closed by the document that reaches this
 
 
 def pack_chunks(values: np.ndarray, width: int) -> bytes:

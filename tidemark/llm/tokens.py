@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import os
 import re
 
 import numpy as np
 from tokenizers import Tokenizer
 
-WORDS = 600_000  # words that a worker remembers; beyond that it starts over
+WORDS = 500_000  # words that a worker remembers; beyond that it keeps the third that it used most
 CHUNK_CHARS = 1_000_000  # characters of texts that are encoded together
 COMBINING = re.compile("[̀-ͯ]")
 JOINED = 1000  # words per call of the library
@@ -36,6 +37,8 @@ class Encoder:
     """
 
     def __init__(self, path: str, words: int = WORDS) -> None:
+        # A task has one core; the library's own threads would take those of other tasks.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
         self.limit = words
         added = self.tokenizer.get_added_tokens_decoder()
@@ -49,9 +52,22 @@ class Encoder:
         return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
 
     def _clear(self) -> None:
-        self.numbers, self.used = _Numbers(), 0
+        self.numbers, self.used, self.uses = _Numbers(), 0, np.empty(0, np.int64)
         self.begin, self.size, self.flat = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(1 << 20, np.uint32)
 
+    def _forget(self) -> None:
+        """Keep the third of the words that were used most, and more than once."""
+        kept = np.argsort(-self.uses, kind="stable")[: self.limit // 3]
+        kept = np.sort(kept[self.uses[kept] > 1])
+        words = list(self.numbers)
+        self.numbers = _Numbers()
+        self.numbers.update((words[k], n) for n, k in enumerate(kept.tolist()))
+        sizes = self.size[kept]
+        total = np.r_[0, np.cumsum(sizes)]
+        ids = self.flat[np.repeat(self.begin[kept] - total[:-1], sizes) + np.arange(total[-1])]
+        self.begin, self.size, self.uses, self.used = total[:-1], sizes, self.uses[kept] // 2, len(ids)
+        self.flat[: len(ids)] = ids
+
     def _learn(self) -> None:
         """Encode the new words and append their ids."""
         new, self.numbers.new = self.numbers.new, []
@@ -73,7 +89,7 @@ class Encoder:
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after the other, and the ends of the texts in them."""
         if len(self.numbers) > self.limit:
-            self._clear()
+            self._forget()
         whole = {k for k, t in enumerate(texts) if any(m[:2] in t for m in self.marks)}
         counts, parts = [], []
         for k, text in enumerate(texts):
@@ -87,6 +103,8 @@ class Encoder:
             parts.append(np.fromiter(map(self.numbers.__getitem__, words), np.int64, len(words)))
         self._learn()
         number = np.concatenate(parts) if parts else np.empty(0, np.int64)
+        self.uses = np.r_[self.uses, np.zeros(len(self.numbers) - len(self.uses), np.int64)]
+        self.uses += np.bincount(number, minlength=len(self.uses))
         sizes = self.size[number]
         total = np.r_[0, np.cumsum(sizes)]
         ids = self.flat[np.repeat(self.begin[number] - total[:-1], sizes) + np.arange(total[-1])]
