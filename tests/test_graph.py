@@ -89,7 +89,7 @@ def test_random_graphs_match_brute_force(spark, seed):
     tables = frames(spark, nodes, edges, WEIGHTS)
     inherited = {r.identifier: r.inherited for r in graph.inherited_factor(*tables).collect()}
     assert inherited == {n: max(a for a, _ in want[n].values()) if n in want else 0 for n, _, _ in nodes}
-    reached = {(r.root, r.node): (r.accumulated, r.depth) for r in graph.reachable(*tables).collect()}
+    reached = {(r.root, r.node): (r.accumulated, r.depth) for r in graph.reachable(*tables, tables[0]).collect()}
     assert reached == {(root, n): v for root, reach in want.items() for n, v in reach.items()}
     own = {n: f for n, f, _ in nodes}
     assert all(own[n] <= v <= 255 for n, v in inherited.items() if n in want)
@@ -109,7 +109,7 @@ def test_both_factors_and_depth(spark):
 def test_reach_from_given_roots(spark):
     nodes, edges = CASES["cycle"]
     roots = spark.createDataFrame([("b",), ("b",), ("unknown",)], "identifier string")
-    got = graph.reachable(*frames(spark, nodes, edges, WEIGHTS), depth=1, roots=roots).collect()
+    got = graph.reachable(*frames(spark, nodes, edges, WEIGHTS), roots, depth=1).collect()
     assert sorted((r.root, r.node, r.factor, r.accumulated, r.depth) for r in got) == [("b", "b", 20, 20, 0), ("b", "c", 30, 50, 1)]
 
 
@@ -117,4 +117,4 @@ def test_no_edges(spark):
     nodes, _ = CASES["cycle"]
     tables = frames(spark, nodes, [], WEIGHTS)
     assert {r.identifier: r.inherited for r in graph.inherited_factor(*tables).collect()} == {"a": 10, "b": 20, "c": 30}
-    assert graph.reachable(*tables).count() == 3
+    assert graph.reachable(*tables, tables[0]).count() == 3

@@ -1,13 +1,16 @@
 import datetime as dt
 import random
 import tempfile
-from decimal import Decimal
 
 import pytest
+from py4j.protocol import Py4JError
+from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.operators.directory_plan import plan_directory_changes
+from tidemark.operators.merge import merge_upsert
+from tidemark.operators.sync import full_sync
 from tidemark.sources import directory, mapping, pages, tables
 from tidemark.sources.state import commit_state, load_state
 
@@ -114,7 +117,7 @@ def test_typed_properties(spark):
         "s": "string", "i": "long", "big": "long", "d": "decimal", "b": "boolean", "n": "null", "a": "raw", "o": "raw",
     }
     assert (got["s"].string_value, got["i"].long_value, got["big"].long_value) == ("x", 5, 2**63 - 1)
-    assert (got["d"].decimal_value, got["b"].boolean_value) == (Decimal("1.5"), True)
+    assert (got["d"].decimal_text, got["d"].double_value, got["b"].boolean_value) == ("1.5", 1.5, True)
     assert (got["a"].string_value, got["o"].string_value) == ('[1,"z"]', '{"k":1}')
 
 
@@ -261,3 +264,67 @@ def test_directory_plan_with_one_huge_group(spark):
     plan = plan_directory_changes(members(20000, 100), members(20000, 0), ["member"])
     got = {(r.dn, r.op): r["count"] for r in plan.groupBy("dn", "op").count().collect()}
     assert got[("hot", "add_value")] == 50 and got[("hot", "delete_value")] == 50
+
+
+def test_directory_plan_shuffles_three_times(spark, plan_of):
+    lines = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet")
+    values = lines.select(F.col("l_orderkey").alias("dn"), F.lit("member").alias("attribute"), F.col("l_partkey").cast("string").alias("value"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    plan = plan_of(plan_directory_changes(values, values, ["member"]))
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    # Members, flags of the objects, and both sides of the salted join.
+    assert plan.count("Exchange hashpartitioning") <= 4 and "hashpartitioning(dn" in plan
+    assert all("_salt" in part.split(")")[0] for part in plan.split("Join [dn")[1:])
+
+
+@pytest.mark.parametrize(("number", "value"), [("1.12345678901234", 1.12345678901234), ("1e-12", 1e-12), ("1e30", 1e30)])
+def test_decimals_are_not_cut(spark, number, value):
+    row = mapping.typed_properties(spark.createDataFrame([(f'{{"d":{number}}}',)], "body string"), "body").first()
+    assert row.kind == "decimal" and row.double_value == value and float(row.decimal_text) == value
+
+
+def test_malformed_pages_are_not_lost(spark, rows):
+    landed = [(1, '[{"id":1}]'), (2, '[{"id":2},{"id"'), (3, None), (4, "[]"), (5, '{"id":5}'), (6, "")]
+    landed = spark.createDataFrame(landed, "page int, value string")
+    with pytest.raises((PySparkException, Py4JError)):
+        pages.read_pages(landed, item_schema="id int").collect()
+    sound, rejected = pages.split_pages(landed)
+    assert rows(pages.read_pages(sound, item_schema="id int")) == [(1, 1)]
+    assert rows(rejected, "page") == [(2,), (5,), (6,)]
+
+
+def test_a_full_sync_after_a_malformed_page_deletes_nothing(spark):
+    target = spark.createDataFrame([(1, "a"), (2, "b")], "id int, name string")
+    landed = spark.createDataFrame([('[{"id":1,"name":"a"}]',), ('[{"id":2,"na',)], "value string")
+    with pytest.raises((PySparkException, Py4JError)):
+        full_sync(target, pages.read_pages(landed, item_schema="id int, name string"), ["id"], percentage=50).collect()
+
+
+def test_malformed_documents_fail(spark):
+    bad = spark.createDataFrame([("<DS_REPL_ATTR_META_DATA><dwVersion>1</dwVer",)], "x string")
+    with pytest.raises((PySparkException, Py4JError)):
+        directory.parse_repl_metadata(bad, "x").collect()
+    with pytest.raises((PySparkException, Py4JError)):
+        mapping.typed_properties(spark.createDataFrame([('{"a":',)], "body string"), "body").collect()
+
+
+def test_schema_rows_of_one_name_do_not_multiply(spark):
+    values = spark.createDataFrame([("isOpen", bytearray(b"TRUE"))], "attribute string, raw binary")
+    names = [("isopen", 1, "2.5.5.8"), ("ISOPEN", 1, "2.5.5.8")]
+    out = directory.decode_attributes(values, spark.createDataFrame(names, "attribute string, om_syntax int, attribute_syntax string"))
+    assert [r.value.boolean for r in out.collect()] == [True]
+
+
+def test_slices_of_a_long_attribute_have_their_own_key(spark, rows):
+    """A record that is too long for one row is merged by name and slice."""
+    values = [("g", "member", i, f"m{i}") for i in range(5)] + [("h", "member", 0, "x")]
+    records = directory.assemble_records(spark.createDataFrame(values, "dn string, attribute string, ordinal long, value string"), 2)
+    merged = merge_upsert(records.limit(0), records, ["dn", "slice"])
+    assert rows(merge_upsert(merged, records, ["dn", "slice"]), "dn", "slice") == [("g", 0), ("g", 1), ("g", 2), ("h", 0)]
+
+
+def test_schema_names(spark):
+    from tidemark.functions.types import extract_schema
+
+    got = {f.name: f.dataType.simpleString() for f in extract_schema({"a": "decimal(10)", "b": "decimal", "c": "numeric(9,2)"})}
+    assert got == {"a": "decimal(10,0)", "b": "decimal(18,0)", "c": "decimal(9,2)"}

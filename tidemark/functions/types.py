@@ -11,8 +11,8 @@ TSQL_TYPES: dict[str, T.DataType] = {
     "smallint": T.ShortType(),
     "tinyint": T.ShortType(),  # 0..255 does not fit Spark's signed byte
     "bit": T.BooleanType(),
-    "decimal": T.DecimalType(38, 18),
-    "numeric": T.DecimalType(38, 18),
+    "decimal": T.DecimalType(18, 0),
+    "numeric": T.DecimalType(18, 0),
     "float": T.DoubleType(),
     "real": T.FloatType(),
     "money": T.DecimalType(19, 4),
@@ -43,13 +43,13 @@ TSQL_TYPES: dict[str, T.DataType] = {
 
 
 def extract_schema(columns: dict[str, str]) -> T.StructType:
-    """Schema of a table extract from ``{column: sql type name}``; ``decimal(10,2)`` keeps its precision."""
+    """Schema of a table extract from ``{column: sql type name}``; ``decimal(10,2)`` keeps its precision, ``decimal(10)`` has no places."""
     fields = []
     for name, sql_type in columns.items():
         base = sql_type.split("(")[0].strip().lower()
         if base in ("decimal", "numeric") and "(" in sql_type:
-            precision, scale = sql_type.split("(")[1].rstrip(")").split(",")
-            spark_type = T.DecimalType(int(precision), int(scale))
+            precision, _, scale = sql_type.split("(")[1].rstrip(") ").partition(",")
+            spark_type = T.DecimalType(int(precision), int(scale or 0))
         else:
             spark_type = TSQL_TYPES.get(base, T.StringType())
         fields.append(T.StructField(name, spark_type))

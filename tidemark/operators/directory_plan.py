@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from tidemark.operators.merge import DELETED
 
 
+SALTS = 32  # parts in which the members of one object meet its flags
+
+
 def plan_directory_changes(
     source: DataFrame,
     current: DataFrame,
@@ -19,10 +22,11 @@ def plan_directory_changes(
 ) -> DataFrame:
     """Change rows ``(key, op, attribute, value)`` that bring the directory to the source state.
 
-    Both sides are long: one row per key, attribute and value, so a group with very many members spreads over all
-    tasks.  ``op`` is ``add_object`` for attributes of objects the directory lacks, ``replace`` for differing
+    Both sides are long: one row per key, attribute and value.  They are united and shuffled once by key, attribute and
+    value, so a group with very many members spreads over all tasks; whether each side knows an object is a partial
+    aggregate, which every member meets in one of ``SALTS`` parts of its object.  ``op`` is ``add_object`` for attributes of objects the directory lacks, ``replace`` for differing
     single values (a null value clears), ``add_value`` and ``delete_value`` for members of multi-valued attributes.
-    Attributes the source does not carry are left alone; objects missing or deleted in the source are the business
+    A row without a key names no object and has no change.  Attributes the source does not carry are left alone; objects missing or deleted in the source are the business
     of reconciliation.
     """
     if state_col in source.columns:
@@ -30,32 +34,30 @@ def plan_directory_changes(
     is_multi = F.col("attribute").isin(list(multi_valued))
     match = [key, "attribute", "_match"]
 
-    def side(df: DataFrame, other: DataFrame, name: str) -> DataFrame:
-        """Distinct values by match key, and whether the other side knows the object.
-
-        Removing duplicates on the match key leaves the rows partitioned as the pairing join wants them.
-        """
-        known = other.select(key).distinct().withColumn("_known", F.lit(True))
-        return (
-            df.select(key, "attribute", "value")
-            .where(~is_multi | F.col("value").isNotNull())
-            .join(known, key, "left")
-            .select(
-                key,
-                "attribute",
-                F.when(is_multi, F.col("value")).otherwise(F.lit("")).alias("_match"),
-                F.struct("value", F.coalesce("_known", F.lit(False)).alias("known")).alias("_row"),
-            )
-            .groupBy(*match)
-            .agg(F.max("_row").alias(name))
-        )
-
-    pairs = side(source, current, "_s").join(side(current, source, "_c"), match, "full_outer")
+    def side(df: DataFrame, name: str) -> DataFrame:
+        value = F.struct("value")
+        rows = df.select(key, "attribute", "value", F.lit(name == "s").alias("_source"))
+        return rows.withColumn("_s", F.when(F.col("_source"), value)).withColumn("_c", F.when(~F.col("_source"), value))
+
+    both = side(source, "s").unionByName(side(current, "c"))
+    known = both.groupBy(F.col(key).alias("_key")).agg(
+        F.bool_or("_source").alias("_in_source"), F.bool_or(~F.col("_source")).alias("_in_current")
+    )
+    # The members of an object share its key: every one is sent to one of SALTS copies of the object's flags.
+    salted = known.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    pairs = (
+        both.where(~is_multi | F.col("value").isNotNull())
+        .withColumn("_match", F.when(is_multi, F.col("value")).otherwise(F.lit("")))
+        .groupBy(*match)
+        .agg(F.max("_s").alias("_s"), F.max("_c").alias("_c"))
+        .withColumn("_salt", F.pmod(F.xxhash64("attribute", "_match"), F.lit(SALTS)).cast("int"))
+        .join(salted.withColumnRenamed("_key", key), [key, "_salt"])
+    )
     in_source, in_current = F.col("_s").isNotNull(), F.col("_c").isNotNull()
     op = (
-        F.when(in_source & ~F.col("_s.known"), "add_object")
+        F.when(in_source & ~F.col("_in_current"), "add_object")
         .when(is_multi & in_source & ~in_current, "add_value")
-        .when(is_multi & in_current & ~in_source & F.col("_c.known"), "delete_value")
+        .when(is_multi & in_current & ~in_source & F.col("_in_source"), "delete_value")
         .when(~is_multi & in_source & ~F.col("_s.value").eqNullSafe(F.col("_c.value")), "replace")
     )
     value = F.when(in_source, F.col("_s.value")).otherwise(F.col("_c.value"))

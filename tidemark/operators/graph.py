@@ -165,16 +165,15 @@ def reachable(
     nodes: DataFrame,
     edges: DataFrame,
     edge_types: DataFrame,
+    roots: DataFrame,
     col: str = "a_factor",
     depth: int = MAX_DEPTH,
     default_weight: int = DEFAULT_WEIGHT,
-    roots: DataFrame | None = None,
 ) -> DataFrame:
-    """Nodes each root reaches: ``(root, node, factor, accumulated, depth)`` with the best sum and the fewest steps.
+    """Nodes that each given root reaches: ``(root, node, factor, accumulated, depth)``, best sum and fewest steps.
 
-    ``roots`` (column ``identifier``) limits the starting nodes; without it all live nodes start.  The result is a
-    table of node pairs by nature.  Without ``roots`` only nodes that some arc leads into are walked from level by
-    level; every other node adds its first step to their finished walks in a single join.
+    ``roots`` (column ``identifier``) names the starting nodes.  Each level is walked from the nodes that the one before
+    it has reached, so nodes that no root reaches take no part.
     """
     live = cut_lineage(
         live_rows(nodes, "deleted").select(
@@ -182,24 +181,9 @@ def reachable(
         )
     )
     arcs = _arcs(nodes, edges, edge_types, [col], default_weight).withColumnRenamed(col, "gain")
+    start = live.join(roots.select(F.col("identifier").alias("root")).distinct(), "root", "left_semi")
     best = [F.max("gain").alias("gain"), F.min("depth").alias("depth")]
-    if roots is not None:
-        start = live.join(roots.select(F.col("identifier").alias("root")).distinct(), "root", "left_semi")
-        pairs = _walks(start, arcs, depth).groupBy("root", "node").agg(*best)
-    else:
-        entered = arcs.select(F.col("y").alias("root")).distinct()
-        # A first step leaves one step less to go on with: keep the best walk of that length too.
-        shorter = F.max(F.when(F.col("depth") < depth, F.col("gain"))).alias("_gain")
-        walks = _walks(live.join(entered, "root", "left_semi"), arcs, depth)
-        inner = cut_lineage(walks.groupBy("root", "node").agg(*best, shorter))
-        onward = inner.where(F.col("_gain").isNotNull()).select(F.col("root").alias("y"), "node", "_gain", "depth")
-        outside = live.join(entered, "root", "left_anti").select("root")
-        first = arcs.withColumnRenamed("x", "root").join(outside, "root", "left_semi")
-        outer = first.join(onward, "y").groupBy("root", "node").agg(
-            _capped(F.max(F.col("gain") + F.col("_gain"))).alias("gain"), (F.min("depth") + 1).alias("depth")
-        )
-        alone = outside.select("root", F.col("root").alias("node"), _long(0).alias("gain"), F.lit(0).alias("depth"))
-        pairs = inner.drop("_gain").unionByName(outer).unionByName(alone)
+    pairs = _walks(start, arcs, depth).groupBy("root", "node").agg(*best)
     factors = live.select(F.col("root").alias("node"), F.col("own").alias("factor"))
     return (
         pairs.join(live, "root")

@@ -94,11 +94,12 @@ def profile_properties(
 def profile_bag(df: DataFrame, bag_col: str, by: str | None = None) -> DataFrame:
     """The same profile for an open property bag, a ``map<string,variant>`` or JSON object text.
 
-    A property is observed only on rows that hold it; an explicit null counts as observed null.
+    A property is observed only on rows that hold it; an explicit null counts as observed null.  Text that is no JSON
+    object fails the job.
     """
     bag = F.col(bag_col)
     if isinstance(df.schema[bag_col].dataType, T.StringType):
-        bag = F.from_json(bag, "map<string,variant>")
+        bag = F.from_json(bag, "map<string,variant>", {"mode": "FAILFAST"})
     entries = df.select(_entity_type(by).alias("entity_type"), F.explode(bag).alias("_key", "_value")).select(
         "entity_type", F.lower("_key").alias("property"), "_value", F.schema_of_variant("_value").alias("_kind")
     )

@@ -166,11 +166,14 @@ def inherited_c_factor(t: Tables) -> DataFrame:
     _walk_sql("a_factor")
     + """
     SELECT root, node, f AS factor, max(acc) AS accumulated, min(depth) AS depth
-    FROM walk JOIN live ON node = id GROUP BY root, node, f
+    FROM walk JOIN live ON node = id
+    WHERE root IN (SELECT 'C' || o_custkey FROM orders WHERE o_orderstatus = 'P') GROUP BY root, node, f
     """,
 )
 def reachable(t: Tables) -> DataFrame:
-    return graph.reachable(_nodes(t), _edges(t), _types(t))
+    """What the customers with an order in process reach."""
+    asked = t.orders.where(F.col("o_orderstatus") == "P").select(_key("C", "o_custkey").alias("identifier"))
+    return graph.reachable(_nodes(t), _edges(t), _types(t), asked)
 
 
 @query(

@@ -88,12 +88,14 @@ def normalise_keys(t: Tables) -> DataFrame:
     "typed_properties",
     """
     SELECT event_id, 'k' AS property, 'long' AS kind, NULL::VARCHAR AS string_value,
-           CAST(json_extract(props, '$.k') AS BIGINT) AS long_value, false AS boolean_value FROM events
-    UNION ALL SELECT event_id, 'type', 'string', event_type, 0, false FROM events
-    UNION ALL SELECT event_id, 'costly', 'boolean', NULL, 0, value > 10 FROM events
-    UNION ALL SELECT event_id, 'none', 'null', NULL, 0, false FROM events
-    UNION ALL SELECT event_id, 'ratio', 'decimal', NULL, 0, false FROM events
-    UNION ALL SELECT event_id, 'ids', 'raw', '[' || event_id || ',' || user_id || ']', 0, false FROM events
+           CAST(json_extract(props, '$.k') AS BIGINT) AS long_value, NULL::VARCHAR AS decimal_text,
+           NULL::DOUBLE AS double_value, NULL::BOOLEAN AS boolean_value FROM events
+    UNION ALL SELECT event_id, 'type', 'string', event_type, NULL, NULL, NULL, NULL FROM events
+    UNION ALL SELECT event_id, 'costly', 'boolean', NULL, NULL, NULL, NULL, value > 10 FROM events
+    UNION ALL SELECT event_id, 'none', 'null', NULL, NULL, NULL, NULL, NULL FROM events
+    UNION ALL SELECT event_id, 'ratio', 'decimal', NULL, NULL, '0.' || user_id || '1234567890123',
+                     CAST('0.' || user_id || '1234567890123' AS DOUBLE), NULL FROM events
+    UNION ALL SELECT event_id, 'ids', 'raw', '[' || event_id || ',' || user_id || ']', NULL, NULL, NULL, NULL FROM events
     """,
 )
 def typed_properties(t: Tables) -> DataFrame:
@@ -104,12 +106,26 @@ def typed_properties(t: Tables) -> DataFrame:
         F.col("event_type"),
         F.lit('","costly":'),
         (F.col("value") > 10).cast("string"),
-        F.lit(',"none":null,"ratio":0.5,"ids":['),
+        F.concat(F.lit(',"none":null,"ratio":0.'), F.col("user_id").cast("string"), F.lit('1234567890123,"ids":[')),
         F.concat_ws(",", F.col("event_id").cast("string"), F.col("user_id").cast("string")),
         F.lit("]}"),
     )
-    typed = mapping.typed_properties(t.events.select("event_id", body.alias("body")), "body").drop("decimal_value")
-    return typed.fillna(0, ["long_value"]).fillna(False, ["boolean_value"])
+    return mapping.typed_properties(t.events.select("event_id", body.alias("body")), "body")
+
+
+@query(
+    "rejected_pages",
+    """
+    SELECT o_orderkey AS page, 'page is not a JSON array' AS reject_reason FROM orders WHERE o_orderstatus = 'P'
+    """,
+)
+def rejected_pages(t: Tables) -> DataFrame:
+    """Pages of orders in process were cut off."""
+    whole = F.to_json(F.array(F.struct(F.col("o_custkey").alias("id"), F.col("o_orderpriority").alias("kind"))))
+    cut = F.substring(whole, F.lit(1), F.length(whole) - 3)
+    value = F.when(F.col("o_orderstatus") == "P", cut).when(F.col("o_orderstatus") == "F", whole)
+    landed = t.orders.select(F.col("o_orderkey").alias("page"), value.alias("value"))
+    return pages.split_pages(landed)[1].drop("value")
 
 
 def _pages(t: Tables) -> DataFrame:

@@ -22,10 +22,13 @@ def decode_attributes(values: DataFrame, attribute_schema: DataFrame) -> DataFra
     """Decode raw attribute values into a struct of typed fields, by the syntax of each attribute.
 
     ``values`` has columns ``attribute`` and ``raw``; ``attribute_schema`` has ``attribute``, ``om_syntax`` and
-    ``attribute_syntax``.  Names compare ignoring case; an attribute the schema lacks decodes as text.
+    ``attribute_syntax``.  Names compare ignoring case, and of several rows of one name the greatest syntax counts; an attribute the
+    schema lacks decodes as text.
     """
-    syntax = attribute_schema.select(
-        F.lower("attribute").alias("_name"), F.col("om_syntax").alias("_om"), F.col("attribute_syntax").alias("_oid")
+    syntax = (
+        attribute_schema.groupBy(F.lower("attribute").alias("_name"))
+        .agg(F.max(F.struct("om_syntax", "attribute_syntax")).alias("_s"))
+        .select("_name", F.col("_s.om_syntax").alias("_om"), F.col("_s.attribute_syntax").alias("_oid"))
     )
     raw, om, oid = F.col("raw"), F.col("_om"), F.col("_oid")
     # oMSyntax numbers and attributeSyntax identifiers of the decoders.
@@ -114,14 +117,14 @@ def under_base_dn(df: DataFrame, base_dn: str, dn_col: str = "dn", scope: str =
 def parse_repl_metadata(df: DataFrame, xml_col: str, values: bool = False) -> DataFrame:
     """Replication metadata documents as rows; ``values`` selects the per-value form with object and deletion data.
 
-    Takes single documents, several in a row, or a blob document around them.
+    Takes single documents, several in a row, or a blob document around them.  A malformed one fails the job.
     """
     row = VALUE_FIELDS if values else ATTRIBUTE_FIELDS
     tag = "DS_REPL_VALUE_META_DATA" if values else "DS_REPL_ATTR_META_DATA"
     typed = ", ".join(f"{f.split()[0]}: {f.split()[1]}" for f in row.split(", "))
     schema = f"struct<{tag}: array<struct<{typed}>>, {tag}_BLOB: struct<{tag}: array<struct<{typed}>>>>"
     body = F.regexp_replace(F.col(xml_col), r"<\?xml[^>]*\?>|\x00", "")
-    parsed = F.from_xml(F.concat(F.lit("<docs>"), body, F.lit("</docs>")), schema, {"rowTag": "docs"})
+    parsed = F.from_xml(F.concat(F.lit("<docs>"), body, F.lit("</docs>")), schema, {"rowTag": "docs", "mode": "FAILFAST"})
     others = [c for c in df.columns if c != xml_col]
     entries = F.concat(
         F.coalesce(F.col(f"_doc.{tag}"), F.array()), F.coalesce(F.col(f"_doc.{tag}_BLOB.{tag}"), F.array())

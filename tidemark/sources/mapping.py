@@ -82,9 +82,12 @@ def ignore_case(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 
 def typed_properties(df: DataFrame, json_col: str) -> DataFrame:
-    """One row per top-level property of a JSON object, typed as text, int64 or decimal, boolean, null or raw JSON."""
+    """One row per top-level property of a JSON object, typed as text, int64 or decimal, boolean, null or raw JSON.
+
+    A decimal comes as its exact text and as the nearest double.  A malformed object fails the job.
+    """
     others = [c for c in df.columns if c != json_col]
-    bag = F.from_json(json_col, "map<string,variant>")
+    bag = F.from_json(json_col, "map<string,variant>", {"mode": "FAILFAST"})
     rows = df.select(*others, F.explode(bag).alias("property", "_value"))
     kind = F.schema_of_variant("_value")
     long_value = F.try_variant_get("_value", "$", "bigint")
@@ -103,6 +106,7 @@ def typed_properties(df: DataFrame, json_col: str) -> DataFrame:
         .alias("kind"),
         F.when((kind == "STRING") | is_raw, F.try_variant_get("_value", "$", "string")).alias("string_value"),
         F.when(is_long, long_value).alias("long_value"),
-        F.when(is_number & ~is_long, F.try_variant_get("_value", "$", "decimal(38,10)")).alias("decimal_value"),
+        F.when(is_number & ~is_long, F.try_variant_get("_value", "$", "string")).alias("decimal_text"),
+        F.when(is_number & ~is_long, F.try_variant_get("_value", "$", "double")).alias("double_value"),
         F.when(kind == "BOOLEAN", F.try_variant_get("_value", "$", "boolean")).alias("boolean_value"),
     )

@@ -14,17 +14,28 @@ def read_pages(pages: DataFrame, array_col: str = "value", item_schema: str | No
     """One row per record of every page; an empty page gives none.
 
     The page array is a struct array, or JSON text with ``item_schema`` naming the fields to read from each record.
-    Other page columns are repeated on the records.  No shuffle takes place.
+    Other page columns are repeated on the records.  No shuffle takes place.  A malformed page fails the job, because
+    its records would be missing; :func:`split_pages` sorts such pages out.
     """
     others = [c for c in pages.columns if c != array_col]
     items = F.col(array_col)
     if isinstance(pages.schema[array_col].dataType, T.StringType):
         if item_schema is None:
             raise ValueError("JSON pages need an item_schema")
-        items = F.from_json(items, f"array<struct<{item_schema}>>")
+        items = F.from_json(items, f"array<struct<{item_schema}>>", {"mode": "FAILFAST"})
     return pages.select(*others, F.inline(items))
 
 
+def split_pages(pages: DataFrame, array_col: str = "value") -> tuple[DataFrame, DataFrame]:
+    """Pages that can be read, and malformed ones with their ``reject_reason``; a run with any of these has failed.
+
+    A page is malformed if its text is not a whole JSON array.  A null page has no records.
+    """
+    sound = F.col(array_col).isNull() | F.json_array_length(array_col).isNotNull()
+    rejected = pages.where(~sound).withColumn("reject_reason", F.lit("page is not a JSON array"))
+    return pages.where(sound), rejected
+
+
 def union_endpoints(endpoints: Mapping[str, DataFrame]) -> DataFrame:
     """Records of several endpoints in one stream, with the endpoint name; fields may differ."""
     named = [df.withColumn("endpoint", F.lit(name)) for name, df in endpoints.items()]
