@@ -1,6 +1,6 @@
 import corpus_pipeline
 from tests.llm.conftest import SF
-from tests.llm.test_decontamination import flat, least_edits
+from tests.llm.test_decontamination import flat, least_edits, may_be_near
 from tests.llm.test_packing import check_sequences, expected
 from tests.llm.test_quality import rejected
 from tests.llm.test_secrets import spans
@@ -13,8 +13,7 @@ from tidemark.llm.tokens import Encoder, public_tokenizer
 def leaked(text, items):
     chars = flat(text or "")
     for item in items:
-        grams = {item[k : k + 10] for k in range(len(item) - 9)}
-        if sum(g in chars for g in grams) >= 5 and least_edits(item, chars) <= int(EDIT_RATE * len(item)):
+        if may_be_near(item, chars) and least_edits(item, chars) <= int(EDIT_RATE * len(item)):
             return True
     return False
 

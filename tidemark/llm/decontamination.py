@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
-Q = 10
-EDIT_RATE = 0.08  # edits that an item may show, as a share of its characters
+Q = 8
+EDIT_RATE = 0.1  # edits that an item may show, as a share of its characters
 BLOCK_CHARS = 4_000_000  # characters of the benchmark that one pass over the documents looks for
 CHUNK_CHARS = 1_000_000  # characters of documents that a task looks at together
 ALIGNMENTS = 256  # regions that are aligned together

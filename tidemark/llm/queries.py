@@ -92,11 +92,40 @@ def op5_url_filters(spark: SparkSession, folder: str) -> DataFrame:
     return result.select("row.page_id", "host", "path", "rule", "verdict", "score")
 
 
-@query()
+@query(
+    r"""
+    WITH d AS (
+        SELECT doc_id, coalesce(text, '') AS t, row_number() OVER () AS r,
+               regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+    places AS (SELECT r, unnest(range(1, len(w) - 1)) AS i, w FROM d WHERE len(w) > 2),
+    windows AS (
+        SELECT r, i, count(*) OVER (PARTITION BY r, w[i], w[i + 1], w[i + 2]) AS n FROM places),
+    repeats AS (
+        SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest([i, i + 1, i + 2]) AS p FROM windows WHERE n > 1) GROUP BY r),
+    m AS (
+        SELECT d.doc_id, d.t, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars,
+               length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+               list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines,
+               coalesce(n, 0) AS n_repeat_words,
+               length(t) - length(regexp_replace(t, '\p{Lu}', '', 'g')) AS n_upper,
+               length(t) - length(regexp_replace(t, '!', '', 'g')) AS n_exclamations
+        FROM d LEFT JOIN repeats USING (r)),
+    b AS (
+        SELECT *, len(lines) - len(list_distinct(lines)) AS n_dup_lines,
+               n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m)
+    SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars,
+           CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines,
+           CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed,
+           NOT (base_failed OR 10 * n_upper > 3 * word_chars OR 10 * n_exclamations > 3 * n_words
+                OR 10 * n_symbols > 3 * n_words OR 2 * n_dup_lines > len(lines)
+                OR word_chars < 2 * n_words OR word_chars > 25 * n_words) AS kept
+    FROM b
+    """
+)
 def op6_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     judged = quality_cascade(table(spark, folder, "documents").select("doc_id", "text"))
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-    return judged.select("row.doc_id", *(f"m.{n}" for n in names), "base_failed", "kept", "rejected_by")
+    return judged.select("row.doc_id", *(f"m.{n}" for n in names), "base_failed", "kept")
 
 
 @query()
@@ -112,7 +141,47 @@ def op10_simhash_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     return near.select(F.col("id").alias("doc_id"), fingerprint.alias("fingerprint"), "component_id")
 
 
-@query()
+@query(
+    r"""
+    WITH patterns AS (
+        SELECT unnest([
+            {'kind': 'assign', 'no': 0, 'least': 6, 'part': 2, 'p':
+             '(?i)(password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)'},
+            {'kind': 'access', 'no': 1, 'least': 20, 'part': 0, 'p': 'AKIA[A-Z0-9]+'},
+            {'kind': 'hex', 'no': 2, 'least': 24, 'part': 0, 'p': '[0-9a-f]+'},
+            {'kind': 'key', 'no': 3, 'least': 1, 'part': 0, 'p': '-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----'},
+            {'kind': 'mixed', 'no': 4, 'least': 20, 'part': 0, 'p': '[A-Za-z0-9_-]+'}], recursive := true)),
+    d AS (SELECT doc_id, source, coalesce(text, '') AS t, row_number() OVER () AS r FROM documents),
+    found AS (
+        SELECT r, source, kind, no, least, part, p, unnest(regexp_extract_all(t, p)) AS m,
+               unnest(range(1, len(regexp_extract_all(t, p)) + 1)) AS i,
+               unnest((string_split_regex(t, p))[: len(regexp_extract_all(t, p))]) AS gap
+        FROM d, patterns),
+    placed AS (
+        SELECT *, sum(length(gap)) OVER w + sum(length(m)) OVER w - length(m) AS a,
+               CASE WHEN part = 2 THEN regexp_extract(m, p, 2) ELSE m END AS v
+        FROM found WINDOW w AS (PARTITION BY r, kind ORDER BY i)),
+    spans AS (
+        SELECT r, source, kind, no, CAST(a AS BIGINT) AS a, CAST(a + length(m) AS BIGINT) AS b, v FROM placed
+        WHERE length(v) >= least AND (kind <> 'mixed' OR (regexp_matches(v, '[A-Za-z]') AND regexp_matches(v, '([^0-9]*[0-9]){3}')))),
+    base AS (SELECT * FROM spans WHERE no < 3),
+    extra AS (
+        SELECT * FROM spans s WHERE no > 2
+        AND NOT EXISTS (SELECT 1 FROM base t WHERE s.r = t.r AND t.a < s.b AND s.a < t.b)),
+    every AS (SELECT * FROM base UNION ALL SELECT * FROM extra),
+    owners AS (SELECT v, count(DISTINCT coalesce(source, chr(0))) <= 2 AS live FROM every GROUP BY v),
+    judged AS (SELECT e.*, live FROM every e JOIN owners USING (v) WHERE no < 3 OR live),
+    listed AS (
+        SELECT r, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access,
+               count(*) FILTER (kind = 'hex') AS n_hex, count(*) FILTER (live) AS n_live,
+               string_agg(kind || ':' || a || ':' || b, ',' ORDER BY a, no) FILTER (no < 3) AS base,
+               string_agg(kind || ':' || a || ':' || b, ',' ORDER BY a, no) AS spans
+        FROM judged GROUP BY r)
+    SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+           sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live
+    FROM d LEFT JOIN listed USING (r)
+    """
+)
 def op8_secret_scans(spark: SparkSession, folder: str) -> DataFrame:
     documents = table(spark, folder, "documents").select("doc_id", "text", "source", "lang")
     found = secrets(documents, repository=F.struct("source", "lang"))
