@@ -31,34 +31,41 @@ def _values(t: Tables) -> DataFrame:
     return t.orders.select(F.col("o_orderkey").alias("dn"), F.inline(pairs))
 
 
-def _attribute_schema(t: Tables) -> DataFrame:
-    """Syntax of the attributes, one row each, derived from the first region rows."""
-    rows = F.expr(
-        """array(
-            struct('isopen', 1, '2.5.5.8'), struct('priority', 2, '2.5.5.9'), struct('bigkey', 65, '2.5.5.16'),
-            struct('whencreated', 24, '2.5.5.11'), struct('displayname', 64, '2.5.5.12'), struct('photo', 4, '2.5.5.10'))"""
-    )
-    named = F.inline(rows).alias("attribute", "om_syntax", "attribute_syntax")
-    return t.region.where("r_regionkey = 0").select(named)
+# Syntax of the attributes.
+SYNTAX = [
+    ("isopen", 1, "2.5.5.8"),
+    ("priority", 2, "2.5.5.9"),
+    ("bigkey", 65, "2.5.5.16"),
+    ("whencreated", 24, "2.5.5.11"),
+    ("displayname", 64, "2.5.5.12"),
+    ("photo", 4, "2.5.5.10"),
+]
 
 
 @query(
     "decode_attributes",
     """
-    SELECT o_orderkey AS dn, 'isOpen' AS attribute, 'boolean' AS kind, o_orderstatus = 'O' AS boolean, CAST(0 AS INTEGER) AS integer,
-           CAST(0 AS BIGINT) AS long, NULL::TIMESTAMP AS time, NULL::VARCHAR AS text, NULL::VARCHAR AS bytes FROM orders
-    UNION ALL SELECT o_orderkey, 'priority', 'integer', false, CAST(o_orderpriority[1] AS INTEGER), 0, NULL, NULL, NULL FROM orders
-    UNION ALL SELECT o_orderkey, 'bigKey', 'long', false, 0,
-        CASE WHEN o_orderstatus = 'P' THEN 0 ELSE o_orderkey * 10000000000 END, NULL, NULL, NULL FROM orders
-    UNION ALL SELECT o_orderkey, 'whenCreated', 'time', false, 0, 0, o_orderdate, NULL, NULL FROM orders
-    UNION ALL SELECT o_orderkey, 'displayName', 'text', false, 0, 0, NULL, 'Ordér ' || o_orderkey, NULL FROM orders
-    UNION ALL SELECT o_orderkey, 'photo', 'bytes', false, 0, 0, NULL, NULL, hex(encode(o_orderpriority)) FROM orders
+    WITH decoded AS (
+        SELECT o_orderkey AS dn, 'isOpen' AS attribute, 'boolean' AS kind, o_orderstatus = 'O' AS boolean,
+               NULL::INTEGER AS integer, NULL::BIGINT AS long, NULL::TIMESTAMP AS time, NULL::VARCHAR AS text,
+               NULL::VARCHAR AS bytes FROM orders
+        UNION ALL SELECT o_orderkey, 'priority', 'integer', NULL, CAST(o_orderpriority[1] AS INTEGER), NULL, NULL, NULL, NULL FROM orders
+        UNION ALL SELECT o_orderkey, 'bigKey', 'long', NULL, NULL,
+            CASE WHEN o_orderstatus = 'P' THEN 0 ELSE o_orderkey * 10000000000 END, NULL, NULL, NULL FROM orders
+        UNION ALL SELECT o_orderkey, 'whenCreated', 'time', NULL, NULL, NULL, o_orderdate, NULL, NULL FROM orders
+        UNION ALL SELECT o_orderkey, 'displayName', 'text', NULL, NULL, NULL, NULL, 'Ordér ' || o_orderkey, NULL FROM orders
+        UNION ALL SELECT o_orderkey, 'photo', 'bytes', NULL, NULL, NULL, NULL, NULL, hex(encode(o_orderpriority)) FROM orders)
+    SELECT dn, attribute, kind, time, text, bytes, coalesce(boolean, false) AS boolean, coalesce(integer, 0) AS integer,
+           coalesce(long, 0) AS long, boolean IS NULL AS no_boolean, integer IS NULL AS no_integer, long IS NULL AS no_long
+    FROM decoded
     """,
 )
 def decode_attributes(t: Tables) -> DataFrame:
-    out = directory.decode_attributes(_values(t), _attribute_schema(t))
+    syntax = t.spark.createDataFrame(SYNTAX, "attribute string, om_syntax int, attribute_syntax string")
+    out = directory.decode_attributes(_values(t), syntax)
     flat = out.select("dn", "attribute", "value.*").withColumn("bytes", F.hex("bytes"))
-    return flat.fillna(0, ["integer", "long"]).fillna(False, ["boolean"])
+    absent = {f"no_{kind}": F.col(kind).isNull() for kind in ("boolean", "integer", "long")}
+    return flat.withColumns(absent).fillna(0, ["integer", "long"]).fillna(False, ["boolean"])
 
 
 @query(

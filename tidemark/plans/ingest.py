@@ -87,15 +87,20 @@ def normalise_keys(t: Tables) -> DataFrame:
 @query(
     "typed_properties",
     """
-    SELECT event_id, 'k' AS property, 'long' AS kind, NULL::VARCHAR AS string_value,
-           CAST(json_extract(props, '$.k') AS BIGINT) AS long_value, NULL::VARCHAR AS decimal_text,
-           NULL::DOUBLE AS double_value, NULL::BOOLEAN AS boolean_value FROM events
-    UNION ALL SELECT event_id, 'type', 'string', event_type, NULL, NULL, NULL, NULL FROM events
-    UNION ALL SELECT event_id, 'costly', 'boolean', NULL, NULL, NULL, NULL, value > 10 FROM events
-    UNION ALL SELECT event_id, 'none', 'null', NULL, NULL, NULL, NULL, NULL FROM events
-    UNION ALL SELECT event_id, 'ratio', 'decimal', NULL, NULL, '0.' || user_id || '1234567890123',
-                     CAST('0.' || user_id || '1234567890123' AS DOUBLE), NULL FROM events
-    UNION ALL SELECT event_id, 'ids', 'raw', '[' || event_id || ',' || user_id || ']', NULL, NULL, NULL, NULL FROM events
+    WITH typed AS (
+        SELECT event_id, 'k' AS property, 'long' AS kind, NULL::VARCHAR AS string_value,
+               CAST(json_extract(props, '$.k') AS BIGINT) AS long_value, NULL::VARCHAR AS decimal_text,
+               NULL::DOUBLE AS double_value, NULL::BOOLEAN AS boolean_value FROM events
+        UNION ALL SELECT event_id, 'type', 'string', event_type, NULL, NULL, NULL, NULL FROM events
+        UNION ALL SELECT event_id, 'costly', 'boolean', NULL, NULL, NULL, NULL, value > 10 FROM events
+        UNION ALL SELECT event_id, 'none', 'null', NULL, NULL, NULL, NULL, NULL FROM events
+        UNION ALL SELECT event_id, 'ratio', 'decimal', NULL, NULL, '0.' || user_id || '1234567890123',
+                         CAST('0.' || user_id || '1234567890123' AS DOUBLE), NULL FROM events
+        UNION ALL SELECT event_id, 'ids', 'raw', '[' || event_id || ',' || user_id || ']', NULL, NULL, NULL, NULL FROM events)
+    SELECT event_id, property, kind, string_value, decimal_text, coalesce(long_value, 0) AS long_value,
+           coalesce(double_value, 0) AS double_value, coalesce(boolean_value, false) AS boolean_value,
+           long_value IS NULL AS no_long, double_value IS NULL AS no_double, boolean_value IS NULL AS no_boolean
+    FROM typed
     """,
 )
 def typed_properties(t: Tables) -> DataFrame:
@@ -110,7 +115,9 @@ def typed_properties(t: Tables) -> DataFrame:
         F.concat_ws(",", F.col("event_id").cast("string"), F.col("user_id").cast("string")),
         F.lit("]}"),
     )
-    return mapping.typed_properties(t.events.select("event_id", body.alias("body")), "body")
+    typed = mapping.typed_properties(t.events.select("event_id", body.alias("body")), "body")
+    absent = {f"no_{kind}": F.col(f"{kind}_value").isNull() for kind in ("long", "double", "boolean")}
+    return typed.withColumns(absent).fillna(0, ["long_value", "double_value"]).fillna(False, ["boolean_value"])
 
 
 @query(

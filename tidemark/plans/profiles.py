@@ -62,16 +62,21 @@ def profile_documents(t: Tables) -> DataFrame:
 LINEITEM = {
     "l_orderkey": "long",
     "l_linenumber": "integer",
+    "l_partkey": "long",
+    "l_suppkey": "long",
+    "l_quantity": "double",
+    "l_extendedprice": "double",
     "l_discount": "double",
-    "l_shipdate": "datetime",
-    "l_linestatus": "string",
+    "l_tax": "double",
     "l_returnflag": "string",
+    "l_linestatus": "string",
+    "l_shipdate": "datetime",
 }
 
 
 @query("profile_lineitem", _profile_sql("lineitem", LINEITEM))
 def profile_lineitem(t: Tables) -> DataFrame:
-    return _filled(profile.profile_properties(t.lineitem.select(*LINEITEM)))
+    return _filled(profile.profile_properties(t.lineitem))
 
 
 BAG_SQL = """
@@ -92,10 +97,18 @@ def profile_events_bag(t: Tables) -> DataFrame:
 @query(
     "column_definitions_open_bag",
     """
-    SELECT 'Default' AS entity_type, p.* FROM (VALUES
-        ('amount', '[amount] FLOAT NOT NULL'), ('costly', '[costly] BIT NOT NULL'),
-        ('k', '[k] INT NULL'), ('name', '[name] VARCHAR(16) NOT NULL')) AS p(property, definition)
-    WHERE EXISTS (SELECT 1 FROM events)
+    WITH bag AS (SELECT *, CASE WHEN event_type <> 'error' THEN CAST(json_extract(props, '$.k') AS BIGINT) END AS k FROM events),
+    p AS (
+        SELECT 'amount' AS property, 'FLOAT' AS kind, 0 AS nulls, count(*) AS n FROM bag
+        UNION ALL SELECT 'costly', 'BIT', 0, count(*) FROM bag
+        UNION ALL SELECT 'k', CASE WHEN min(k) < -2147483648 OR max(k) > 2147483647 THEN 'BIGINT' ELSE 'INT' END,
+                         count(*) - count(k), count(*) FROM bag
+        UNION ALL SELECT 'name', 'VARCHAR(' || list_min(list_filter([16, 32, 50, 100, 128, 256, 450, 512, 1024, 2048, 4000],
+                                 lambda s: s >= floor(max(length(event_type)) * CAST(1.2 AS DOUBLE)))) || ')', 0, count(*)
+        FROM bag WHERE event_type = 'click')
+    SELECT 'Default' AS entity_type, property,
+           '[' || property || '] ' || kind || CASE WHEN nulls > 0 THEN ' NULL' ELSE ' NOT NULL' END AS definition
+    FROM p WHERE n > 0
     """,
 )
 def column_definitions_open_bag(t: Tables) -> DataFrame:

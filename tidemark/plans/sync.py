@@ -333,6 +333,45 @@ def _delta_run(t: Tables) -> sync_ops.Run:
     return sync_ops.run_delta_sync(_accounts(t), _order_feed(t), ["id"], seq="_seq")
 
 
+@query(
+    "full_sync_audit",
+    f"""
+    WITH {TARGET_SQL}
+    SELECT s.id, CASE WHEN t.id IS NULL THEN 'Created'
+                      WHEN t.label IS NOT DISTINCT FROM s.label AND t.lines IS NOT DISTINCT FROM s.lines
+                       AND t.seen_at IS NOT DISTINCT FROM s.seen_at THEN 'Unchanged' ELSE 'Updated' END AS _action,
+           CAST(CASE WHEN t.id IS NOT NULL AND t.label IS NOT DISTINCT FROM s.label AND t.lines IS NOT DISTINCT FROM s.lines
+                      AND t.seen_at IS NOT DISTINCT FROM s.seen_at THEN 0 ELSE 1 END AS BIGINT) AS row_version
+    FROM source s LEFT JOIN target t ON t.id = s.id
+    """,
+)
+def full_sync_audit(t: Tables) -> DataFrame:
+    """Row versions of a full synchronisation, from the actions of its one join."""
+    run = sync_ops.run_full_sync(_target(t), _source(t), ["id"])
+    return changes.with_audit_columns(run.merged, RUN_TS, "sync").select("id", "_action", "row_version")
+
+
+@query(
+    "full_sync_counters",
+    f"""
+    WITH {TARGET_SQL}
+    SELECT CASE WHEN t.id IS NULL THEN 'Created' WHEN s.id IS NULL THEN 'Deleted'
+                WHEN t.label IS NOT DISTINCT FROM s.label AND t.lines IS NOT DISTINCT FROM s.lines
+                 AND t.seen_at IS NOT DISTINCT FROM s.seen_at THEN 'Unchanged' ELSE 'Updated' END AS _state, count(*) AS rows
+    FROM target t FULL JOIN source s ON t.id = s.id GROUP BY 1
+    """,
+)
+def full_sync_counters(t: Tables) -> DataFrame:
+    return changes.change_summary(sync_ops.run_full_sync(_target(t), _source(t), ["id"]).rows)
+
+
+@query("full_sync_rejected", f"WITH {TARGET_SQL} SELECT * FROM target")
+def full_sync_rejected(t: Tables) -> DataFrame:
+    """A source in which orders with disagreeing lines have lost their key: the run publishes the target as it was."""
+    source = _source(t).withColumn("id", F.when(F.col("label").isNotNull(), F.col("id")))
+    return sync_ops.run_full_sync(_target(t), source, ["id"]).snapshot
+
+
 @query(
     "change_summary",
     f"""
@@ -464,29 +503,40 @@ def delta_between(t: Tables) -> DataFrame:
 @query(
     "shadow_snapshot",
     """
-    SELECT c_custkey, '{"c_custkey":' || c_custkey || ',"c_mktsegment":"' || c_mktsegment || '","c_name":"' || c_name
+    SELECT c_custkey, '{"c_acctbal":' || c_acctbal || ',"c_custkey":' || c_custkey || ',"c_mktsegment":"' || c_mktsegment || '","c_name":"' || c_name
            || '","c_nationkey":' || c_nationkey || '}' AS shadow_json
     FROM customer
     """,
 )
 def shadow_snapshot(t: Tables) -> DataFrame:
-    return changes.shadow_snapshot(t.customer.drop("c_acctbal"), ["c_custkey"])
+    return changes.shadow_snapshot(t.customer, ["c_custkey"])
 
 
 @query(
     "shadow_change_detection",
-    f"""
-    WITH {ACCOUNTS_SQL}
-    SELECT coalesce(a.id, c.id) AS id,
-           CASE WHEN a.id IS NULL THEN 'Created' WHEN c.id IS NULL THEN 'Deleted' ELSE 'Updated' END AS _state
-    FROM (SELECT DISTINCT id, 'event' AS kind FROM accounts) a
-    FULL JOIN (SELECT DISTINCT id, 'order' AS kind FROM latest) c ON a.id = c.id
+    """
+    SELECT coalesce(id, c_custkey) AS id,
+           CASE WHEN c_custkey IS NULL THEN 'Created' WHEN id IS NULL THEN 'Deleted'
+                WHEN nation = c_nationkey AND name = c_mktsegment THEN 'Unchanged' ELSE 'Updated' END AS _state
+    FROM customer FULL JOIN (
+        SELECT p_partkey + 20 AS id, CASE WHEN p_size > 25 THEN c_nationkey ELSE p_size END AS nation,
+               CASE WHEN p_size > 40 THEN p_brand ELSE coalesce(c_mktsegment, p_brand) END AS name
+        FROM part LEFT JOIN customer ON c_custkey = p_partkey + 20) ON id = c_custkey
     """,
 )
 def shadow_change_detection(t: Tables) -> DataFrame:
-    old = changes.shadow_snapshot(_accounts(t).select("id", F.lit("event").alias("kind")), ["id"])
-    new_rows = _order_feed(t).select("id", F.lit("order").alias("kind")).distinct()
-    return changes.classify_changes(old, changes.shadow_snapshot(new_rows, ["id"]), ["id"]).select("id", "_state")
+    """Customers against rows of which some are theirs, some differ in a value, and some have other keys."""
+    before = t.customer.select(
+        F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("nation"), F.col("c_mktsegment").alias("name")
+    )
+    shifted = t.part.withColumn("id", F.col("p_partkey") + 20).join(before, "id", "left")
+    after = shifted.select(
+        "id",
+        F.when(F.col("p_size") > 25, F.col("nation")).otherwise(F.col("p_size")).alias("nation"),
+        F.when(F.col("p_size") > 40, F.col("p_brand")).otherwise(F.coalesce("name", "p_brand")).alias("name"),
+    )
+    shadows = (changes.shadow_snapshot(rows, ["id"]) for rows in (before, after))
+    return changes.classify_changes(*shadows, ["id"]).select("id", "_state")
 
 
 @query(
