@@ -474,3 +474,16 @@ def test_of_several_deletions_the_choice_is_fixed(spark, rows):
         changes = frame(spark, order, "id int, name string, _state string").repartition(3)
         out = merge.apply_changes(target, changes, ["id"], deleted_col="deleted", run_ts=RUN)
         assert rows(out) == [(1, "z", STAMP)]
+
+
+def test_platform_tables_keep_what_rows_lack(spark):
+    from tidemark.operators.platform import into_platform
+    from tidemark.schemas import schema
+
+    empty = spark.createDataFrame([], schema("role"))
+    first = frame(spark, [("r1", "v1", True), ("r2", "v2", False)], "id string, Value string, enabled boolean")
+    once = into_platform(empty, first, "role", ["id"], RUN, "me")
+    twice = into_platform(once, frame(spark, [("r1", "Reader"), ("r3", "New")], "id string, display string"), "role", ["id"], "2024-06-01", "you")
+    got = {r.id: (r.value, r.display, r.enabled, r.inserted_by, r.row_version) for r in twice.collect()}
+    assert twice.columns == schema("role").names
+    assert got == {"r1": ("v1", "Reader", True, "me", 2), "r2": ("v2", None, False, "me", 1), "r3": (None, "New", None, "you", 1)}

@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.text import length_bucket
 from tidemark.operators import profile
+from tidemark.operators.platform import into_platform
 from tidemark.plans.registry import Tables, query
+from tidemark.schemas import schema
+from tidemark.session import cut_lineage
 
 FLAG_NAMES = [f"has_{f}" for f in profile.FLAGS]
 
@@ -162,6 +165,34 @@ def column_definitions(t: Tables) -> DataFrame:
     ).fillna(-1, ["column_length"])
 
 
+@query(
+    "platform_columns",
+    f"""
+    SELECT 'Default' AS table_name, property AS column_name, sql_type AS data_type, column_length AS max_length, is_nullable,
+           TIMESTAMP '2024-02-01' AS inserted, 'designer' AS inserted_by,
+           CASE WHEN starts_with(property, 'l_') THEN TIMESTAMP '2024-02-02' ELSE TIMESTAMP '2024-02-01' END AS updated,
+           CAST(CASE WHEN starts_with(property, 'l_') THEN 2 ELSE 1 END AS BIGINT) AS row_version
+    FROM ({DEFINITIONS})
+    """,
+)
+def platform_columns(t: Tables) -> DataFrame:
+    """Inferred columns enter the platform's column table; a second run corrects those of the line items."""
+    inferred = column_definitions(t).select(
+        F.lit("Default").alias("table_name"),
+        F.col("property").alias("column_name"),
+        F.col("sql_type").alias("data_type"),
+        F.col("column_length").alias("max_length"),
+        "is_nullable",
+    )
+    stored = cut_lineage(inferred)
+    lines = F.startswith(F.col("column_name"), F.lit("l_"))
+    first = stored.withColumn("data_type", F.when(lines, "SQL_VARIANT").otherwise(F.col("data_type")))
+    keys, empty = ["table_name", "column_name"], t.spark.createDataFrame([], schema("column"))
+    once = into_platform(empty, first, "column", keys, "2024-02-01", "designer")
+    twice = into_platform(once, stored, "column", keys, "2024-02-02", "designer")
+    return twice.select(*stored.columns, "inserted", "inserted_by", "updated", "row_version")
+
+
 @query(
     "entity_types",
     "SELECT event_type AS entity_type, count(*) AS entities, CAST(1 AS BIGINT) AS properties FROM events GROUP BY 1",

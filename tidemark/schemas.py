@@ -42,6 +42,20 @@ TABLES = {
     "subject_id string, subject_table_id string, entitlement_id string, entitlement_table_id string, "
     "approver string, approver_display_name string, requester string, requester_display_name string, "
     "decided_by string, decided_at timestamp_ntz",
+    "role": "id string, value string, display string, type string, enabled boolean, total_assignments_permitted int, "
+    "role_type_id string",
+    "role_type": "id string, name string, display_name string",
+    "target": "id string, name string, display_name string, url string, target_type_id string, "
+    "key_vault_name string, key_vault_secret_name string",
+    "target_type": "id string, name string, display_name string",
+    "target_namespace": "id string, name string, display_name string, identifier string, target_id string",
+    "streamer": "id string, name string, description string, sql string, expires_at timestamp_ntz",
+    "column": "id string, table_name string, column_name string, data_type string, max_length int, "
+    "is_nullable boolean, display_name string",
+    "messaging": "id string, name string, display_name string, description string",
+    "messaging_message": "id string, messaging_id string, subject string, body string, body_html string, priority int",
+    "messaging_message_recipient": "id string, messaging_message_id string, recipient string, "
+    "recipient_display_name string, recipient_type string, delivered_at timestamp_ntz",
 }
 
 # The five columns that identify a relationship.
