@@ -93,7 +93,7 @@ def repeated_words(tokens: Column) -> Column:
 
 
 def measured(df: DataFrame, text_col: str = "text") -> DataFrame:
-    """Columns ``row`` (the input row), ``text`` and ``m`` (its measures)."""
+    """Columns ``row`` (the input row), ``text``, ``number`` and ``m`` (its measures)."""
     text = F.coalesce(F.col("text"), F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda line: F.btrim(line, F.lit(SPACES)) != "")
     return (
@@ -103,6 +103,7 @@ def measured(df: DataFrame, text_col: str = "text") -> DataFrame:
         .select(
             "row",
             "text",
+            F.monotonically_increasing_id().alias("number"),
             F.struct(
                 F.size("words").cast("bigint").alias("n_words"),
                 F.length(F.array_join("words", "")).cast("bigint").alias("word_chars"),
@@ -146,7 +147,7 @@ def cascade_order(sample: DataFrame, rules: Sequence[Rule]) -> list[Rule]:
 
 
 def quality_cascade(df: DataFrame, text_col: str = "text", sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """Columns ``row``, ``text``, ``m``, ``base_failed``, ``rejected_by`` (null if kept) and ``kept`` of every document.
+    """Columns ``row``, ``text``, ``number``, ``m``, ``base_failed``, ``rejected_by`` (null if kept) and ``kept`` of every document.
 
     The cascade is one conditional expression, so a rule that is not reached is not computed.
     """
@@ -157,4 +158,6 @@ def quality_cascade(df: DataFrame, text_col: str = "text", sample_rows: int = SA
     for rule in cascade_order(sample, rules):
         verdict = verdict.when(rule.rejects, rule.name)
     judged = scored.withColumn("rejected_by", verdict)
-    return judged.withColumn("base_failed", base_failed(F.col("m"))).withColumn("kept", F.isnull("rejected_by"))
+    # The row's number keeps Catalyst from moving a filter on the verdict before the measures and repeating them there.
+    kept = F.isnull("rejected_by") & (F.col("number") >= 0)
+    return judged.withColumn("base_failed", base_failed(F.col("m"))).withColumn("kept", kept)
