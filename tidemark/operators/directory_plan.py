@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators.merge import DELETED
+from tidemark.session import cut_lineage
 
 
-SALTS = 32  # parts in which the members of one object meet its flags
+SALTS = 8  # parts in which the members of one object meet its flags
 
 
 def plan_directory_changes(
@@ -39,20 +40,22 @@ def plan_directory_changes(
         rows = df.select(key, "attribute", "value", F.lit(name == "s").alias("_source"))
         return rows.withColumn("_s", F.when(F.col("_source"), value)).withColumn("_c", F.when(~F.col("_source"), value))
 
-    both = side(source, "s").unionByName(side(current, "c"))
-    known = both.groupBy(F.col(key).alias("_key")).agg(
-        F.bool_or("_source").alias("_in_source"), F.bool_or(~F.col("_source")).alias("_in_current")
-    )
-    # The members of an object share its key: every one is sent to one of SALTS copies of the object's flags.
-    salted = known.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    pairs = (
-        both.where(~is_multi | F.col("value").isNotNull())
-        .withColumn("_match", F.when(is_multi, F.col("value")).otherwise(F.lit("")))
-        .groupBy(*match)
+    values = (
+        side(source, "s")
+        .unionByName(side(current, "c"))
+        .withColumn("_match", F.when(is_multi, F.coalesce("value", F.lit(""))).otherwise(F.lit("")))
+        .withColumn("_none", is_multi & F.col("value").isNull())  # names the object, but no member
+        .groupBy(*match, "_none")
         .agg(F.max("_s").alias("_s"), F.max("_c").alias("_c"))
-        .withColumn("_salt", F.pmod(F.xxhash64("attribute", "_match"), F.lit(SALTS)).cast("int"))
-        .join(salted.withColumnRenamed("_key", key), [key, "_salt"])
     )
+    values = cut_lineage(values)  # both sides are computed once, for the values and for the flags of their objects
+    known = values.groupBy(key).agg(
+        F.bool_or(F.col("_s").isNotNull()).alias("_in_source"), F.bool_or(F.col("_c").isNotNull()).alias("_in_current")
+    )
+    # The members of an object share its key: each is sent to one of SALTS copies of the object's flags.
+    salted = known.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salt = F.pmod(F.xxhash64("attribute", "_match"), F.lit(SALTS)).cast("int")
+    pairs = values.where(~F.col("_none")).withColumn("_salt", salt).join(salted, [key, "_salt"])
     in_source, in_current = F.col("_s").isNotNull(), F.col("_c").isNotNull()
     op = (
         F.when(in_source & ~F.col("_in_current"), "add_object")
