@@ -72,6 +72,28 @@ def test_owners_decide_on_candidates(spark):
     assert all(not r.spans[0].live and r.spans[0].n_owners == 4 for r in secrets(frame(spark, copied)).collect())
 
 
+def pem(seed, kind="RSA "):
+    digits = "".join(hashlib.sha512(f"{seed}{i}".encode()).hexdigest().upper() for i in range(6))
+    lines = "\n".join(f"{digits[i : i + 30]}+/ab" for i in range(0, len(digits), 30))
+    return f"-----BEGIN {kind}PRIVATE KEY-----\nDEK-Info: AES-128-CBC,{digits[:32]}\n\n{lines}\n-----END {kind}PRIVATE KEY-----"
+
+
+def test_private_keys_are_told_apart_by_their_bodies(spark):
+    header = "-----BEGIN RSA PRIVATE KEY-----"
+    texts = [f"é own {pem(f'own{i}')} after" for i in range(4)] + [f"example {pem('copied')} after" for _ in range(4)]
+    texts += [f"token='{pem('inside')}' " + "0a" * 12, f"{header} alone {pem('second')} and {header}", header + "x" * 200_000]
+    rows = [(i, t, "en", f"owner{i}", 0) for i, t in enumerate(texts)]
+    got = {r.row.doc_id: r.spans for r in secrets(frame(spark, rows)).collect()}
+    for i in range(4):
+        assert [(s.kind, s.value, s.n_owners) for s in got[i]] == [("key", pem(f"own{i}"), 1)]
+        assert got[4 + i] == []
+    assert ("key", pem("inside")) in {(s.kind, s.value) for s in got[8]}
+    assert ("key", pem("second")) in {(s.kind, s.value) for s in got[9]}
+    new = {r.doc_id: r.text for r in redact(frame(spark, rows)).collect()}
+    assert all(new[i] == f"é own {PLACEHOLDER} after" for i in range(4))
+    assert "END" not in new[8] and "+/ab" not in new[8] + new[9]
+
+
 def test_redaction(spark, edge, empty, edge_rows):
     rows = [(i, t, "en", f"s{i}", len(t or "")) for i, t in enumerate(HARD)]
     got = {r.doc_id: (r.text, r.n_chars) for r in redact(frame(spark, rows), chars_col="n_chars").collect()}

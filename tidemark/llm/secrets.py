@@ -3,7 +3,9 @@
 Patterns name spans in each text.  The values of all spans are hashed, and the hashes are aggregated over the corpus
 by distinct repositories and owners: a value that more than ``MAX_OWNERS`` owners hold is an example that people
 copy, one with fewer owners looks live.  Base spans (assignments, access keys, hex strings) stay whatever the corpus
-says and carry the verdict; general candidates (long mixed strings, private key headers) become spans only if live.
+says and carry the verdict; general candidates (long mixed strings, private keys) become spans only if live.  A private
+key is its header, body and END line, so owners are counted for each key and not for the header that all keys of a type
+share; a header without an END line before the next header stands for itself.
 
 Defined results: a null or empty text has no spans; every row is scanned on its own, repeated ids included; a null
 owner or repository counts as one owner or repository; an empty table gives an empty table; the columns of the input
@@ -25,13 +27,16 @@ PLACEHOLDER = "[secret]"
 
 # The patterns, in the order in which spans of equal start are listed.
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+HEADER = r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----"
+BODY = r"(?:[^-]|-(?!----(?:BEGIN|END) ))*+"  # possessive, which Java matches without recursion
+END = r"-----END [A-Z ]{0,40}PRIVATE KEY-----"
 KINDS = {
     "assign": (ASSIGN, 2, 6),  # pattern, group of the value, least length of the value
     "access": (r"AKIA[A-Z0-9]{16,}", 0, 20),
     "hex": (r"[0-9a-f]{24,}", 0, 24),
 }
 CANDIDATES = {
-    "key": (r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----", 0, 1),
+    "key": (HEADER + "(?:" + BODY + END + ")?", 0, 1),
     "mixed": (r"[A-Za-z0-9_-]{20,}", 0, 20),
 }
 ORDER = [*KINDS, *CANDIDATES]
@@ -110,10 +115,19 @@ def scanned(df: DataFrame, text_col: str, owner: Column, repository: Column) ->
     telling = F.filter(  # a mixed string with few digits or without letters is a word or a number
         extra, lambda s: (s["kind"] != "mixed") | s["value"].rlike("(?s)^(?=.*[A-Za-z])(?:[^0-9]*[0-9]){3}")
     )
+
+    def whole(s: Column) -> Column:
+        return (s["kind"] == "key") & s["value"].rlike(END)
+
+    def free(s: Column, others: Column) -> Column:
+        return ~F.exists(others, lambda t: (t["start"] < s["end"]) & (s["start"] < t["end"]))
+
+    # A whole key stays beside base spans that hit a part of it, and covers the mixed strings of its body.
     apart = let(
         F.col("base"),
-        lambda b: F.filter(
-            F.col("extra"), lambda s: ~F.exists(b, lambda t: (t["start"] < s["end"]) & (s["start"] < t["end"]))
+        lambda b: let(
+            F.filter("extra", whole),
+            lambda keys: F.filter("extra", lambda s: whole(s) | (free(s, b) & free(s, keys))),
         ),
     )
     named = df.select(
