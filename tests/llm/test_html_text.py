@@ -61,6 +61,27 @@ def test_pages(page, blocks):
     assert main_blocks(page) == blocks
 
 
+LONG_TEXT = "This paragraph is the main text of the page and goes on for long enough that it counts as running text."
+
+
+@pytest.mark.parametrize(
+    ("page", "blocks"),
+    [
+        ("<div class='page has-sidebar'><article><p>text</p></article></div>", ["text"]),
+        ("<div id='content-with-nav'><p>text</p></div>", ["text"]),
+        ("<section class='post comments-open'><p>text</p></section>", ["text"]),
+        ("<div class='sidebar-layout'><p>out of it, and longer than the article</p><article>text</article></div>", ["text"]),
+        (f"<div class='widget'><p>{LONG_TEXT}</p><div class='sidebar'>side</div></div><p>end", [LONG_TEXT, "end"]),
+        ("<article><pre><code>x = 1 <span class='comment'># one</span></code></pre></article>", ["x = 1 # one"]),
+        (f"<article>{LONG_TEXT}</article><div class='related-posts'><article>teaser</article></div>", [LONG_TEXT]),
+        (f"<p>{LONG_TEXT}<div class='cookie-bar'>c</div><div class='comments'><div class='comment'>{LONG_TEXT[:60]}</div>"
+         f"<div class='comment'>{LONG_TEXT[:60]}</div></div>", [LONG_TEXT]),
+    ],
+)
+def test_class_names_of_wrappers(page, blocks):
+    assert main_blocks(page) == blocks
+
+
 def test_long_and_broken_pages_end():
     assert main_text("<" * 20_000) == "<" * 20_000
     assert main_text("<article>" + "<p>x" * 20_000).count("x") == 20_000

@@ -2,7 +2,8 @@
 
 Markup is stripped into lines, one for each block of the page, in page order.  Menus, page headers, footers, sidebars,
 notices, adverts, forms, scripts, styles and reader comments, known by their elements, roles and class names, become
-blank lines; a line weighs as many characters as it has outside links.  Where the page marks its article, lines outside
+blank lines.  A class name tells by its first or last word and not where it names a state (``has-sidebar``), and an element
+known by class names only stays if it holds the heaviest article or over half of the page's text.  A line weighs as many characters as it has outside links.  Where the page marks its article, lines outside
 of it weigh nothing.  The weights of ``WINDOW`` lines from each line on are summed: the text surges where a sum exceeds
 the threshold, and dives where a sum is nothing; everything between a surge and its dive is kept, short lines included.
 
@@ -46,7 +47,9 @@ DROPPED_NAMES = set(
     "pagination pager paywall popup promo promoted promotion recommended related replies respond search share sharing "
     "sidebar signup skip social sponsor sponsored subscribe subscription toolbar widget widgets".split()
 )
+STATES = set("has with without no not is are open opened closed enabled disabled on off active visible hidden".split())
 ARTICLE_NAMES = {"articlebody"}
+CODE = {"pre", "code"}  # class names in them tell of syntax
 KEPT = {"html", "body", "main"}  # never dropped by their class names
 # Elements that a new one of the same group ends.
 ENDS = {
@@ -68,12 +71,22 @@ NAMES = re.compile(r"""\b(class|id|role|itemprop|hidden|style|aria-hidden)\b(?:\
 WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
-def kind_of(name: str, attributes: str, in_article: bool) -> tuple[bool, bool]:
-    """Is an element to be dropped, and does it mark the article?"""
+def names_boilerplate(value: str) -> bool:
+    """Does a class name or id begin or end with a word for boilerplate, other than as a state of the page?"""
+    for token in value.split():
+        words = [w.lower() for w in WORDS.findall(token)]
+        if words and (words[0] in DROPPED_NAMES or words[-1] in DROPPED_NAMES) and not STATES.intersection(words):
+            return True
+    return False
+
+
+def kind_of(name: str, attributes: str, in_article: bool, in_code: bool = False) -> tuple[bool, bool, bool]:
+    """Is an element to be dropped, does it mark the article, and do its class names tell of boilerplate?"""
     dropped = name in DROPPED or (name == "header" and not in_article)
     article = name in ("article", "main")
+    doubtful = False
     if not attributes:
-        return dropped, article
+        return dropped, article, doubtful
     for key, value in NAMES.findall(attributes):
         key, value = key.lower(), value.strip("\"'")
         low = value.lower()
@@ -90,33 +103,62 @@ def kind_of(name: str, attributes: str, in_article: bool) -> tuple[bool, bool]:
             if name == "article":
                 dropped |= any(c in ("comment", "comments", "reply") or c.startswith("comment-") for c in low.split())
             else:
-                dropped |= any(w.lower() in DROPPED_NAMES for w in WORDS.findall(value))
-    return dropped, article
+                doubtful |= not in_code and names_boilerplate(value)
+    return dropped, article, doubtful and not dropped
+
+
+def stays(parents: list[int], sizes: list[int], marks: list[list[int]]) -> list[bool]:
+    """Which elements known by class names stay, inner ones first; number 0 is the page.
+
+    ``sizes`` has the characters of each outside of inner ones, ``marks`` the innermost one around each article and the
+    article's characters.
+    """
+    sizes, stay, whole = sizes[:], [False] * len(parents), sum(sizes)
+    held, most = max(marks, key=lambda m: m[1], default=[0, 0])
+    for k in range(len(parents) - 1, 0, -1):
+        stay[k] = 2 * sizes[k] > whole or (k == held and most > 0)
+        if stay[k]:
+            sizes[parents[k]] += sizes[k]
+            held = parents[k] if k == held else held
+    stay[0] = True
+    for k in range(1, len(parents)):
+        stay[k] &= stay[parents[k]]
+    return stay
 
 
 def lines_of(page: str) -> tuple[list[tuple[str, int, bool]], bool]:
     """Lines with their weights outside links and whether they are in an article; is there an article with text?"""
-    lines: list[tuple[str, int, bool]] = []
-    stack: list[tuple[str, bool, bool]] = []  # name, dropped, article
+    found: list[tuple[str, int, bool, int]] = []  # with the innermost element that class names tell to drop
+    stack: list[tuple[str, bool, bool, bool]] = []  # name, dropped, article, doubtful
     parts: list[str] = []
-    dropped = articles = links = linked = 0
-    marked, at = False, 0
+    parents, sizes, inside = [0], [0], [0]  # doubtful elements; those that are open
+    marks: list[list[int]] = []
+    opened: list[int] = []  # articles that are open, by their place in marks
+    dropped = links = linked = codes = 0
+    at = 0
 
     def flush() -> None:
-        nonlocal linked, marked
+        nonlocal linked
         text = " ".join("".join(parts).split())
         parts.clear()
         if text:
-            lines.append((text, max(0, len(text) - linked), articles > 0))
-            marked |= articles > 0
+            found.append((text, max(0, len(text) - linked), bool(opened), inside[-1]))
+            sizes[inside[-1]] += max(0, len(text) - linked)
+            for k in opened:
+                marks[k][1] += len(text) if marks[k][0] == inside[-1] else 0
         linked = 0
 
     def pop() -> None:
-        nonlocal dropped, articles, links
-        name, was_dropped, was_article = stack.pop()
+        nonlocal dropped, links, codes
+        name, was_dropped, was_article, was_doubtful = stack.pop()
+        if was_doubtful:
+            flush()
+            inside.pop()
         dropped -= was_dropped
-        articles -= was_article
+        if was_article:
+            opened.pop()
         links -= name == "a"
+        codes -= name in CODE
 
     def take(text: str) -> None:
         nonlocal linked
@@ -136,7 +178,7 @@ def lines_of(page: str) -> tuple[list[tuple[str, int, bool]], bool]:
         elif name == "br" and not dropped:
             parts.append("\n")
         if match[1]:
-            if any(open_name == name for open_name, _, _ in stack):
+            if any(open_name == name for open_name, *_ in stack):
                 while stack[-1][0] != name:
                     pop()
                 pop()
@@ -153,17 +195,29 @@ def lines_of(page: str) -> tuple[list[tuple[str, int, bool]], bool]:
                 break
             while len(stack) > here:
                 pop()
-        is_dropped, is_article = kind_of(name, match[3], articles > 0)
-        if is_dropped and not dropped:
+        is_dropped, is_article, is_doubtful = kind_of(name, match[3], bool(opened), codes > 0)
+        is_article, is_doubtful = is_article and not is_dropped, is_doubtful and not dropped
+        if (is_dropped or is_doubtful) and not dropped:
             flush()
-            lines.append(("", 0, False))
-        stack.append((name, is_dropped, is_article and not is_dropped))
+            if is_dropped:
+                found.append(("", 0, False, inside[-1]))
+        if is_doubtful:
+            found.append(("", 0, False, inside[-1]))
+            parents.append(inside[-1])
+            sizes.append(0)
+            inside.append(len(parents) - 1)
+        stack.append((name, is_dropped, is_article, is_doubtful))
         dropped += is_dropped
-        articles += is_article and not is_dropped
+        if is_article:
+            opened.append(len(marks))
+            marks.append([inside[-1], 0])
         links += name == "a"
+        codes += name in CODE
     take(page[at:])
     flush()
-    return lines, marked
+    stay = stays(parents, sizes, marks)
+    lines = [(text, weight, in_article) for text, weight, in_article, k in found if stay[k]]
+    return lines, any(text and in_article for text, _, in_article in lines)
 
 
 def main_blocks(page: str) -> list[str]:
