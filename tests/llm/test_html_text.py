@@ -82,6 +82,23 @@ def test_class_names_of_wrappers(page, blocks):
     assert main_blocks(page) == blocks
 
 
+@pytest.mark.parametrize(
+    ("page", "blocks"),
+    [
+        (f"<main>teaser</main><div><h1>Head</h1><p>{LONG_TEXT}<p>{LONG_TEXT}</div>", ["teaser", "Head", LONG_TEXT, LONG_TEXT]),
+        (f"<div><p>{LONG_TEXT * 4}</div>" + "<article>card</article>" * 30, [LONG_TEXT * 4, *["card"] * 30]),
+        (f"<div>{LONG_TEXT}</div><article>{LONG_TEXT}</article>", [LONG_TEXT]),
+        ("<article><p>a</p><ul><li>" + "<li>".join(f"<a>{k}</a>" for k in range(6)) + "</ul><p>b</article><p>out",
+         ["a", *"012345", "b"]),
+        (f"<h2>Head</h2><div class='share'>s</div><div class='advert'>a</div><aside>x</aside><p>{LONG_TEXT}", ["Head", LONG_TEXT]),
+        (f"<p><a>link</a><h1>Head</h1><p>by A<p>May 1<p>two minutes<p>{LONG_TEXT}", ["Head", "by A", "May 1", "two minutes", LONG_TEXT]),
+        (f"<p>{LONG_TEXT}" + "<p><a>link</a>" * 3 + "<p>lost" + "<p><a>link</a>" * 3, [LONG_TEXT]),
+    ],
+)
+def test_windows_decide_on_all_pages(page, blocks):
+    assert main_blocks(page) == blocks
+
+
 def test_long_and_broken_pages_end():
     assert main_text("<" * 20_000) == "<" * 20_000
     assert main_text("<article>" + "<p>x" * 20_000).count("x") == 20_000

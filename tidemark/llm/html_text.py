@@ -1,11 +1,15 @@
 """Main text of web pages by the distribution of text over lines.
 
 Markup is stripped into lines, one for each block of the page, in page order.  Menus, page headers, footers, sidebars,
-notices, adverts, forms, scripts, styles and reader comments, known by their elements, roles and class names, become
-blank lines.  A class name tells by its first or last word and not where it names a state (``has-sidebar``), and an element
-known by class names only stays if it holds the heaviest article or over half of the page's text.  A line weighs as many characters as it has outside links.  Where the page marks its article, lines outside
-of it weigh nothing.  The weights of ``WINDOW`` lines from each line on are summed: the text surges where a sum exceeds
-the threshold, and dives where a sum is nothing; everything between a surge and its dive is kept, short lines included.
+notices, adverts, forms, scripts, styles and reader comments, known by their elements, roles and class names, are left
+out, without a line of their own.  A class name tells by its first or last word and not where it names a state
+(``has-sidebar``), and an element known by class names only stays if it holds the heaviest article or over half of the
+page's text.  A line weighs as many characters as it has outside links; a line of a marked article has all its
+characters and ``THRESHOLD`` more.  The weights of ``WINDOW`` lines from each line on are summed, article and
+remaining page each by itself: the text surges where a sum exceeds the threshold, and dives where a sum is nothing;
+everything between a surge and its dive is kept, and so are the short lines just before it.  What surges outside of a
+marked article is kept where a stretch of it has more than ``MARK`` times the characters of the heaviest article,
+which is a teaser then; otherwise it is taken for the boilerplate around the article.
 
 Defined results: null, empty and unmarked html give an empty text or the text as one block; unclosed elements end with
 their parents, unknown references stay as they are; repeated rows are extracted alike; an empty table gives an empty
@@ -26,7 +30,8 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 WINDOW = 3  # lines whose weights are summed
-THRESHOLD = 86  # characters in a window from which text counts as a surge where no article is marked
+THRESHOLD = 86  # characters in a window from which text counts as a surge
+MARK = 2  # weight of a character in a marked article against one outside
 
 BLOCKS = set(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure "
@@ -126,9 +131,9 @@ def stays(parents: list[int], sizes: list[int], marks: list[list[int]]) -> list[
     return stay
 
 
-def lines_of(page: str) -> tuple[list[tuple[str, int, bool]], bool]:
-    """Lines with their weights outside links and whether they are in an article; is there an article with text?"""
-    found: list[tuple[str, int, bool, int]] = []  # with the innermost element that class names tell to drop
+def lines_of(page: str) -> tuple[list[tuple[str, int, int]], bool]:
+    """Lines with their weights outside links and the number of their outermost article or 0; does any have text?"""
+    found: list[tuple[str, int, int, int]] = []  # with the innermost element that class names tell to drop
     stack: list[tuple[str, bool, bool, bool]] = []  # name, dropped, article, doubtful
     parts: list[str] = []
     parents, sizes, inside = [0], [0], [0]  # doubtful elements; those that are open
@@ -142,7 +147,7 @@ def lines_of(page: str) -> tuple[list[tuple[str, int, bool]], bool]:
         text = " ".join("".join(parts).split())
         parts.clear()
         if text:
-            found.append((text, max(0, len(text) - linked), bool(opened), inside[-1]))
+            found.append((text, max(0, len(text) - linked), opened[0] + 1 if opened else 0, inside[-1]))
             sizes[inside[-1]] += max(0, len(text) - linked)
             for k in opened:
                 marks[k][1] += len(text) if marks[k][0] == inside[-1] else 0
@@ -199,10 +204,7 @@ def lines_of(page: str) -> tuple[list[tuple[str, int, bool]], bool]:
         is_article, is_doubtful = is_article and not is_dropped, is_doubtful and not dropped
         if (is_dropped or is_doubtful) and not dropped:
             flush()
-            if is_dropped:
-                found.append(("", 0, False, inside[-1]))
         if is_doubtful:
-            found.append(("", 0, False, inside[-1]))
             parents.append(inside[-1])
             sizes.append(0)
             inside.append(len(parents) - 1)
@@ -217,7 +219,23 @@ def lines_of(page: str) -> tuple[list[tuple[str, int, bool]], bool]:
     flush()
     stay = stays(parents, sizes, marks)
     lines = [(text, weight, in_article) for text, weight, in_article, k in found if stay[k]]
-    return lines, any(text and in_article for text, _, in_article in lines)
+    return lines, any(in_article for _, _, in_article in lines)
+
+
+def surges(weights: list[int], threshold: int) -> list[tuple[int, int]]:
+    """Stretches of lines from each surge, with the short lines just before it, to its dive."""
+    padded = np.r_[np.array(weights, dtype=np.int64), np.zeros(WINDOW, dtype=np.int64)]
+    sums = sum(padded[k : k + len(weights)] for k in range(WINDOW))
+    out, start, dived = [], None, 0
+    for k, (weight, total) in enumerate(zip(weights, sums, strict=True)):
+        if start is None and total > threshold and weight > 0:
+            start = k
+            while start > dived and weights[start - 1] > 0:
+                start -= 1
+        elif start is not None and total == 0:
+            out.append((start, k))
+            start, dived = None, k
+    return out if start is None else [*out, (start, len(weights))]
 
 
 def main_blocks(page: str) -> list[str]:
@@ -225,18 +243,26 @@ def main_blocks(page: str) -> list[str]:
     lines, marked = lines_of(page)
     if not lines:
         return []
-    weights = np.array([w if inside or not marked else 0 for _, w, inside in lines])
-    if marked:  # link text in a marked article is text
-        weights = np.array([len(t) if inside else 0 for t, _, inside in lines])
-    padded = np.r_[weights, np.zeros(WINDOW, dtype=np.int64)]
-    sums = sum(padded[k : k + len(weights)] for k in range(WINDOW))
-    threshold = 0 if marked or sums.max() <= THRESHOLD else THRESHOLD
-    kept, surged = [], False
-    for (text, _, inside), weight, total in zip(lines, weights, sums, strict=True):
-        surged = (surged or (total > threshold and weight > 0)) and total > 0
-        if surged and text and (inside or not marked):
-            kept.append(text)
-    return kept
+    regions, first = [], 0  # lines of one article, or of the page between articles
+    for k in range(1, len(lines) + 1):
+        if k == len(lines) or lines[k][2] != lines[first][2]:
+            regions.append((first, k, lines[first][2]))
+            first = k
+    weights = [len(text) + THRESHOLD if inside else weight for text, weight, inside in lines]
+    most = max(sum(weights[k : k + WINDOW]) for k in range(len(lines)))
+    threshold = THRESHOLD if marked or most > THRESHOLD else 0
+    found = [
+        (a + first, b + first, inside)
+        for first, end, inside in regions
+        for a, b in surges(weights[first:end], threshold)
+    ]
+
+    def heaviest(marks: bool) -> int:
+        sizes = (sum(len(t) if marks else w for t, w, _ in lines[a:b]) for a, b, inside in found if bool(inside) == marks)
+        return max(sizes, default=0)
+
+    outside = not marked or heaviest(False) > MARK * heaviest(True)
+    return [text for a, b, inside in found if inside or outside for text, _, _ in lines[a:b]]
 
 
 def main_text(page: str | None) -> str:
