@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.decontamination import contaminated
+from tidemark.llm.fill_in_middle import fill_in_middle, restore
 from tidemark.llm.html_text import extract
 from tidemark.llm.packing import packed, pieces
 from tidemark.llm.quality import quality_cascade
@@ -201,3 +202,31 @@ def op8_secret_scans(spark: SparkSession, folder: str) -> DataFrame:
 @query()
 def op7_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packed(pieces(table(spark, folder, "documents"), public_tokenizer()))
+
+
+@query(
+    r"""
+    WITH d AS (
+        SELECT doc_id, coalesce(text, '') AS t, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h,
+               regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS u FROM documents),
+    drawn AS (
+        SELECT doc_id, t, u, CAST(len(u) AS BIGINT) AS n, ('0x' || h[1:8])::BIGINT % (len(u) + 1) AS k1,
+               ('0x' || h[9:16])::BIGINT % (len(u) + 1) AS k2,
+               CASE WHEN t = '' OR regexp_matches(t, '<[PSM]>') OR ('0x' || h[17:24])::BIGINT % 100 >= 90 THEN 'plain'
+                    WHEN ('0x' || h[25:32])::BIGINT % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM d),
+    parts AS (
+        SELECT doc_id, t, n, form, array_to_string(u[1 : least(k1, k2)], '') AS p,
+               array_to_string(u[least(k1, k2) + 1 : greatest(k1, k2)], '') AS m,
+               array_to_string(u[greatest(k1, k2) + 1 :], '') AS s FROM drawn)
+    SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN CAST(length(p) AS BIGINT) END AS prefix_chars,
+           CASE WHEN form <> 'plain' THEN CAST(length(m) AS BIGINT) END AS middle_chars,
+           sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m
+                  ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+           sha256(t) AS restored_sha256
+    FROM parts
+    """
+)
+def op11_fill_in_middle(spark: SparkSession, folder: str) -> DataFrame:
+    made = restore(fill_in_middle(table(spark, folder, "documents")))
+    digests = [F.sha2("output", 256).alias("output_sha256"), F.sha2("text", 256).alias("restored_sha256")]
+    return made.select(F.col("id").alias("doc_id"), "n", "form", "prefix_chars", "middle_chars", *digests)
