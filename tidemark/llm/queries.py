@@ -13,6 +13,7 @@ from tidemark.llm.html_text import extract
 from tidemark.llm.packing import packed, pieces
 from tidemark.llm.quality import quality_cascade
 from tidemark.llm.secrets import listed, secrets
+from tidemark.llm.sentence_pieces import decode, encode
 from tidemark.llm.simhash import near_duplicates
 from tidemark.llm.token_files import read_documents, write_token_files
 from tidemark.llm.tokens import public_tokenizer
@@ -230,3 +231,11 @@ def op11_fill_in_middle(spark: SparkSession, folder: str) -> DataFrame:
     made = restore(fill_in_middle(table(spark, folder, "documents")))
     digests = [F.sha2("output", 256).alias("output_sha256"), F.sha2("text", 256).alias("restored_sha256")]
     return made.select(F.col("id").alias("doc_id"), "n", "form", "prefix_chars", "middle_chars", *digests)
+
+
+@query()
+def op13_sentence_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    model = public_tokenizer("piece_bpe_32k.model")
+    made = decode(encode(table(spark, folder, "documents"), model), model)
+    digests = [F.sha2("ids", 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256")]
+    return made.select(F.col("id").alias("doc_id"), "n_tokens", *digests)
