@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.decontamination import contaminated
 from tidemark.llm.fill_in_middle import fill_in_middle, restore
 from tidemark.llm.html_text import extract
+from tidemark.llm.merkle import folded, leaf, proof_digest, proofs
 from tidemark.llm.packing import packed, pieces
 from tidemark.llm.quality import quality_cascade
 from tidemark.llm.secrets import listed, secrets
@@ -239,3 +240,69 @@ def op13_sentence_pieces(spark: SparkSession, folder: str) -> DataFrame:
     made = decode(encode(table(spark, folder, "documents"), model), model)
     digests = [F.sha2("ids", 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256")]
     return made.select(F.col("id").alias("doc_id"), "n_tokens", *digests)
+
+
+@query(
+    """
+    WITH RECURSIVE crc AS (
+        SELECT list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0],
+                    lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t
+        FROM range(256) AS x(i)),
+    named AS (
+        SELECT *, coalesce(CAST(doc_id AS VARCHAR), '') AS name,
+               coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id, '-')
+               || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-') AS before,
+               coalesce(strlen(text) || ':' || text, '-') AS after FROM documents),
+    d AS (
+        SELECT doc_id, lang, dense_rank() OVER (ORDER BY lang NULLS FIRST) - 1 AS tree,
+               sha256(before || coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-') || after) AS leaf,
+               sha256(before || coalesce(strlen(CAST(n_chars + 1 AS VARCHAR)) || ':' || (n_chars + 1), '-') || after) AS other,
+               xor(4294967295, list_reduce(
+                   list_prepend(4294967295, list_transform(range(1, length(name) + 1), lambda k: CAST(ascii(name[k]) AS BIGINT))),
+                   lambda c, b: xor(c >> 8, t[1 + (xor(c, b) & 255)]))) % 7 = 0 AS chosen
+        FROM named, crc),
+    leaves AS (
+        SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS place,
+               count(*) OVER (PARTITION BY tree) AS n FROM d),
+    nodes AS (
+        SELECT tree, 0 AS level, place, n, leaf AS hash FROM leaves
+        UNION ALL
+        SELECT tree, level + 1, place // 2, (n + 1) // 2, sha256(string_agg(hash, '' ORDER BY place))
+        FROM nodes WHERE n > 1 GROUP BY tree, level, place // 2, n),
+    tops AS (
+        SELECT 0 AS level, tree AS place, count(*) OVER () AS n, hash FROM nodes WHERE n = 1
+        UNION ALL
+        SELECT level + 1, place // 2, (n + 1) // 2, sha256(string_agg(hash, '' ORDER BY place))
+        FROM tops WHERE n > 1 GROUP BY level, place // 2, n),
+    steps AS (
+        SELECT r.tree, r.place, h.level, s.place AS p, r.place >> h.level AS own, s.hash
+        FROM leaves r JOIN (SELECT DISTINCT tree, level FROM nodes WHERE n > 1) h USING (tree)
+        LEFT JOIN nodes s ON s.tree = r.tree AND s.level = h.level AND s.place = xor(r.place >> h.level, 1)
+        UNION ALL
+        SELECT r.tree, r.place, 1000 + h.level, s.place, r.tree >> h.level, s.hash
+        FROM leaves r CROSS JOIN (SELECT DISTINCT level FROM tops WHERE n > 1) h
+        LEFT JOIN tops s ON s.level = h.level AND s.place = xor(r.tree >> h.level, 1)),
+    proofs AS (
+        SELECT tree, place, string_agg(coalesce(hash, ''), '' ORDER BY level) AS siblings,
+               list({'l': CASE WHEN p < own THEN hash ELSE '' END, 'r': CASE WHEN p > own THEN hash ELSE '' END} ORDER BY level) AS path
+        FROM steps GROUP BY tree, place),
+    done AS (
+        SELECT doc_id, leaf, u.hash AS subroot, (SELECT hash FROM tops WHERE n = 1) AS root,
+               sha256(coalesce(siblings, '')) AS proof_sha256,
+               list_reduce(list_prepend({'l': CASE WHEN chosen THEN other ELSE leaf END, 'r': ''}, coalesce(path, [])),
+                           lambda a, s: {'l': sha256(s.l || a.l || s.r), 'r': ''}).l AS folded_root
+        FROM leaves r JOIN (SELECT tree, hash FROM nodes WHERE n = 1) u USING (tree)
+        LEFT JOIN proofs USING (tree, place))
+    SELECT *, folded_root = root AS verified FROM done
+    """
+)
+def op12_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    """Proofs of all rows; the leaves of a seventh of them are tampered with before their proofs are folded."""
+    columns = ["doc_id", "source", "lang", "n_chars", "text"]
+    changed = [F.col(c) + 1 if c == "n_chars" else F.col(c) for c in columns]
+    chosen = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 7 == 0
+    tampered = F.when(chosen, leaf(changed))
+    made = proofs(table(spark, folder, "documents"), columns, keep={"tampered": tampered})
+    made = made.withColumn("folded_root", folded(F.coalesce("tampered", "leaf"), F.col("proof")))
+    names = [F.col("id").alias("doc_id"), "leaf", "subroot", "root", proof_digest(F.col("proof")).alias("proof_sha256")]
+    return made.select(*names, "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
