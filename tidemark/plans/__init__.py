@@ -9,6 +9,7 @@ from tidemark.plans import (  # noqa: F401  (importing registers the queries)
     reads,
     streams,
     sync,
+    versions,
     workflows,
 )
 from tidemark.plans.registry import ORACLES, QUERIES
