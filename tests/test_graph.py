@@ -2,7 +2,8 @@ import random
 
 import pytest
 
-from tidemark.operators import graph
+from tidemark.operators import graph, graph_state
+from tidemark.session import work_path
 
 NODE = "identifier string, a_factor int, c_factor int, deleted timestamp_ntz"
 EDGE = "node_to string, node_from string, edge_type_id string, deleted timestamp_ntz"
@@ -118,3 +119,102 @@ def test_no_edges(spark):
     tables = frames(spark, nodes, [], WEIGHTS)
     assert {r.identifier: r.inherited for r in graph.inherited_factor(*tables).collect()} == {"a": 10, "b": 20, "c": 30}
     assert graph.reachable(*tables, tables[0]).count() == 3
+
+
+def state_of(spark, nodes, edges, parts=4, **more):
+    more = {"cols": ["a_factor", "c_factor"]} | more
+    return graph_state.create_state(*frames(spark, nodes, edges, WEIGHTS), work_path(spark, "graph"), parts, **more)
+
+
+def once(edges):
+    """Edges by identity, which live if any of their rows does."""
+    out = {}
+    for x, y, kind, dead in edges:
+        out[x, y, kind] = out.get((x, y, kind), True) and bool(dead)
+    return out
+
+
+def after(nodes, edges, new_nodes, new_edges):
+    rows = {n: (n, f, d) for n, f, d in [*nodes, *new_nodes]}
+    ids = once(edges) | once(new_edges)
+    return list(rows.values()), [(*k, dead) for k, dead in ids.items()]
+
+
+def both(spark, state, nodes, edges, depth=10):
+    for at, col in enumerate(state.cols):
+        reach = walk([(n, (f, f // 2)[at], d) for n, f, d in nodes], edges, WEIGHTS, depth)
+        want = {n: 0 if d else max(acc for acc, _ in reach[n].values()) for n, _, d in nodes}
+        assert {r.identifier: r.inherited for r in graph_state.inherited(state, col).collect()} == want
+
+
+def test_updates_equal_brute_force(spark, seed=3, depth=4):
+    rng = random.Random(seed)
+    nodes, edges = random_graph(seed)
+    state = state_of(spark, nodes, edges, parts=2, depth=depth)
+    both(spark, state, nodes, edges, depth)
+    for k in range(2):
+        names = [n for n, *_ in nodes]
+        new_nodes = [(rng.choice(names), rng.randrange(90), rng.random() < 0.3) for _ in range(2)]
+        new_nodes = list({n: (n, f, d) for n, f, d in [*new_nodes, (f"new{seed}{k}", 80, 0)]}.values())
+        new_edges = [(*e[:3], 1) for e in rng.sample(edges, 3)]
+        new_edges += [(rng.choice(names), rng.choice([*names, f"new{seed}{k}", "unknown"]), rng.choice([None, "full"]), 0) for _ in range(3)]
+        changed = frames(spark, new_nodes, new_edges, WEIGHTS)
+        state = graph_state.update_inherited(state, *changed, f"batch {k}")
+        nodes, edges = after(nodes, edges, new_nodes, new_edges)
+        both(spark, state, nodes, edges, depth)
+
+
+def chains(n, length):
+    """Chains of nodes that have nothing to do with one another."""
+    nodes = [(f"c{i}_{k}", 1 + (i + k) % 5, 0) for i in range(n) for k in range(length)]
+    return nodes, [(f"c{i}_{k}", f"c{i}_{k + 1}", "full", 0) for i in range(n) for k in range(length - 1)]
+
+
+def test_an_update_opens_no_part_without_touched_nodes(spark, monkeypatch):
+    nodes, edges = chains(8, 11)
+    state = state_of(spark, nodes, edges, parts=64)
+    opened = set()
+    read = type(state.nodes).read
+
+    def watched(table, files=None):
+        if files is not None:
+            opened.update((table.path, f) for f in files)
+        return read(table, files)
+
+    monkeypatch.setattr(type(state.nodes), "read", watched)
+    changed = frames(spark, [("c3_5", 90, 0)], [("c3_1", "c3_2", "full", 1)], WEIGHTS)
+    following = graph_state.update_inherited(state, *changed, "one")
+    monkeypatch.undo()
+    # Parts of the one chain: its 11 nodes lie in at most 11 of the parts.
+    assert len({f for path, f in opened if path == state.nodes.path}) <= 11 < len(state.nodes.files())
+    kept = set(state.nodes.files()) & set(following.nodes.files())
+    assert len(kept) >= len(state.nodes.files()) - 11
+    both(spark, following, *after(nodes, edges, [("c3_5", 90, 0)], [("c3_1", "c3_2", "full", 1)]))
+
+
+def test_a_batch_that_broke_off_is_finished_and_then_not_applied_again(spark, monkeypatch):
+    nodes, edges = CASES["long chain"]
+    state = state_of(spark, nodes, edges, parts=2, depth=3)
+    new_nodes, new_edges = [("n09", 77, 0)], [("n02", "n03", "full", 1), ("n02", "n09", "half", 0)]
+    changed = frames(spark, new_nodes, new_edges, WEIGHTS)
+
+    def fail(*_):
+        raise RuntimeError("lost")
+
+    monkeypatch.setattr(graph_state, "merge_upsert", fail)
+    with pytest.raises(RuntimeError):
+        graph_state.update_inherited(state, *changed, "b")
+    monkeypatch.undo()
+    again = graph_state.open_state(spark, state.nodes.path.rpartition("/")[0])
+    assert (again.out.version, again.nodes.version) == (1, 0)
+    done = graph_state.update_inherited(again, *changed, "b")
+    both(spark, done, *after(nodes, edges, new_nodes, new_edges), depth=3)
+    repeated = graph_state.update_inherited(done, *changed, "b")
+    assert repeated.nodes.files() == done.nodes.files()
+
+
+def test_a_state_without_edges_and_a_shorter_depth(spark):
+    state = state_of(spark, [("a", 10, 0), ("b", 20, 0)], [], depth=1, cols=["a_factor"])
+    changed = frames(spark, [], [("a", "b", "full", 0), ("b", "a", None, 0)], WEIGHTS)
+    state = graph_state.update_inherited(state, *changed, "b")
+    assert {r.identifier: r.inherited for r in graph_state.inherited(state, "a_factor").collect()} == {"a": 30, "b": 27}

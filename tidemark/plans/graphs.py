@@ -11,8 +11,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators import graph, views
+from tidemark.operators import graph, graph_state, views
 from tidemark.plans.registry import Tables, query
+from tidemark.session import work_path
 
 GRAPH_SQL = """
     nodes AS (
@@ -195,3 +196,60 @@ def reachable(t: Tables) -> DataFrame:
 )
 def with_inherited(t: Tables) -> DataFrame:
     return graph.with_inherited(_nodes(t), _edges(t), _types(t))
+
+
+def _after_sql(col: str) -> str:
+    """The walk over the graph in which a batch has replaced nodes and edges."""
+    before = GRAPH_SQL.replace("nodes AS (", "nodes0 AS (", 1).replace("edges AS (", "edges0 AS (", 1)
+    return _walk_sql(col).replace(
+        GRAPH_SQL,
+        f"""{before},
+    nodes AS (
+        SELECT identifier, display_name, type, CASE WHEN s_suppkey IS NULL THEN a_factor ELSE 200 END AS a_factor, c_factor,
+               CASE WHEN c_custkey IS NULL THEN deleted ELSE TIMESTAMP '2024-02-02' END AS deleted
+        FROM nodes0 LEFT JOIN (SELECT s_suppkey FROM supplier WHERE s_acctbal > 9000) ON identifier = 'S' || s_suppkey
+        LEFT JOIN (SELECT c_custkey FROM customer WHERE c_acctbal > 9900) ON identifier = 'C' || c_custkey),
+    changed AS (
+        SELECT 'O' || l_orderkey AS node_to, 'S' || l_suppkey AS node_from, 'T4' AS edge_type_id, false AS live
+        FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_totalprice > 480000 GROUP BY ALL
+        UNION ALL SELECT 'S' || s_suppkey, 'R' || r_regionkey, 'T3', true
+        FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE s_acctbal > 9000),
+    edges AS (
+        SELECT node_to, node_from, edge_type_id, NULL::TIMESTAMP AS deleted FROM edges0 e WHERE deleted IS NULL
+        AND NOT EXISTS (SELECT 1 FROM changed c WHERE c.node_to = e.node_to AND c.node_from = e.node_from
+                        AND c.edge_type_id = e.edge_type_id)
+        GROUP BY node_to, node_from, edge_type_id
+        UNION ALL SELECT node_to, node_from, edge_type_id, NULL FROM changed WHERE live)
+    """,
+    )
+
+
+@query(
+    "update_inherited",
+    _after_sql("a_factor")
+    + """
+    SELECT identifier, coalesce(m, 0) AS inherited
+    FROM nodes LEFT JOIN (SELECT root, max(acc) AS m FROM walk GROUP BY root) ON identifier = root
+    """,
+)
+def update_inherited(t: Tables) -> DataFrame:
+    """Rich suppliers get a factor of 200 and an edge to their region, the richest customers leave, orders of great
+    value lose their suppliers: only what lies before these changes is computed anew."""
+    nodes, edges, types = _nodes(t), _edges(t), _types(t)
+    state = graph_state.create_state(nodes, edges, types, work_path(t.spark, "graph"), parts=16)
+    rich = t.supplier.where(F.col("s_acctbal") > 9000)
+    richest = t.customer.where(F.col("c_acctbal") > 9900).select(_key("C", "c_custkey").alias("identifier"))
+    suppliers = nodes.join(rich.select(_key("S", "s_suppkey").alias("identifier")), "identifier", "left_semi")
+    gone = nodes.join(richest, "identifier", "left_semi").withColumn("deleted", F.lit("2024-02-02").cast("timestamp_ntz"))
+    changed_nodes = suppliers.withColumn("a_factor", F.lit(200).cast("bigint")).unionByName(gone)
+    dear = t.orders.where(F.col("o_totalprice") > 480000).select(F.col("o_orderkey").alias("l_orderkey"))
+    lines = t.lineitem.join(dear, "l_orderkey").select(
+        _key("O", "l_orderkey").alias("node_to"), _key("S", "l_suppkey").alias("node_from"), F.lit("T4").alias("edge_type_id"),
+        F.lit("2024-02-02").cast("timestamp_ntz").alias("deleted"),
+    )
+    regions = rich.join(t.nation, F.col("s_nationkey") == F.col("n_nationkey")).select(
+        _key("S", "s_suppkey").alias("node_to"), _key("R", "n_regionkey").alias("node_from"), F.lit("T3").alias("edge_type_id"),
+        F.lit(None).cast("timestamp_ntz").alias("deleted"),
+    )
+    after = graph_state.update_inherited(state, changed_nodes, lines.unionByName(regions), types, "rich suppliers")
+    return graph_state.inherited(after, "a_factor")

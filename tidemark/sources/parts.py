@@ -174,7 +174,7 @@ def create(
 ) -> PartTable:
     """Write ``df`` as version 0 of a new table.  ``parts`` decides what the smallest read is, and never changes."""
     rows = require_unique(spread(df, keys), keys).select(*df.columns)
-    table = PartTable(df.sparkSession, path, -1, tuple(keys), tuple(by or keys), parts, df.schema)
+    table = PartTable(df.sparkSession, path, -1, tuple(keys), tuple(by or keys), parts, df.schema.toNullable())
     return _commit(table, _written(table, rows, file_rows), None, "")
 
 
@@ -292,3 +292,8 @@ def compacted(table: PartTable, batch_id: str, most: int = 4, file_rows: int = F
     if not files:
         return table
     return _commit(table, _written(table, table.read(files), file_rows), files, batch_id)
+
+
+def has_batch(table: PartTable, batch_id: str) -> bool:
+    """Whether a version of the table carries the batch."""
+    return batch_id in _batches(table.spark, table.path, versions(table.spark, table.path))
