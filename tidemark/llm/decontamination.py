@@ -4,18 +4,26 @@ Texts are compared as lower-case letters and digits with single spaces between.
 a document with at most e edits shares at least n + 1 - q - q e of its q-grams with it, on diagonals (document position
 minus item position) that lie within e of each other.  So every shared q-gram is counted in the two overlapping bands of
 2 e + 2 diagonals that hold its diagonal; a band that reaches the bound names a region, and a banded alignment of the
-whole item with that region decides.
+whole item with that region decides.  Bands and alignments belong to one text: what stands before and after it in a task
+has no part in them, so results do not depend on how rows are dealt out.
+
+e is a tenth of an item's characters.  q is 8, or less where an item is so short that it need not share any q-gram of 8
+with an occurrence; items of under 8 characters must occur as they are, as whole words.
+
+Places and items that share q-grams are counted ``HITS`` at a time, so memory is bounded whatever items have in common.
+Time follows the text and these pairs: a phrase in many items costs each of them a look at each of its places.
 
 The benchmark is the stated query set: it is taken in blocks of bounded size, and each block is held against every
 document where that document lies, without a shuffle.
 
-Defined results: a null or blank document has no matches; items with fewer than ``Q`` characters after folding have no
-q-gram and are not looked for; equal items are each reported; repeated documents are each reported; empty tables give an
+Defined results: a null or blank document has no matches; items without letters or digits are not looked for; equal
+items are each reported; repeated documents are each reported; empty tables give an
 empty table; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import bisect
 import unicodedata
 from collections.abc import Iterator
 
@@ -31,6 +39,7 @@ EDIT_RATE = 0.1  # edits that an item may show, as a share of its characters
 BLOCK_CHARS = 4_000_000  # characters of the benchmark that one pass over the documents looks for
 CHUNK_CHARS = 1_000_000  # characters of documents that a task looks at together
 ALIGNMENTS = 256  # regions that are aligned together
+HITS = 2_000_000  # places of q-grams in texts times items that have them, which are counted together
 BASE = np.uint32(0x9E3779B1)
 SPACE = 32
 
@@ -83,43 +92,71 @@ def gram_codes(chars: np.ndarray, q: int) -> np.ndarray:
         width *= 2
 
 
+def gram_length(n: int, edits: int, q: int = Q) -> int:
+    """The longest q-grams, of up to ``q`` characters, of which an item with its edits must still share one."""
+    return min(q, n // (edits + 1))
+
+
 class Items:
-    """One block of the benchmark: folded items, their edit budgets and bounds, and the index of their q-grams."""
-
-    def __init__(self, ids: list, texts: list[str], q: int = Q, edit_rate: float = EDIT_RATE) -> None:
-        folded = [strip(fold([t])[0][:-1]) for t in texts]
-        wanted = [k for k, chars in enumerate(folded) if len(chars) >= q]
-        self.q = q
-        self.ids = [ids[k] for k in wanted]
-        self.chars = [folded[k] for k in wanted]
-        n = np.array([len(c) for c in self.chars], dtype=np.int64)
-        self.edits = np.minimum((n * edit_rate).astype(np.int64), (n - q) // q)
+    """Items of one block with q-grams of one length: folded characters, edit budgets, bounds, index of the q-grams.
+
+    ``whole``: items that only count as whole words.
+    """
+
+    def __init__(self, ids: list, chars: list[np.ndarray], edits: list[int], q: int, whole: bool) -> None:
+        self.q, self.ids, self.chars, self.whole = q, ids, chars, whole
+        n = np.array([len(c) for c in chars], dtype=np.int64)
+        self.edits = np.array(edits, dtype=np.int64)
         self.bounds = n + 1 - q - q * self.edits
-        grams = [gram_codes(c, q) for c in self.chars]
-        code = np.concatenate(grams) if grams else np.empty(0, dtype=np.uint32)
-        order = np.argsort(code, kind="stable")
+        grams = [gram_codes(c, q) for c in chars]
+        code = np.concatenate(grams)
+        order = np.argsort(code, kind="stable")  # of one q-gram the items ascend
         self.item = np.repeat(np.arange(len(grams)), [len(g) for g in grams])[order]
-        self.pos = np.concatenate([np.arange(len(g)) for g in grams] or [np.empty(0, dtype=np.int64)])[order]
+        self.pos = np.concatenate([np.arange(len(g)) for g in grams])[order]
         self.codes, self.first, self.count = np.unique(code[order], return_index=True, return_counts=True)
+        self.entry = np.repeat(np.arange(len(self.codes)), self.count) * len(ids) + self.item
         self.bits = max(16, int(len(code)).bit_length() + 5)
         self.bits = min(self.bits, 28)
         self.seen = np.zeros(1 << self.bits, dtype=bool)
         self.seen[self.codes >> np.uint32(32 - self.bits)] = True
 
 
+def indexed(ids: list, texts: list[str], q: int = Q, edit_rate: float = EDIT_RATE) -> list[Items]:
+    """The items of a block by the length of their q-grams; blank items are left out."""
+    groups: dict[tuple[int, bool], tuple[list, list, list]] = {}
+    for name, text in zip(ids, texts, strict=True):
+        chars = strip(fold([text])[0][:-1])
+        if len(chars):
+            edits = int(len(chars) * edit_rate) if len(chars) >= q else 0
+            members = groups.setdefault((gram_length(len(chars), edits, q), len(chars) < q), ([], [], []))
+            for values, value in zip(members, (name, chars, edits), strict=True):
+                values.append(value)
+    return [Items(*members, length, whole) for (length, whole), members in sorted(groups.items(), key=lambda g: g[0])]
+
+
 def strip(chars: np.ndarray) -> np.ndarray:
     words = np.flatnonzero(chars != SPACE)
     return chars[words[0] : words[-1] + 1] if len(words) else chars[:0]
 
 
 def aligned(
-    patterns: list[np.ndarray], text: np.ndarray, origin: np.ndarray, width: int, anchored: bool, step: int = 1
+    patterns: list[np.ndarray],
+    text: np.ndarray,
+    origin: np.ndarray,
+    begin: np.ndarray,
+    end: np.ndarray,
+    width: int,
+    anchored: bool,
+    budget: np.ndarray,
+    step: int = 1,
 ) -> tuple[np.ndarray, np.ndarray]:
     """Banded alignments of whole patterns with parts of ``text``: least edits, and the diagonal on which each ends.
 
     Alignment c computes ``width`` diagonals, all alignments a row at a time.  Its diagonal 0 pairs the first character
     of the pattern with ``text[origin[c]]``; ``step`` -1 reads the text to the left.  Anchored ones begin at the
-    origin, which lies in the middle of the band; others begin on any diagonal.  ``text`` needs zeros on both sides.
+    origin, which lies in the middle of the band; others begin on any diagonal.  What lies outside
+    ``text[begin[c]:end[c]]`` equals no character.  The least cost of a row never falls, so an alignment whose costs all
+    exceed its ``budget`` is given up.
     """
     rows, lengths = max(map(len, patterns)), np.array([len(p) for p in patterns])
     table = np.zeros((rows, len(patterns)), dtype=np.uint32)
@@ -128,23 +165,52 @@ def aligned(
     diagonals = np.arange(width, dtype=np.int32)
     offset = diagonals - width // 2 if anchored else diagonals
     places = origin[:, None] + step * offset
+    low, high, last = begin[:, None], end[:, None], len(text) - 1
     far = np.int32(1 << 20)
     start = np.where(offset >= 0, offset, far) if anchored else np.zeros(width, dtype=np.int32)
     cost = np.repeat(start[None, :].astype(np.int32), len(patterns), axis=0)
-    edits, ends = np.zeros(len(patterns), dtype=np.int64), np.zeros(len(patterns), dtype=np.int64)
+    edits, ends = np.full(len(patterns), far, dtype=np.int64), np.zeros(len(patterns), dtype=np.int64)
+    live = np.arange(len(patterns))
     for j in range(rows):
-        other = text[places + step * j] != table[j][:, None]
+        if j and j % 8 == 0:
+            keep = (cost.min(axis=1) <= budget[live]) & (lengths[live] > j)
+            if not keep.all():
+                live, cost, places, low, high = live[keep], cost[keep], places[keep], low[keep], high[keep]
+                table = table[:, keep]
+            if not len(live):
+                break
+        at = places + step * j
+        other = (text[np.clip(at, 0, last)] != table[j][:, None]) | (at < low) | (at >= high)
         changed = cost + other
         np.minimum(changed[:, :-1], cost[:, 1:] + 1, out=changed[:, :-1])
         cost = np.minimum.accumulate(changed - diagonals, axis=1) + diagonals
-        for c in np.flatnonzero(lengths == j + 1):
+        for c in np.flatnonzero(lengths[live] == j + 1):
             best = int(np.argmin(cost[c]))
-            edits[c], ends[c] = cost[c, best], offset[best]
+            edits[live[c]], ends[live[c]] = cost[c, best], offset[best]
     return edits, ends
 
 
-def regions(chars: np.ndarray, items: Items) -> list[tuple[int, int, int]]:
-    """Item, and lowest and highest diagonal, of the bands that share enough q-grams with an item."""
+def expanded(first: np.ndarray, times: np.ndarray) -> np.ndarray:
+    """``first[k]``, ``first[k] + 1``, ... with ``times[k]`` numbers for each k."""
+    return np.repeat(first - np.r_[0, np.cumsum(times)[:-1]], times) + np.arange(times.sum())
+
+
+def slices(weights: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
+    """Bounds of runs whose weights sum to ``limit`` at most, or of single ones that weigh more."""
+    total, at = np.cumsum(weights), 0
+    while at < len(weights):
+        before = total[at - 1] if at else 0
+        end = max(at + 1, int(np.searchsorted(total, before + limit, side="right")))
+        yield at, end
+        at = end
+
+
+def regions(chars: np.ndarray, starts: np.ndarray, items: Items) -> Iterator[tuple[np.ndarray, ...]]:
+    """Item, text, and lowest and highest diagonal, of the bands of a text that share enough q-grams with an item.
+
+    Where many items share a q-gram, all pairs of a place and an item would not fit.  Items are taken in groups with
+    at most ``HITS`` pairs, an item with more alone and over slices of the places, of which only the counts stay.
+    """
     codes = gram_codes(chars, items.q)
     at = np.flatnonzero(items.seen[codes >> np.uint32(32 - items.bits)])
     place = np.searchsorted(items.codes, codes[at])
@@ -152,66 +218,86 @@ def regions(chars: np.ndarray, items: Items) -> list[tuple[int, int, int]]:
     found[found] = items.codes[place[found]] == codes[at[found]]
     at, place = at[found], place[found]
     if not len(at):
-        return []
-    times = items.count[place]
-    entry = np.repeat(items.first[place] - np.r_[0, np.cumsum(times)[:-1]], times) + np.arange(times.sum())
-    item, diagonal = items.item[entry], np.repeat(at, times) - items.pos[entry]
-    longest = max(map(len, items.chars))
-    step = items.edits[item] + 1
-    band = (diagonal + longest) // step
-    n_bands = len(chars) + 2 * longest + 2
-    key = item * n_bands + band + 1
-    names, counts = np.unique(key, return_counts=True)
-    before = np.r_[False, names[1:] == names[:-1] + 1]  # is the step below there as well?
-    shared = counts + np.where(before, np.r_[0, counts[:-1]], 0)
-    full = shared >= items.bounds[names // n_bands]
-    which, band = names[full] // n_bands, names[full] % n_bands - 1
-    step = items.edits[which] + 1
-    low = (band - 1) * step - longest
-    return list(zip(which.tolist(), low.tolist(), (low + 2 * step - 1).tolist(), strict=True))
-
-
-def matches(chars: np.ndarray, items: Items) -> list[tuple[int, int, int, int]]:
-    """Item, first and last position plus one, and edits, of every occurrence; of overlapping ones the best."""
-    found: dict[int, list[tuple[int, int, int]]] = {}
-    near = sorted(set(regions(chars, items)), key=lambda r: (len(items.chars[r[0]]), r))
-    margin = 2 * max(map(len, items.chars)) + 4 * int(items.edits.max()) + 8 if near else 0
-    text = np.r_[np.zeros(margin, dtype=np.uint32), chars, np.zeros(margin, dtype=np.uint32)]
-    for at in range(0, len(near), ALIGNMENTS):  # alike in length, so that they share rows and width
-        group = near[at : at + ALIGNMENTS]
-        patterns = [items.chars[k] for k, _, _ in group]
-        budget = items.edits[[k for k, _, _ in group]]
-        low, high = (np.array([r[n] for r in group]) for n in (1, 2))
-        width = int((high - low + 2 * budget).max()) + 1
-        edits, ends = aligned(patterns, text, low - budget + margin, width, anchored=False)
-        stops = low - budget + ends + np.array([len(p) for p in patterns])
-        sure = np.flatnonzero((edits <= budget) & (stops > 0))
-        if not len(sure):
+        return
+    text = np.searchsorted(starts, at, side="right") - 1
+    n, longest = len(items.ids), max(map(len, items.chars))
+    known, uses = np.unique(place, return_counts=True)
+    members = items.item[expanded(items.first[known], items.count[known])]
+    pairs = np.bincount(members, weights=np.repeat(uses, items.count[known]), minlength=n).astype(np.int64)
+    n_bands = len(chars) + 2 * longest + 3
+    for low_item, high_item in slices(pairs, HITS):
+        if not pairs[low_item:high_item].any():
             continue
-        patterns = [patterns[c][::-1] for c in sure]
-        width = 2 * int(budget.max()) + 1
-        _, back = aligned(patterns, text, stops[sure] - 1 + margin, width, anchored=True, step=-1)
-        for c, pattern, shift in zip(sure, patterns, back, strict=True):
-            begin = max(0, int(stops[c] - len(pattern) - shift))
-            end = min(len(chars), int(stops[c]))
-            if begin < end:
-                found.setdefault(group[c][0], []).append((int(edits[c]), begin, end))
-    best = []
-    for k, spans in found.items():
-        taken: list[tuple[int, int]] = []
-        for edits, start, stop in sorted(spans):
-            if all(stop <= a or start >= b for a, b in taken):
-                taken.append((start, stop))
-                best.append((k, start, stop, edits))
-    return best
-
-
-def occurrences(texts: list[str], items: Items) -> Iterator[tuple[int, int, int, int, int]]:
-    """Text, item, start and end in its code points, and edits."""
-    folded, at, starts = fold(texts)
-    for k, start, stop, edits in matches(folded, items):
-        row = int(np.searchsorted(starts, at[start], side="right")) - 1
-        yield row, k, int(at[start] - starts[row]), int(at[stop - 1] + 1 - starts[row]), edits
+        first = np.searchsorted(items.entry, place * n + low_item)
+        times = np.searchsorted(items.entry, place * n + high_item) - first
+        parts = []
+        for a, b in slices(times, HITS):
+            entry = expanded(first[a:b], times[a:b])
+            item, many = items.item[entry], times[a:b]
+            diagonal = np.repeat(at[a:b], many) - items.pos[entry]
+            band = (diagonal + longest) // (items.edits[item] + 1)
+            parts.append(np.unique((item * len(starts) + np.repeat(text[a:b], many)) * n_bands + band + 1, return_counts=True))
+        names, inverse = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+        counts = np.bincount(inverse, weights=np.concatenate([p[1] for p in parts])).astype(np.int64)
+        before = np.r_[False, names[1:] == names[:-1] + 1]  # is the step below there as well?
+        shared = counts + np.where(before, np.r_[0, counts[:-1]], 0)
+        owner = names // n_bands
+        full = shared >= items.bounds[owner // len(starts)]
+        which, step = owner[full] // len(starts), items.edits[owner[full] // len(starts)] + 1
+        low = (names[full] % n_bands - 2) * step - longest
+        yield which, owner[full] % len(starts), low, low + 2 * step - 1
+
+
+def matches(chars: np.ndarray, starts: np.ndarray, items: Items) -> Iterator[tuple[int, int, int, int, int]]:
+    """Text, item, first and last position plus one, and edits, of every occurrence; of overlapping ones the best.
+
+    Every alignment sees the one text that its q-grams lie in.
+    """
+    stops_of = np.r_[starts[1:], len(chars)] - 1  # each text is followed by a zero
+    lengths = np.array([len(c) for c in items.chars])
+    for near in regions(chars, starts, items):
+        found: dict[tuple[int, int], list[tuple[int, int, int]]] = {}
+        order = np.lexsort((near[2], near[1], near[0], lengths[near[0]]))
+        near = [values[order] for values in near]
+        for at in range(0, len(order), ALIGNMENTS):  # alike in length, so that they share rows and width
+            which, text, low, high = (values[at : at + ALIGNMENTS] for values in near)
+            budget, size = items.edits[which], lengths[which]
+            begin, end = starts[text], stops_of[text]
+            width = int((high - low + 2 * budget).max()) + 1
+            patterns = [items.chars[k] for k in which]
+            edits, ends = aligned(patterns, chars, low - budget, begin, end, width, False, budget)
+            stops = low - budget + ends + size
+            sure = np.flatnonzero((edits <= budget) & (stops > begin))
+            if not len(sure):
+                continue
+            patterns = [patterns[c][::-1] for c in sure]
+            width = 2 * int(budget.max()) + 1
+            _, back = aligned(patterns, chars, stops[sure] - 1, begin[sure], end[sure], width, True, budget[sure], -1)
+            for c, shift in zip(sure.tolist(), back.tolist(), strict=True):
+                start = max(int(begin[c]), int(stops[c] - size[c] - shift))
+                stop = min(int(end[c]), int(stops[c]))
+                if start < stop and (not items.whole or is_word(chars, start, stop, int(begin[c]), int(end[c]))):
+                    found.setdefault((int(text[c]), int(which[c])), []).append((int(edits[c]), start, stop))
+        for (text, item), spans in found.items():
+            taken: list[tuple[int, int]] = []  # in order of their places
+            for edits, start, stop in sorted(set(spans)):
+                k = bisect.bisect_left(taken, (start, stop))
+                if (k == 0 or taken[k - 1][1] <= start) and (k == len(taken) or taken[k][0] >= stop):
+                    taken.insert(k, (start, stop))
+                    yield text, item, start, stop, edits
+
+
+def is_word(chars: np.ndarray, start: int, stop: int, begin: int, end: int) -> bool:
+    return (start == begin or chars[start - 1] == SPACE) and (stop == end or chars[stop] == SPACE)
+
+
+def occurrences(texts: list[str], blocks_of_items: list[Items]) -> Iterator[tuple[int, object, int, int, int]]:
+    """Text, id of the item, start and end in the text's code points, and edits."""
+    folded, at, originals = fold(texts)
+    starts = np.r_[0, np.flatnonzero(folded == 0)[:-1] + 1]
+    for items in blocks_of_items:
+        for row, k, start, stop, edits in matches(folded, starts, items):
+            yield row, items.ids[k], int(at[start] - originals[row]), int(at[stop - 1] + 1 - originals[row]), edits
 
 
 def blocks(bench: DataFrame, block_chars: int) -> Iterator[tuple[list, list[str]]]:
@@ -270,17 +356,15 @@ def contaminated(
         def scan(
             batches: Iterator[pa.RecordBatch], ids: list = ids, item_texts: list[str] = item_texts
         ) -> Iterator[pa.RecordBatch]:
-            items, arrow = Items(ids, item_texts, q, edit_rate), to_arrow_schema(schema)
+            items, arrow = indexed(ids, item_texts, q, edit_rate), to_arrow_schema(schema)
             texts = (
                 (key.as_py(), text.as_py())
                 for batch in batches
                 for key, text in zip(batch.column(0), batch.column(1), strict=True)
-                if items.ids and text.as_py()
+                if items and text.as_py()
             )
             for part in chunks(texts, CHUNK_CHARS):
-                hits = [
-                    (items.ids[k], part[r][0], a, b, e) for r, k, a, b, e in occurrences([t for _, t in part], items)
-                ]
+                hits = [(k, part[r][0], a, b, e) for r, k, a, b, e in occurrences([t for _, t in part], items)]
                 columns = list(zip(*hits, strict=True)) or [()] * len(arrow)
                 arrays = [pa.array(c, f.type) for c, f in zip(columns, arrow, strict=True)]
                 yield pa.RecordBatch.from_arrays(arrays, schema=arrow)
@@ -306,11 +390,11 @@ def without_contaminated(
         def clean(
             batches: Iterator[pa.RecordBatch], ids: list = ids, item_texts: list[str] = item_texts
         ) -> Iterator[pa.RecordBatch]:
-            items = Items(ids, item_texts, q, edit_rate)
+            items = indexed(ids, item_texts, q, edit_rate)
             for batch in batches:
                 keep = np.ones(batch.num_rows, dtype=bool)
                 column = batch.column(batch.schema.names.index(text_col))
-                texts = ((k, t.as_py()) for k, t in enumerate(column) if items.ids and t.as_py())
+                texts = ((k, t.as_py()) for k, t in enumerate(column) if items and t.as_py())
                 for part in chunks(texts, CHUNK_CHARS):
                     keep[[part[r][0] for r, *_ in occurrences([t for _, t in part], items)]] = False
                 yield batch.filter(pa.array(keep))
