@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.operators import read, views
 from tidemark.schemas import TABLES, conform, schema
@@ -126,3 +127,24 @@ def test_platform_schemas(spark):
         assert len(fields) == len(set(fields)) and "deleted" in fields
     df = conform(spark.range(1).selectExpr("cast(id as string) AS ID", "5 AS factor_x"), "node")
     assert df.schema.simpleString() == schema("node").simpleString() and df.first()["id"] == "0"
+
+
+@pytest.mark.parametrize("order", [["kind", ("id", "desc")], [("kind", "desc"), "id"]])
+def test_skip_without_top_keeps_the_order(spark, order):
+    df = spark.range(1000).select("id", F.when(F.col("id") % 10 > 2, "hot").when(F.col("id") % 10 > 0, "a").alias("kind"))
+    df = df.repartition(7)
+    want = [tuple(r) for r in df.orderBy(*read.sort_keys(order)).collect()][123:]
+    assert [tuple(r) for r in read.entity_read(df, order=order, skip=123).collect()] == want
+    assert [r.id for r in read.entity_read(df, ["id"], order=order, skip=990).collect()] == [r[0] for r in want[-10:]]
+
+
+def test_skip_without_order_or_beyond_the_end(spark):
+    df = spark.range(100)
+    assert read.entity_read(df, skip=30).count() == 70 and read.entity_read(df, order=["id"], skip=100).count() == 0
+    ties = df.select(F.lit(1).alias("x"))
+    assert read.entity_read(ties, order=["x"], skip=40).count() == 60
+
+
+def test_skip_without_top_gathers_no_rows_in_one_task(spark, plan_of):
+    plan = plan_of(read.entity_read(spark.range(100), order=["id"], skip=3))
+    assert "CollectLimit" not in plan and "GlobalLimit" not in plan

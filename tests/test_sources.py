@@ -328,3 +328,28 @@ def test_schema_names(spark):
 
     got = {f.name: f.dataType.simpleString() for f in extract_schema({"a": "decimal(10)", "b": "decimal", "c": "numeric(9,2)"})}
     assert got == {"a": "decimal(10,0)", "b": "decimal(18,0)", "c": "decimal(9,2)"}
+
+
+def test_pages_are_sorted_out_by_the_schema_that_reads_them(spark, rows):
+    landed = [(1, '[{"n":1}]'), (2, '[1,2]'), (3, '[{"n":"x"}]'), (4, '[{"n":2},{"n":true}]'), (5, "[]"), (6, None)]
+    landed += [(7, '[{"other":1}]'), (8, '1],"w":[2'), (9, '[{"n":1}'), (10, '[{"n":null}]'), (11, '{"n":1}'), (12, "")]
+    landed = spark.createDataFrame(landed, "page int, value string")
+    sound, rejected = pages.split_pages(landed, item_schema="n int")
+    assert rows(pages.read_pages(sound, item_schema="n int"), "page", "n") == [(1, 1), (10, None), (7, None)]
+    reasons = {r.page: r.reject_reason for r in rejected.collect()}
+    assert {p for p, r in reasons.items() if r == "page is not a JSON array"} == {8, 9, 11, 12}
+    assert {p for p, r in reasons.items() if r == "a record does not fit the schema"} == {2, 3, 4}
+    assert sound.count() == 5
+
+
+def test_directory_plan_finds_names_in_any_case(spark, rows):
+    source = [("CN=A,DC=x", "Mail", "new"), ("CN=A,DC=x", "Member", "u"), ("CN=B", "mail", "b"), (None, "mail", "z")]
+    current = [("cn=a,dc=X", "mail", "old"), ("cn=a,dc=X", "MEMBER", "v"), ("cn=a,dc=X", "phone", "1")]
+    schema = "dn string, attribute string, value string"
+    plan = plan_directory_changes(spark.createDataFrame(source, schema), spark.createDataFrame(current, schema), ["member"])
+    assert rows(plan) == [
+        ("CN=A,DC=x", "add_value", "Member", "u"),
+        ("CN=A,DC=x", "replace", "Mail", "new"),
+        ("CN=B", "add_object", "mail", "b"),
+        ("cn=a,dc=X", "delete_value", "MEMBER", "v"),
+    ]

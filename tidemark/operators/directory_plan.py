@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.operators.merge import DELETED
 from tidemark.session import cut_lineage
@@ -25,19 +26,25 @@ def plan_directory_changes(
 
     Both sides are long: one row per key, attribute and value.  They are united and shuffled once by key, attribute and
     value, so a group with very many members spreads over all tasks; whether each side knows an object is a partial
-    aggregate, which every member meets in one of ``SALTS`` parts of its object.  ``op`` is ``add_object`` for attributes of objects the directory lacks, ``replace`` for differing
+    aggregate, which every member meets in one of ``SALTS`` parts of its object.  Names of objects and of attributes
+    compare without regard to case, as a directory finds them, and keep the spelling of the source where it has one;
+    values compare as they are.  ``op`` is ``add_object`` for attributes of objects the directory lacks, ``replace`` for differing
     single values (a null value clears), ``add_value`` and ``delete_value`` for members of multi-valued attributes.
     A row without a key names no object and has no change.  Attributes the source does not carry are left alone; objects missing or deleted in the source are the business
     of reconciliation.
     """
     if state_col in source.columns:
         source = source.where(~F.col(state_col).eqNullSafe(DELETED))
-    is_multi = F.col("attribute").isin(list(multi_valued))
+    is_multi = F.col("attribute").isin([name.lower() for name in multi_valued])
     match = [key, "attribute", "_match"]
 
     def side(df: DataFrame, name: str) -> DataFrame:
-        value = F.struct("value")
-        rows = df.select(key, "attribute", "value", F.lit(name == "s").alias("_source"))
+        value = F.struct("value", "_key", "_attribute")
+        spelled = [F.col(key).alias("_key"), F.col("attribute").alias("_attribute")]
+        named = F.lower(key) if isinstance(df.schema[key].dataType, T.StringType) else F.col(key)
+        rows = df.select(
+            named.alias(key), F.lower("attribute").alias("attribute"), "value", *spelled, F.lit(name == "s").alias("_source")
+        )
         return rows.withColumn("_s", F.when(F.col("_source"), value)).withColumn("_c", F.when(~F.col("_source"), value))
 
     values = (
@@ -63,5 +70,6 @@ def plan_directory_changes(
         .when(is_multi & in_current & ~in_source & F.col("_in_source"), "delete_value")
         .when(~is_multi & in_source & ~F.col("_s.value").eqNullSafe(F.col("_c.value")), "replace")
     )
-    value = F.when(in_source, F.col("_s.value")).otherwise(F.col("_c.value"))
-    return pairs.select(key, op.alias("op"), "attribute", value.alias("value")).where(F.col("op").isNotNull())
+    row = F.coalesce("_s", "_c")
+    names = [row["_key"].alias(key), op.alias("op"), row["_attribute"].alias("attribute"), row["value"].alias("value")]
+    return pairs.select(*names).where(F.col("op").isNotNull())

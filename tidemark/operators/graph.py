@@ -17,6 +17,7 @@ from tidemark.session import cut_lineage
 MAX_FACTOR = 255
 MAX_DEPTH = 10
 DEFAULT_WEIGHT = 75
+STORED_ROUNDS = 3  # a lost executor repeats at most so many rounds
 
 
 def _long(value: int) -> Column:
@@ -74,17 +75,15 @@ def _best_walks(arcs: DataFrame, cols: Sequence[str], depth: int, early_stop: bo
     best = None
     if depth > 1:
         inner = cut_lineage(arcs.join(arcs.select(F.col("y").alias("x")).distinct(), "x", "left_semi"))
-        for _ in range(depth - 1):
-            following = _step(inner, best, cols)
-            if early_stop:
-                following = cut_lineage(following)
-                # Sums only grow, so they are final when no row differs from the round before.
-                settled = best is not None and following.join(best, ["x", *cols], "left_anti").isEmpty()
-                best = following
-                if settled:
+        stored = None
+        for k in range(1, depth):
+            best = _step(inner, best, cols)
+            if early_stop or k % STORED_ROUNDS == 0:
+                best = cut_lineage(best)
+                # Sums only grow, so they are final when no row differs from the stored round before.
+                if stored is not None and best.join(stored, ["x", *cols], "left_anti").isEmpty():
                     break
-            else:
-                best = following
+                stored = best
     return _step(arcs, best, cols)
 
 
@@ -121,8 +120,8 @@ def inherited_factor(
 ) -> DataFrame:
     """Highest factor sum any walk from each node collects: ``(identifier, inherited)``, 0 for deleted nodes.
 
-    ``early_stop`` writes the state after every round and stops once nothing changes, which pays on large graphs
-    that are shallower than ``depth``.
+    Every third round is stored, and the rounds end once nothing has changed since the one stored before;
+    ``early_stop`` does so after every round, which pays on large graphs that are much shallower than ``depth``.
     """
     out = _with_inherited(nodes, edges, edge_types, [col], depth, default_weight, early_stop)
     return out.select("identifier", F.col(f"{col}_inherited").alias("inherited"))

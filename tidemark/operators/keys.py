@@ -92,7 +92,7 @@ def require_unique(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 def rejected_rows(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Rows a keyed write cannot place, with ``reject_reason``: a key column is missing, or the key occurs twice.
 
-    A run that has any counts as failed, see :mod:`tidemark.operators.run`.
+    A run that has any counts as failed, see :mod:`tidemark.operators.sync`.
     """
     keyed, loose = split_by_key(df, keys)
     repeated = keyed.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > 1).drop("_n")

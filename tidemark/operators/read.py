@@ -6,10 +6,12 @@ from collections.abc import Mapping, Sequence
 from functools import reduce
 from operator import or_
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.predicates import predicate, typed_literal
+from tidemark.operators.keys import _unhashable
+from tidemark.session import cut_lineage
 
 
 def sort_keys(order: Sequence[str | tuple[str, str]]) -> list[Column]:
@@ -33,11 +35,15 @@ def entity_read(
     """Filter, project, sort and page rows; without a positive ``top`` all rows are returned.
 
     Sort plus limit compiles to one top-n operator, so no full sort takes place.  A deep ``skip`` still has to
-    rank all skipped rows: use :func:`page_after` to walk a large table.
+    rank all skipped rows: use :func:`page_after` to walk a large table.  ``skip`` without ``top`` numbers the rows by
+    ranges, so that no task sees all of them (:func:`skip_rows`).
     """
     out = df if where is None else df.where(predicate(df, where))
     if distinct:
         out = (out.select(*select) if select else out).distinct()
+    if skip and skip > 0 and not (top and top > 0):
+        out = skip_rows(out, order or [], skip)
+        return out.select(*select) if select and not distinct else out
     if order:
         out = out.orderBy(*sort_keys(order))
     if select and not distinct:
@@ -47,6 +53,26 @@ def entity_read(
     return out.limit(top) if top and top > 0 else out
 
 
+def skip_rows(df: DataFrame, order: Sequence[str | tuple[str, str]], skip: int) -> DataFrame:
+    """All rows but the first ``skip`` in the given order, in that order; which of equal rows are skipped is open.
+
+    Rows are dealt out by ranges of the sort columns, and stored with their number within their task; one row for each
+    task says how many lie before it.  A hash of the row divides rows that the sort columns do not tell apart.
+    """
+    hashed = [f.name for f in df.schema.fields if not _unhashable(f.dataType)]
+    keys = [*sort_keys(order), F.xxhash64(*hashed).asc()] if order else []
+    ranged = df.repartitionByRange(*keys).sortWithinPartitions(*keys) if keys else df
+    stored = cut_lineage(ranged.withColumn("_row", F.monotonically_increasing_id()))
+    # The upper bits of the number are the task's, the lower 33 count its rows.
+    stored = stored.withColumn("_task", F.shiftrightunsigned("_row", 33))
+    earlier = Window.orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
+    counts = stored.groupBy("_task").agg(F.count(F.lit(1)).alias("_n"))
+    before = counts.select("_task", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    place = F.col("_row") - F.shiftleft("_task", 33) + F.col("_before")
+    kept = stored.join(before, "_task").where(place >= skip).select(*df.columns)
+    return kept.orderBy(*keys) if keys else kept
+
+
 def page_after(
     df: DataFrame,
     order: Sequence[str | tuple[str, str]],

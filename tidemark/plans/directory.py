@@ -284,9 +284,7 @@ def parse_repl_value_metadata(t: Tables) -> DataFrame:
     ).fillna(0, ["deleted_micros"])
 
 
-@query(
-    "plan_directory_changes",
-    """
+PLAN_SQL = """
     WITH src AS (
         SELECT o_orderkey AS dn, 'status' AS attribute, o_orderstatus AS value FROM orders
         UNION SELECT l_orderkey, 'member', 's' || l_suppkey FROM lineitem WHERE l_returnflag <> 'R'),
@@ -305,9 +303,15 @@ def parse_repl_value_metadata(t: Tables) -> DataFrame:
     UNION ALL
     SELECT dn, 'delete_value', attribute, value FROM cur c WHERE attribute = 'member' AND dn IN (SELECT dn FROM src)
       AND NOT EXISTS (SELECT 1 FROM src s WHERE s.dn = c.dn AND s.attribute = 'member' AND s.value = c.value)
-    """,
-)
+    """
+
+
+@query("plan_directory_changes", PLAN_SQL)
 def plan_changes(t: Tables) -> DataFrame:
+    return plan_directory_changes(*_both_sides(t), multi_valued=["member"])
+
+
+def _both_sides(t: Tables) -> tuple[DataFrame, DataFrame]:
     def long(df: DataFrame, dn: str, attribute: str, value: Column) -> DataFrame:
         return df.select(F.col(dn).alias("dn"), F.lit(attribute).alias("attribute"), value.alias("value"))
 
@@ -319,4 +323,25 @@ def plan_changes(t: Tables) -> DataFrame:
     known = t.events.select(F.col("event_id").alias("l_orderkey"))
     members = t.lineitem.where("l_returnflag <> 'N'").join(known, "l_orderkey", "left_semi")
     current = long(t.events, "event_id", "status", status).unionByName(long(members, "l_orderkey", "member", supplier))
-    return plan_directory_changes(source, current, multi_valued=["member"])
+    return source, current
+
+
+@query(
+    "plan_changes_ignoring_case",
+    f"""
+    SELECT 'CN=O' || dn AS dn, op, CASE attribute WHEN 'status' THEN 'Status' ELSE 'MEMBER' END AS attribute, value
+    FROM ({PLAN_SQL}) WHERE op <> 'delete_value'
+    UNION ALL SELECT 'cn=o' || dn, op, attribute, value FROM ({PLAN_SQL}) WHERE op = 'delete_value'
+    """,
+)
+def plan_changes_ignoring_case(t: Tables) -> DataFrame:
+    """The source spells names in another case than the directory does."""
+    source, current = _both_sides(t)
+
+    def named(df: DataFrame, prefix: str, status: str, member: str) -> DataFrame:
+        attribute = F.when(F.col("attribute") == "status", status).otherwise(member)
+        return df.select(F.concat(F.lit(prefix), F.col("dn")).alias("dn"), attribute.alias("attribute"), "value")
+
+    return plan_directory_changes(
+        named(source, "CN=O", "Status", "MEMBER"), named(current, "cn=o", "status", "member"), multi_valued=["Member"]
+    )

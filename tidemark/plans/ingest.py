@@ -135,6 +135,41 @@ def rejected_pages(t: Tables) -> DataFrame:
     return pages.split_pages(landed)[1].drop("value")
 
 
+def _mixed_pages(t: Tables) -> DataFrame:
+    """Pages of two records by line item; those of returned lines hold a word for a number, some others are cut off."""
+    quantity = F.when(F.col("l_returnflag") == "R", F.lit('"none"')).otherwise(F.col("l_quantity").cast("int").cast("string"))
+    part, supplier = F.col("l_partkey").cast("string"), F.col("l_suppkey").cast("string")
+    value = F.concat(F.lit('[{"id":'), part, F.lit(',"n":1},{"id":'), supplier, F.lit(',"n":'), quantity, F.lit("}]"))
+    cut = F.when(F.col("l_linestatus") == "O", F.substring(value, F.lit(1), F.length(value) - 1)).otherwise(value)
+    return t.lineitem.select(F.col("l_orderkey").alias("page"), cut.alias("value"))
+
+
+@query(
+    "quarantined_pages",
+    """
+    SELECT l_orderkey AS page, CASE WHEN l_linestatus = 'O' THEN 'page is not a JSON array'
+                                    ELSE 'a record does not fit the schema' END AS reject_reason
+    FROM lineitem WHERE l_linestatus = 'O' OR l_returnflag = 'R'
+    """,
+)
+def quarantined_pages(t: Tables) -> DataFrame:
+    return pages.split_pages(_mixed_pages(t), item_schema="id bigint, n int")[1].drop("value")
+
+
+@query(
+    "read_sound_pages",
+    """
+    SELECT l_orderkey AS page, l_partkey AS id, 1 AS n FROM lineitem WHERE l_linestatus <> 'O' AND l_returnflag <> 'R'
+    UNION ALL
+    SELECT l_orderkey, l_suppkey, CAST(l_quantity AS INTEGER) FROM lineitem WHERE l_linestatus <> 'O' AND l_returnflag <> 'R'
+    """,
+)
+def read_sound_pages(t: Tables) -> DataFrame:
+    """Records of the pages that the quarantine has let through."""
+    sound, _ = pages.split_pages(_mixed_pages(t), item_schema="id bigint, n int")
+    return pages.read_pages(sound, "value", "id bigint, n int")
+
+
 def _pages(t: Tables) -> DataFrame:
     """One result page per line item, naming its part and its supplier; unshipped ones are empty."""
     records = F.to_json(

@@ -281,3 +281,15 @@ def approval_view(t: Tables) -> DataFrame:
         F.col("o_orderstatus").alias("state_id"), F.concat(F.lit("State "), "o_orderstatus").alias("name")
     ).distinct()
     return views.approval_view(requests, states)
+
+
+@query(
+    "entity_skip",
+    """
+    SELECT o_orderkey, o_orderdate, o_totalprice FROM orders ORDER BY o_orderdate DESC NULLS LAST, o_orderkey NULLS FIRST OFFSET 500
+    """,
+)
+def entity_skip(t: Tables) -> DataFrame:
+    """Everything behind the first 500 orders by date."""
+    order = [("o_orderdate", "desc"), "o_orderkey"]
+    return read.entity_read(t.orders, ["o_orderkey", "o_orderdate", "o_totalprice"], order=order, skip=500)

@@ -27,12 +27,20 @@ def configure(builder: SparkSession.Builder) -> SparkSession.Builder:
 def shared_dir(spark: SparkSession) -> str:
     """Folder for intermediate tables that the driver and every executor can reach.
 
-    It is ``spark.checkpoint.dir``; where that is unset, a folder below the warehouse, which Spark shares as well.
+    It is ``spark.checkpoint.dir``; where that is unset, a folder below the warehouse, which Spark shares as well.  On a
+    cluster a warehouse on a local disk is refused, as no other machine would see it.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
-    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_tidemark_work"
+    warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+    if _is_machine_local(warehouse) and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return f"{warehouse}/_tidemark_work"
+
+
+def _is_machine_local(path: str) -> bool:
+    return path.startswith(("file:", "/"))
 
 
 def work_path(spark: SparkSession, name: str) -> str:

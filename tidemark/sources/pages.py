@@ -26,14 +26,23 @@ def read_pages(pages: DataFrame, array_col: str = "value", item_schema: str | No
     return pages.select(*others, F.inline(items))
 
 
-def split_pages(pages: DataFrame, array_col: str = "value") -> tuple[DataFrame, DataFrame]:
+def split_pages(
+    pages: DataFrame, array_col: str = "value", item_schema: str | None = None
+) -> tuple[DataFrame, DataFrame]:
     """Pages that can be read, and malformed ones with their ``reject_reason``; a run with any of these has failed.
 
-    A page is malformed if its text is not a whole JSON array.  A null page has no records.
+    A page is malformed if its text is not a whole JSON array, and, with the ``item_schema`` that :func:`read_pages` gets,
+    if one of its records is no object or a field has another type.  A null page has no records.
     """
-    sound = F.col(array_col).isNull() | F.json_array_length(array_col).isNotNull()
-    rejected = pages.where(~sound).withColumn("reject_reason", F.lit("page is not a JSON array"))
-    return pages.where(sound), rejected
+    text = F.col(array_col)
+    reason = F.when(F.json_array_length(text).isNull(), "page is not a JSON array")
+    if item_schema is not None:
+        # Only a struct can tell that a part of it could not be read.
+        whole = F.concat(F.lit('{"v":'), text, F.lit("}"))
+        read = F.from_json(whole, f"v array<struct<{item_schema}>>, _bad string", {"columnNameOfCorruptRecord": "_bad"})
+        reason = reason.when(read["_bad"].isNotNull(), "a record does not fit the schema")
+    reason = F.when(text.isNotNull(), reason)
+    return pages.where(reason.isNull()), pages.withColumn("reject_reason", reason).where("reject_reason IS NOT NULL")
 
 
 def union_endpoints(endpoints: Mapping[str, DataFrame]) -> DataFrame:
