@@ -57,6 +57,18 @@ def test_several_shards_and_rounds(spark):
     assert check_sequences(got) <= least + 8
 
 
+@pytest.mark.parametrize(("n", "shard", "sizes"), [(9000, 4096, (700, 900, 1100, 1300)), (4000, 1024, None), (2000, 250, (513, 600, 1400))])
+def test_sequences_of_several_shards_against_plain_best_fit(spark, n, shard, sizes):
+    rng = random.Random(n)
+    lengths = [rng.choice(sizes) if sizes else rng.randint(1, 1500) for _ in range(n)]
+    rows = [(i, 0, 0, length, i) for i, length in enumerate(lengths)]
+    parts = spark.createDataFrame(rows, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    got = packed(parts, shard=shard).collect()
+    assert sorted((r.doc_id, r.length) for r in got) == list(enumerate(lengths))
+    plain = best_fit(sorted(range(n), key=lambda i: -lengths[i]), lengths, Packing([], []), CAPACITY)
+    assert check_sequences(got) <= len(plain.bins)
+
+
 def test_edges(edge, empty, edge_rows, library):
     got = packed(pieces(edge, public_tokenizer())).collect()
     want = expected(library, [(r[0], r[1]) for r in edge_rows])

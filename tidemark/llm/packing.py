@@ -6,7 +6,8 @@ individual is a list of bins.  Crossover injects whole well-filled bins of one p
 that hold one of their documents a second time, and best-fits the displaced documents; a mutation dissolves the emptiest
 bins.  Between epochs the elite of each island, its best packing's well-filled bins, migrates to the next island, where
 it is injected.  The best packing of a shard counts.  Its bins without a gap are sequences; the pieces of all others are
-dealt anew into fewer shards, so that in the end gaps are lost in a single shard only.
+dealt anew into fewer shards, down to a single one.  Where sizes hardly ever fill a bin, so that most bins have a gap,
+only the emptiest quarter of a shard's bins is dealt anew: what one shard could not pair meets what others could not.
 
 No task holds more than the pieces of a shard, whatever the table's size.  Everything random has a fixed seed.
 
@@ -25,7 +26,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import IntegerType, LongType, StructField, StructType
@@ -233,6 +234,22 @@ def evolved(items: DataFrame, n_shards: int, capacity: int) -> DataFrame:
     return placed.join(chosen, ["shard", "island"])
 
 
+def emptiest(placed: DataFrame, share: float = 0.25) -> DataFrame:
+    """The bins (``shard``, ``bin``) of each shard that are filled least; a shard has at most as many as pieces."""
+    bins = placed.groupBy("shard", "bin").agg(F.first("fill").alias("fill"))
+    place = F.row_number().over(Window.partitionBy("shard").orderBy("fill", "bin"))
+    total = F.count("*").over(Window.partitionBy("shard"))
+    least = bins.select("shard", "bin", place.alias("place"), total.alias("total"))
+    return least.filter(F.col("place") <= F.ceil(F.col("total") * share)).select("shard", "bin", F.lit(True).alias("emptiest"))
+
+
+def most_pieces(placed: DataFrame, shard: int, bins: int = 64) -> DataFrame:
+    """Up to ``bins`` bins with the most pieces, together at most half a shard."""
+    counted = placed.groupBy("shard", "bin").agg(F.count("*").alias("pieces")).filter(F.col("pieces") <= shard // (2 * bins))
+    chosen = counted.orderBy(F.desc("pieces"), "shard", "bin").limit(bins)
+    return chosen.select("shard", "bin", F.lit(True).alias("helps"))
+
+
 def packed(parts: DataFrame, capacity: int = CAPACITY, shard: int = SHARD) -> DataFrame:
     """``parts`` with ``sequence_id`` and ``offset``; ``parts`` has pieces with a ``length`` up to the capacity."""
     parts = cut_lineage(parts.withColumn("pid", F.monotonically_increasing_id()))
@@ -244,12 +261,21 @@ def packed(parts: DataFrame, capacity: int = CAPACITY, shard: int = SHARD) -> Da
         n_shards = -(-n // shard)
         placed = cut_lineage(evolved(items, n_shards, capacity))
         name = (F.lit(level) * F.lit(1 << 56) + F.col("shard") * F.lit(1 << 24) + F.col("bin")).alias("sequence_id")
-        gaps = placed.filter(F.col("fill") < capacity)
-        left = gaps.count() if n_shards > 1 else 0
-        again = 4 * left <= 3 * n and n_shards > 1  # else dealing anew would not bring the rest together
-        rows = placed.filter(F.col("fill") >= capacity) if again else placed
-        done.append(rows.select("pid", name, "offset"))
-        items, n, level = gaps.select("pid", "length"), left if again else 0, level + 1
+        if n_shards == 1:
+            done.append(placed.select("pid", name, "offset"))
+            break
+        gaps = F.col("fill") < capacity
+        left = placed.filter(gaps).count()
+        if 4 * left > 3 * n:  # dealing all of them anew would not bring the rest together
+            placed = cut_lineage(placed.join(emptiest(placed.filter(gaps)), ["shard", "bin"], "left"))
+            gaps = F.col("emptiest").isNotNull()
+            left = placed.filter(gaps).count()
+        if 0 < left <= shard // 2:  # the last shard has room: bins of many pieces help it to close its gaps
+            placed = cut_lineage(placed.join(most_pieces(placed.filter(~gaps), shard), ["shard", "bin"], "left"))
+            gaps = gaps | F.col("helps").isNotNull()
+            left = placed.filter(gaps).count()
+        done.append(placed.filter(~gaps).select("pid", name, "offset"))
+        items, n, level = placed.filter(gaps).select("pid", "length"), left, level + 1
     sequences = done[0]
     for more in done[1:]:
         sequences = sequences.unionByName(more)
