@@ -1,7 +1,7 @@
 """Corpus pipeline: quality rules, near-duplicates, decontamination, secrets, packing, applied to ``documents``.
 
 Each stage takes all rows that its predecessor kept, as they were written to the shared folder and read back.  All
-stages but the last return the columns of ``documents``.
+stages but the last return the columns of ``documents``.  An empty table passes through all of them.
 """
 
 from __future__ import annotations
@@ -18,27 +18,30 @@ from tidemark.session import cut_lineage
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that no quality rule rejects."""
+    """Documents that no quality rule rejects; a null, empty or short text is rejected, repeated rows are judged alike."""
     return quality_cascade(docs).filter("kept").select("row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near-duplicates, that with the smallest id."""
+    """One document of each class of near-duplicates, that with the smallest id.
+
+    Null and blank texts are one class; of rows with equal ids those of other classes stay, of equal rows one.
+    """
     return one_of_each(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no benchmark item occurs."""
+    """Documents in which no benchmark item occurs; null and blank texts stay, each row is judged by itself."""
     return without_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with the secrets in their texts redacted."""
+    """All documents, with the secrets in their texts redacted; null texts stay null, repeated rows stay."""
     return redact(docs, chars_col="n_chars")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token pieces of all documents and their places in sequences."""
+    """Token pieces of all documents and their places in sequences; a null text has the end id alone."""
     return packed(pieces(docs, public_tokenizer()))
 
 
