@@ -1,10 +1,10 @@
 import corpus_pipeline
 from tests.llm.conftest import SF
 from tests.llm.test_decontamination import flat, least_edits, may_be_near
+from tests.llm.test_near_copies import brute_classes
 from tests.llm.test_packing import check_sequences, expected
 from tests.llm.test_quality import rejected
 from tests.llm.test_secrets import spans
-from tests.llm.test_simhash import brute
 from tidemark.llm.decontamination import EDIT_RATE
 from tidemark.llm.secrets import PLACEHOLDER
 from tidemark.llm.tokens import Encoder, public_tokenizer
@@ -29,7 +29,7 @@ def cleaned(text):
 
 def test_run_against_brute_force(spark, documents):
     rows = [(r.doc_id, r.text) for r in documents.collect() if not rejected(r.text)]
-    rows = [r for r, (key, _, first) in zip(rows, brute(rows)) if key == first]
+    rows = [r for r, (key, first) in zip(rows, brute_classes(rows)) if key == first]
     items = [flat(r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     rows = [(k, cleaned(t)) for k, t in rows if not leaked(t, items)]
     got = corpus_pipeline.run(spark, SF).collect()

@@ -18,7 +18,7 @@ fingerprint; null ids get a class but never name one; an empty table gives an em
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -220,12 +220,20 @@ def near_duplicates(
     return rows.join(placed, "fp").select("id", "fp", "root", "component_id")
 
 
-def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def one_of_each(
+    df: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    near: DataFrame | None = None,
+    print_of: Callable[[bytes | None], int | str] = fingerprint,
+    print_type: str = "bigint",
+) -> DataFrame:
     """The rows of ``df`` that stay: of each class one, with the smallest id.
 
-    Where the id of such a row is null or repeated, its fingerprint decides, and of equal rows one stays.
+    Where the id of such a row is null or repeated, its fingerprint decides, and of equal rows one stays.  Other classes
+    can be given as ``near``, with the columns of ``near_duplicates``, together with the function that gives its ``fp``.
     """
-    near = cut_lineage(near_duplicates(df, id_col, text_col))
+    near = cut_lineage(near_duplicates(df, id_col, text_col) if near is None else near)
     first = near.filter(F.col("id").eqNullSafe(F.col("component_id")))
     leaders = cut_lineage(first.groupBy("root").agg(F.max("id").alias("id"), F.min("fp").alias("fp")))
     repeated = cut_lineage(near.filter("id is not null").groupBy("id").count().filter("count > 1").select("id"))
@@ -245,10 +253,10 @@ def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 
     def with_fp(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = pa.array([fingerprint(value.as_py()) for value in batch.column(2)], pa.int64())
+            fps = pa.array([print_of(value.as_py()) for value in batch.column(2)])
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), fps], ["row", "id", "fp"])
 
-    keyed = marked.mapInArrow(with_fp, f"row {kind}, id {id_kind}, fp bigint").alias("k")
+    keyed = marked.mapInArrow(with_fp, f"row {kind}, id {id_kind}, fp {print_type}").alias("k")
     same = F.col("k.id").eqNullSafe(F.col("w.id")) & (F.col("k.fp") == F.col("w.fp"))
     matched = keyed.join(wanted.select("id", "fp").alias("w"), same).select("k.*")
     return sure.unionByName(matched.dropDuplicates(["id", "fp"]).select("row.*"))
