@@ -9,10 +9,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm.decontamination import without_contaminated
+from tidemark.llm.near_copies import one_copy_of_each
 from tidemark.llm.packing import packed, pieces
 from tidemark.llm.quality import quality_cascade
 from tidemark.llm.secrets import redact
-from tidemark.llm.simhash import one_of_each
 from tidemark.llm.tokens import public_tokenizer
 from tidemark.session import cut_lineage
 
@@ -23,11 +23,11 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near-duplicates, that with the smallest id.
+    """One document of each class of near copies (five-word shingles, similarity 0.8), that with the smallest id.
 
     Null and blank texts are one class; of rows with equal ids those of other classes stay, of equal rows one.
     """
-    return one_of_each(docs)
+    return one_copy_of_each(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
