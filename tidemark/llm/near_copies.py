@@ -38,7 +38,7 @@ SIMILARITY = 0.8
 BANDS, ROWS = 16, 4
 RADIUS = 20
 STEPS = (4, 8, 11, 14, 17, RADIUS)  # distances up to which links are taken before farther ones
-FORESTS, MOST_FORESTS = 4, 64  # in the first round; each round doubles them up to the second number
+FORESTS, MOST_FORESTS = 4, 64  # in the first round; each round takes eight times as many up to the second number
 BLOCK = 4096  # sets of a bucket that are compared with one another or with as many others
 WORDS = 500_000  # words whose hashes a worker remembers
 FLUSH = 1 << 18  # shingles in a batch of results
@@ -287,7 +287,7 @@ def similar_links(nodes: DataFrame, sets: DataFrame, similarity: float = SIMILAR
         )
         rows = met.join(weak, "key", "left_semi").join(known, ["key", "node"], "left")
         rows = rows.select("key", "node", "n", "sim", *(F.coalesce(c, none).alias(c) for c in ("yes", "no")))
-        forests = min(2 * forests, MOST_FORESTS)
+        forests = min(8 * forests, MOST_FORESTS)
 
 
 def similar(pairs: DataFrame, sets: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
