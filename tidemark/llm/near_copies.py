@@ -150,11 +150,21 @@ def buckets(nodes: DataFrame, block: int = BLOCK) -> DataFrame:
     return met.filter("blocks = 1").select("key", "node", "n", "sim").unionByName(many.select("key", "node", "n", "sim"))
 
 
+def _tops(root: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Roots of the given places, which point to them afterwards."""
+    top = root[at]
+    while not np.array_equal(up := root[top], top):
+        top = up
+    root[at] = top
+    return top
+
+
 def _union(root: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
     """Which of the links joined two trees; ``root`` is brought up to date."""
     joined = np.zeros(len(left), dtype=bool)
-    for k in np.flatnonzero(root[left] != root[right]).tolist():
-        a, b = int(left[k]), int(right[k])
+    tops = _tops(root, left), _tops(root, right)
+    for k in np.flatnonzero(tops[0] != tops[1]).tolist():
+        a, b = int(tops[0][k]), int(tops[1][k])
         while root[a] != a:
             a = int(root[a])
         while root[b] != b:
@@ -162,9 +172,6 @@ def _union(root: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         if a != b:
             root[max(a, b)] = min(a, b)
             joined[k] = True
-    if joined.any():
-        while not np.array_equal(up := root[root], root):
-            root[:] = up
     return joined
 
 
