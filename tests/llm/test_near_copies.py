@@ -1,12 +1,13 @@
 import random
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
 from tests.llm.conftest import COPY, SF
 from tests.llm.test_quality import WORD
 from tests.llm.test_simhash import classes
-from tidemark.llm.near_copies import near_copies, one_copy_of_each
+from tidemark.llm.near_copies import RADIUS, near_copies, one_copy_of_each, simhash, similar_forest
 
 
 def shingle_set(text):
@@ -72,6 +73,34 @@ def test_shared_passages_are_no_copies(spark):
     assert found(spark.createDataFrame(rows, "doc_id long, text string"), block=16) == sorted(brute_classes(rows))
 
 
+def test_many_pairs_just_below_the_similarity(spark):
+    rng = random.Random(5)
+    base = [f"b{k}" for k in range(250)]
+    rows = [(k, edited(rng, base, 0.035)) for k in range(250)]
+    want = sorted(brute_classes(rows))
+    assert 5 < len({c for _, c in want}) < 250
+    assert found(spark.createDataFrame(rows, "doc_id long, text string"), block=64) == want
+
+
+def test_forest_joins_all_similar_pairs_of_a_bucket():
+    rng = np.random.default_rng(6)
+    base = rng.integers(0, 2**63, 60)
+    sets = [np.unique(np.where(rng.random(60) < 0.05, rng.integers(0, 2**63, 60), base)).astype("<i8") for _ in range(80)]
+    keys = np.repeat([1, 2], 40)
+    fps = np.array([simhash(s.view("<u8")) for s in sets]).view("<u8")
+    a, b = similar_forest(keys, fps, np.array([len(s) for s in sets]), np.concatenate(sets), 0.8)
+
+    def near(i, j):
+        both = len(np.intersect1d(sets[i], sets[j]))
+        apart = int(np.bitwise_count(fps[i] ^ fps[j])) > RADIUS
+        return keys[i] == keys[j] and not apart and 5 * both >= 4 * (len(sets[i]) + len(sets[j]) - both)
+
+    pairs = [(i, j) for i in range(80) for j in range(i) if near(i, j)]
+    assert all(near(i, j) for i, j in zip(a.tolist(), b.tolist(), strict=True))
+    assert classes(range(80), zip(a.tolist(), b.tolist(), strict=True)) == classes(range(80), pairs)
+    assert len(a) == 80 - len(set(classes(range(80), pairs).values()))
+
+
 def test_edges(edge, empty, edge_rows):
     want = sorted(brute_classes([(r[0], r[1]) for r in edge_rows]), key=order)
     assert found(edge) == want

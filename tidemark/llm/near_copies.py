@@ -8,11 +8,11 @@ probability of 0.9998.  Sets with a common key meet in a bucket and are compared
 similarity 0.8 fingerprints differ in 9.7 of 64 bits on average with a deviation of 2.9, so that ``RADIUS`` is 3.6
 deviations away.
 
-A bucket yields spanning forests without a common link, the nearest fingerprints first, and not its pairs.  The real
-similarity of every link is then computed from the stored sets.  A bucket of which a link turned out too weak is compared
-again, with what is known of its pairs and more forests, until all that its fingerprints allow is either connected by
-real links or refuted; so no similar pair that shares a bucket is lost.  A bucket of more than ``BLOCK`` sets is
-divided into blocks, and every two blocks are compared by themselves, so that no task holds more than two.
+The rows of a bucket bring their sets along, and pairs within ``RADIUS``, nearest first, are held to the real similarity of
+their sets on the spot, unless links already connect the two.  So a bucket yields a spanning forest of its real links in
+one pass, and no pair that shares a bucket is lost, however many of its pairs are almost similar enough.  A bucket of
+more than ``BLOCK`` sets or ``BLOCK_SHINGLES`` shingles is divided into blocks, and every two blocks are compared by
+themselves, so that no task holds more than two.
 
 Defined results: null and blank texts have no shingle and are one class; a text of fewer than five words is one shingle;
 repeated rows share their class; null ids get a class but never name one; an empty table gives an empty table; other
@@ -37,11 +37,12 @@ SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 16, 4
 RADIUS = 20
-STEPS = (4, 8, 11, 14, 17, RADIUS)  # distances up to which links are taken before farther ones
-FORESTS, MOST_FORESTS = 4, 64  # in the first round; each round takes eight times as many up to the second number
+STEPS = (8, 14, RADIUS)  # distances up to which pairs are compared before farther ones
 BLOCK = 4096  # sets of a bucket that are compared with one another or with as many others
+BLOCK_SHINGLES = 1 << 21  # the same in shingles
+PAIRS = 1 << 14  # pairs whose sets are compared together
 WORDS = 500_000  # words whose hashes a worker remembers
-FLUSH = 1 << 18  # shingles in a batch of results
+FLUSH = 1 << 18  # shingles in a batch
 
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
 _random = np.random.default_rng(SEED)
@@ -137,17 +138,18 @@ def signatures(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     )
 
 
-def buckets(nodes: DataFrame, block: int = BLOCK) -> DataFrame:
-    """Columns ``key``, ``node``, ``n`` and ``sim``; no key has many more than twice ``block`` rows."""
-    keys = nodes.select("node", "n", "sim", F.explode("bands").alias("key"))
-    sizes = keys.groupBy("key").count().filter("count > 1")
-    sizes = cut_lineage(sizes.withColumn("blocks", F.ceil(F.col("count") / block)).select("key", "blocks"))
+def buckets(nodes: DataFrame, block: int = BLOCK, shingles: int = BLOCK_SHINGLES) -> DataFrame:
+    """Columns ``key`` and ``node``; no key has many more than twice ``block`` rows or ``shingles`` shingles."""
+    keys = nodes.select("node", "n", F.explode("bands").alias("key"))
+    sizes = keys.groupBy("key").agg(F.count("*").alias("rows"), F.sum("n").alias("n")).filter("rows > 1")
+    blocks = F.ceil(F.greatest(F.col("rows") / block, F.col("n") / shingles))
+    sizes = cut_lineage(sizes.withColumn("blocks", blocks).select("key", "blocks"))
     met = keys.join(sizes, "key")
     own = F.pmod(F.xxhash64("node"), F.col("blocks"))
     other = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1))
-    many = met.filter("blocks > 1").select("key", "node", "n", "sim", own.alias("own"), other.alias("other"))
-    many = many.withColumn("key", F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")))
-    return met.filter("blocks = 1").select("key", "node", "n", "sim").unionByName(many.select("key", "node", "n", "sim"))
+    many = met.filter("blocks > 1").select("key", "node", own.alias("own"), other.alias("other"))
+    many = many.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("key"), "node")
+    return met.filter("blocks = 1").select("key", "node").unionByName(many)
 
 
 def _tops(root: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -159,7 +161,7 @@ def _tops(root: np.ndarray, at: np.ndarray) -> np.ndarray:
     return top
 
 
-def _union(root: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+def _join(root: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
     """Which of the links joined two trees; ``root`` is brought up to date."""
     joined = np.zeros(len(left), dtype=bool)
     tops = _tops(root, left), _tops(root, right)
@@ -175,134 +177,115 @@ def _union(root: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return joined
 
 
-def nearest_forests(
-    keys: np.ndarray,
-    fps: np.ndarray,
-    sizes: np.ndarray,
-    similarity: float,
-    forests: int = FORESTS,
-    linked: np.ndarray | None = None,
-    refuted: np.ndarray | None = None,
+class _Sets:
+    """Sets one after the other, their values as dense numbers."""
+
+    def __init__(self, values: np.ndarray, sizes: np.ndarray) -> None:
+        self.values, self.sizes = np.unique(values, return_inverse=True)[1], sizes
+        self.starts = np.r_[0, np.cumsum(sizes)]
+        self.mark = np.zeros(int(self.values.max(initial=-1)) + 1, dtype=np.int32)
+
+    def common(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Sizes of the intersections of pairs of sets, sorted by ``left``; no set is empty."""
+        out = np.empty(len(left), dtype=np.int64)
+        firsts = np.flatnonzero(np.r_[True, left[1:] != left[:-1]]) if len(left) else []
+        for first, end in zip(firsts, np.r_[firsts[1:], len(left)].astype(np.int64), strict=True):
+            own = self.values[self.starts[left[first]] : self.starts[left[first] + 1]]
+            self.mark[own] = 1
+            for at in range(first, end, 256):  # which bounds what is held at once
+                others = right[at : min(at + 256, end)]
+                lengths = self.sizes[others]
+                begins = np.cumsum(lengths) - lengths
+                places = np.arange(int(lengths.sum())) + np.repeat(self.starts[others] - begins, lengths)
+                out[at : at + len(others)] = np.add.reduceat(self.mark[self.values[places]], begins)
+            self.mark[own] = 0
+        return out
+
+
+def similar_forest(
+    keys: np.ndarray, fps: np.ndarray, sizes: np.ndarray, values: np.ndarray, similarity: float
 ) -> tuple[np.ndarray, np.ndarray]:
-    """Places of the two ends of the links of all forests; rows come sorted by key.
+    """Places of the two ends of the links of a spanning forest of all similar pairs inside buckets.
 
-    Pairs of places in ``linked`` are joined from the start, those in ``refuted`` and pairs whose sizes alone keep them
-    below ``similarity`` are no links.
+    Rows come sorted by key; ``values`` has their sets of the given sizes one after the other, none of them empty.
     """
-    n, none = len(keys), np.empty((0, 2), dtype=np.int64)
-    linked, refuted = none if linked is None else linked, none if refuted is None else refuted
+    n = len(keys)
     starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
     rows = np.diff(np.r_[starts, n])
     left = np.repeat(starts + rows, rows) - np.arange(n)  # rows from here to the end of the bucket
-    planes = bit_planes(fps)
-    root = np.arange(n)
-    _union(root, linked[:, 0], linked[:, 1])
-    roots = [root.copy() for _ in range(forests)]
-    barred = refuted.min(axis=1) * n + refuted.max(axis=1) if len(refuted) else np.empty(0, dtype=np.int64)
+    planes, sets, root = bit_planes(fps), _Sets(values, sizes), np.arange(n)
     out_a, out_b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    waiting: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def compare() -> None:
+        a, b = (np.concatenate(ends) for ends in zip(*waiting, strict=True))
+        waiting.clear()
+        apart = _tops(root, a) != _tops(root, b)
+        order = np.argsort(a[apart], kind="stable")
+        a, b = a[apart][order], b[apart][order]
+        both = sets.common(a, b)
+        real = both >= similarity * (sizes[a] + sizes[b] - both) - 1e-9
+        a, b = a[real], b[real]
+        joined = _join(root, a, b)
+        out_a.append(a[joined])
+        out_b.append(b[joined])
+
     before = -1
     for radius in STEPS:
+        tops = _tops(root, np.arange(n))
+        whole = np.maximum.reduceat(tops, starts) == np.minimum.reduceat(tops, starts)
+        left = np.where(np.repeat(whole, rows), 0, left)  # nothing is left to find in these buckets
         for d in range(1, int(left.max(initial=0))):
             at = within_radius(planes, left > d, d, radius)
             distance = np.bitwise_count(fps[at] ^ fps[at + d]).astype(np.int64)
             at = at[(distance <= radius) & (distance > before)]
             small, large = np.minimum(sizes[at], sizes[at + d]), np.maximum(sizes[at], sizes[at + d])
-            at = at[small >= similarity * large - 1e-9]
-            if len(barred):
-                at = at[~np.isin(at * n + at + d, barred)]
-            for root in roots:
-                if not len(at):
-                    break
-                joined = _union(root, at, at + d)
-                out_a.append(at[joined])
-                out_b.append(at[joined] + d)
-                at = at[~joined]
+            at = at[(small >= similarity * large - 1e-9) & (root[at] != root[at + d])]
+            if len(at):
+                waiting.append((at, at + d))
+            if sum(len(a) for a, _ in waiting) >= PAIRS:
+                compare()
+        if waiting:
+            compare()
         before = radius
     return np.concatenate(out_a), np.concatenate(out_b)
 
 
-def _places(keys: np.ndarray, nodes: np.ndarray, lengths: np.ndarray, partners: np.ndarray) -> np.ndarray:
-    """Pairs of places: each row with its partners, that many as ``lengths`` says, in its bucket."""
-    if not len(partners):
-        return np.empty((0, 2), dtype=np.int64)
-    place = {pair: k for k, pair in enumerate(zip(keys.tolist(), nodes.tolist(), strict=True))}
-    here = np.repeat(np.arange(len(keys)), lengths)
-    there = [place[pair] for pair in zip(keys[here].tolist(), partners.tolist(), strict=True)]
-    return np.stack([here, np.array(there, dtype=np.int64)], axis=1)
-
-
-def candidates(rows: DataFrame, similarity: float = SIMILARITY, forests: int = FORESTS) -> DataFrame:
-    """Columns ``key``, ``a`` and ``b``: the links of the forests of all buckets.
+def similar_links(nodes: DataFrame, sets: DataFrame, similarity: float = SIMILARITY, block: int = BLOCK) -> DataFrame:
+    """Columns ``a`` and ``b``: a spanning forest of similar sets for every bucket, whose union connects all classes.
 
-    ``rows`` has ``key``, ``node``, ``n``, ``sim`` and the larger nodes of the bucket that are known to be similar to the
-    node (``yes``) and known not to be (``no``).
+    ``nodes`` has ``node``, ``n`` and ``bands``, ``sets`` has ``node``, ``sim`` and ``shingles``, of which none is empty.
     """
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.empty((6, 0), "<i8")  # the columns, of the last two the lengths
-        known = [np.empty(0, "<i8"), np.empty(0, "<i8")]
+        held, parts = np.empty((4, 0), "<i8"), []  # key, node, fingerprint and size; sets
 
         def out(end: int) -> pa.RecordBatch:
             nonlocal held
-            keys, nodes, sizes, fps, *lengths = np.ascontiguousarray(held[:, :end])
-            pairs = []
-            for k in range(2):
-                used = int(lengths[k].sum())
-                pairs.append(_places(keys, nodes, lengths[k], known[k][:used]))
-                known[k] = known[k][used:]
-            a, b = nearest_forests(keys, fps.view("<u8"), sizes, similarity, forests, *pairs)
-            at, a, b = keys[a], nodes[a], nodes[b]
-            held = held[:, end:]
-            return pa.RecordBatch.from_arrays([pa.array(c) for c in (at, np.minimum(a, b), np.maximum(a, b))], ["key", "a", "b"])
+            keys, nodes, fps, sizes = np.ascontiguousarray(held[:, :end])
+            values, used = np.concatenate(parts), int(sizes.sum())
+            a, b = similar_forest(keys, fps.view("<u8"), sizes, values[:used], similarity)
+            held, parts[:] = held[:, end:], [values[used:]]
+            pairs = np.unique(np.sort(np.stack([nodes[a], nodes[b]], axis=1), axis=1), axis=0)
+            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
         for batch in batches:
-            plain = [c.to_numpy() for c in batch.columns[:4]]
-            lists = batch.columns[4:]
-            lengths = [c.value_lengths().to_numpy() for c in lists]
-            held = np.concatenate([held, np.stack([*plain, *lengths])], axis=1)
-            known = [np.r_[k, c.flatten().to_numpy()] for k, c in zip(known, lists, strict=True)]
-            whole = int(np.searchsorted(held[0], held[0, -1])) if held.shape[1] else 0  # the last bucket may go on
-            if whole >= HASH_BLOCK:
-                yield out(whole)
+            lists = batch.column(3)
+            plain = [c.to_numpy() for c in batch.columns[:3]]
+            held = np.concatenate([held, np.stack([*plain, lists.value_lengths().to_numpy()])], axis=1)
+            parts.append(lists.flatten().to_numpy())
+            if sum(map(len, parts)) >= FLUSH:
+                whole = int(np.searchsorted(held[0], held[0, -1])) if held.shape[1] else 0  # the last bucket may go on
+                if whole and int(held[3, :whole].sum()) >= FLUSH:
+                    yield out(whole)
         if held.shape[1]:
             yield out(held.shape[1])
 
-    ordered = rows.select("key", "node", "n", "sim", "yes", "no").repartition("key").sortWithinPartitions("key", "sim", "node")
-    return ordered.mapInArrow(compare, "key bigint, a bigint, b bigint")
-
-
-def similar_links(nodes: DataFrame, sets: DataFrame, similarity: float = SIMILARITY, block: int = BLOCK) -> DataFrame:
-    """Columns ``a`` and ``b``: links of similar sets, whose union connects all classes."""
-    none = F.array().cast("array<bigint>")
     met = cut_lineage(buckets(nodes, block))
-    rows = met.select("*", none.alias("yes"), none.alias("no"))
-    tested, links, forests = None, None, FORESTS
-    while True:
-        found = cut_lineage(candidates(rows, similarity, forests))
-        real = cut_lineage(similar(found.select("a", "b").distinct(), sets, similarity))
-        links = real if links is None else links.unionByName(real)
-        judged = found.join(real.withColumn("real", F.lit(True)), ["a", "b"], "left")
-        judged = cut_lineage(judged.select("key", "a", "b", F.coalesce("real", F.lit(False)).alias("real")))
-        tested = judged if tested is None else tested.unionByName(judged)
-        weak = cut_lineage(judged.filter(~F.col("real")).select("key").distinct())
-        if weak.isEmpty():
-            return links
-        known = tested.join(weak, "key", "left_semi").groupBy("key", F.col("a").alias("node"))
-        known = known.agg(
-            F.collect_list(F.when(F.col("real"), F.col("b"))).alias("yes"),
-            F.collect_list(F.when(~F.col("real"), F.col("b"))).alias("no"),
-        )
-        rows = met.join(weak, "key", "left_semi").join(known, ["key", "node"], "left")
-        rows = rows.select("key", "node", "n", "sim", *(F.coalesce(c, none).alias(c) for c in ("yes", "no")))
-        forests = min(8 * forests, MOST_FORESTS)
-
-
-def similar(pairs: DataFrame, sets: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """The pairs (``a``, ``b``) whose sets (``node``, ``shingles``) have at least that Jaccard similarity."""
-    ends = [sets.select(F.col("node").alias(c), F.col("shingles").alias(f"s{c}")) for c in "ab"]
-    both = F.size(F.array_intersect("sa", "sb"))
-    enough = both >= similarity * (F.size("sa") + F.size("sb") - both) - 1e-9
-    return pairs.join(ends[0], "a").join(ends[1], "b").filter(enough).select("a", "b")
+    rows = met.join(sets, "node").select("key", "node", "sim", "shingles")
+    tasks = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # the work grows faster than the bytes
+    ordered = rows.repartition(tasks, "key").sortWithinPartitions("key", "sim", "node")
+    return ordered.mapInArrow(compare, "a bigint, b bigint").distinct()
 
 
 def near_copies(
@@ -311,9 +294,8 @@ def near_copies(
     """Columns ``id``, ``fp`` (name of the set), ``root`` (the class) and ``component_id`` (its smallest id), row by row."""
     rows = cut_lineage(signatures(df, id_col, text_col).withColumn("node", F.monotonically_increasing_id()))
     distinct = cut_lineage(rows.groupBy("fp").agg(F.min("id").alias("first"), F.min("node").alias("node")))
-    nodes = rows.filter("n > 0").select("node", "n", "sim", "bands")
-    nodes = cut_lineage(nodes.join(distinct.select("node"), "node", "left_semi"))
-    links = similar_links(nodes, rows.select("node", "shingles"), similarity, block)
+    nodes = rows.filter("n > 0").select("node", "n", "bands").join(distinct.select("node"), "node", "left_semi")
+    links = similar_links(nodes, rows.select("node", "sim", "shingles"), similarity, block)
     roots = cut_lineage(connected_components(links).withColumnRenamed("root", "top"))
     placed = cut_lineage(distinct.join(roots, "node", "left").select("fp", "first", F.coalesce("top", "node").alias("root")))
     names = cut_lineage(placed.groupBy("root").agg(F.min("first").alias("component_id")))
