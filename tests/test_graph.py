@@ -218,3 +218,21 @@ def test_a_state_without_edges_and_a_shorter_depth(spark):
     changed = frames(spark, [], [("a", "b", "full", 0), ("b", "a", None, 0)], WEIGHTS)
     state = graph_state.update_inherited(state, *changed, "b")
     assert {r.identifier: r.inherited for r in graph_state.inherited(state, "a_factor").collect()} == {"a": 30, "b": 27}
+
+
+def test_nodes_that_no_arc_enters_take_no_part_in_the_levels(spark, monkeypatch):
+    nodes = [("hub", 10, 0), ("top", 20, 0), *[(f"leaf{i}", i, 0) for i in range(6)]]
+    edges = [("hub", "top", "full", 0), *[(f"leaf{i}", "hub", "full", 0) for i in range(6)]]
+    walked = []
+    best = graph_state._best
+
+    def watched(steps, cols):
+        walked.extend(r.x for r in steps.select("x").collect())
+        return best(steps, cols)
+
+    monkeypatch.setattr(graph_state, "_best", watched)
+    state = state_of(spark, nodes, edges, parts=1, depth=3)
+    changed = frames(spark, [("top", 50, 0)], [], WEIGHTS)
+    state = graph_state.update_inherited(state, *changed, "b")
+    assert set(walked) == {"hub"}
+    both(spark, state, *after(nodes, edges, [("top", 50, 0)], []), depth=3)

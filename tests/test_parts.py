@@ -172,3 +172,21 @@ def test_times_and_dates_as_keys(spark):
     change = lambda t, b: merge.merge_upsert(t, b, ["at", "day"])
     following = P.apply_batch(table, df.where("n = 3").withColumn("n", F.lit(99)), change, "b")
     assert following.read().where("n = 99").count() == 1 and following.read().count() == 19
+
+
+def test_a_part_is_written_by_several_tasks_and_its_files_have_right_bounds(spark):
+    name = "spark.sql.adaptive.coalescePartitions.enabled"
+    old = spark.conf.get(name)
+    spark.conf.set(name, "false")  # as if the tasks were too large to be put together
+    try:
+        table = P.create(spark.range(500), work_path(spark, "table"), ["id"], 1)
+    finally:
+        spark.conf.set(name, old)
+    assert 1 < len(table.files()) <= P.SLICES
+    for r in table.manifest.collect():
+        ids = [x.id for x in table.read([r.file]).collect()]
+        assert (r.rows, r.low.id, r.high.id) == (len(ids), min(ids), max(ids))
+    batch = spark.createDataFrame([(7,), (481,), (9000,)], "id long")
+    holding = {r.file for r in table.manifest.collect() if {7, 481} & {x.id for x in table.read([r.file]).collect()}}
+    assert holding <= set(P.touched_files(table, batch))
+    assert sorted(r.id for r in table.present(batch).collect()) == [7, 481]

@@ -6,7 +6,8 @@ each node, and the live edges twice, by the node that a step leaves (``out``) an
 A batch of changed nodes and edges is worked off level by level.  The best sum of k steps can only differ at nodes whose
 own arcs have changed, and at nodes with an arc to one whose best sum of k-1 steps has changed.  Just these are computed,
 from their arcs and the stored sums of the nodes behind them, and compared with what is stored; those that differ lead
-to the next level.  Only files of parts that hold such nodes, their arcs or the ends of these are opened, and only files
+to the next level.  Nodes that no arc enters lead nowhere: they are left out of the levels and get all their sums at
+once from the finished sums of the nodes behind them, when the state is made as well as in a batch.  Only files of parts that hold such nodes, their arcs or the ends of these are opened, and only files
 with nodes whose sums have changed are written anew.
 
 Defined results: an edge is known by both ends and its type, and lives if any of its rows in one batch does; edges whose
@@ -85,6 +86,25 @@ def _best(steps: DataFrame, cols: Sequence[str]) -> DataFrame:
     return steps.groupBy("x").agg(*totals).select("x", _sums(cols).alias("sums"))
 
 
+def _best_of_levels(arcs: DataFrame, ends: DataFrame, cols: Sequence[str], depth: int) -> DataFrame:
+    """``x`` and its best sums of 1 to ``depth`` steps, from the finished sums (``behind``, or null) of the ends of its arcs.
+
+    ``ends`` has one row per node, much fewer than the arcs, which therefore go unsorted past a hash table of it.
+    """
+    gains = {c: _gain(c) for c in cols}
+    steps = arcs.join(ends.hint("shuffle_hash"), "y").select(
+        "x",
+        *[
+            (gains[c] + (F.coalesce(F.get("behind", F.lit(k - 2))[c], _long(0)) if k > 1 else _long(0))).alias(f"{c}_{k}")
+            for k in range(1, depth + 1)
+            for c in cols
+        ],
+    )
+    best = steps.groupBy("x").agg(*[_capped(F.max(f)).alias(f) for f in steps.columns[1:]])
+    levels = [F.struct(*[F.col(f"{c}_{k}").alias(c) for c in cols]) for k in range(1, depth + 1)]
+    return best.select("x", F.array(*levels).alias("walked"))
+
+
 def create_state(
     nodes: DataFrame,
     edges: DataFrame,
@@ -97,12 +117,16 @@ def create_state(
 ) -> GraphState:
     """The state of a whole graph, from one computation of all levels."""
     cols = list(cols)
-    arcs = cut_lineage(_arc_rows(edges, edge_types, default_weight).where("live").drop("live"))
+    live = edges.where(F.col("deleted").isNull() & F.col("node_to").isNotNull() & F.col("node_from").isNotNull())
+    arcs = cut_lineage(_arc_rows(live, edge_types, default_weight).drop("live"))
     known = cut_lineage(_node_rows(nodes, cols))
-    gains = known.where("live").select(F.col("identifier").alias("y"), *cols)
-    steps = cut_lineage(arcs.join(gains, "y").select("x", "y", *[_gain(c).alias(f"{c}_gain") for c in cols]))
+    entered = arcs.select(F.col("y").alias("identifier")).distinct()
+    ends = known.where("live").join(entered, "identifier", "left_semi")
+    ends = cut_lineage(ends.select(F.col("identifier").alias("y"), *cols))
+    through = arcs.join(ends.select(F.col("y").alias("x")).hint("shuffle_hash"), "x", "left_semi")
+    steps = cut_lineage(through.join(ends, "y").select("x", "y", *[_gain(c).alias(f"{c}_gain") for c in cols]))
     levels: list[DataFrame] = []
-    for _ in range(depth):
+    for _ in range(depth - 1):
         if levels:
             onward = steps.join(levels[-1].select(F.col("x").alias("y"), F.col("sums").alias("onward")), "y", "left")
         else:
@@ -111,12 +135,18 @@ def create_state(
         # Sums only grow, so all further levels are like this one when it is like the one before.
         if len(levels) > 1 and levels[-1].join(levels[-2], ["x", "sums"], "left_anti").isEmpty():
             break
-    rows = reduce(DataFrame.unionByName, [v.withColumn("level", F.lit(k)) for k, v in enumerate(levels, 1)])
-    walked = rows.groupBy(F.col("x").alias("identifier")).agg(F.array_sort(F.collect_list(F.struct("level", "sums"))).alias("walked"))
-    last = len(levels)
+    if levels:
+        rows = reduce(DataFrame.unionByName, [v.withColumn("level", F.lit(k)) for k, v in enumerate(levels, 1)])
+        found = rows.groupBy(F.col("x").alias("y")).agg(F.map_from_entries(F.collect_list(F.struct("level", "sums"))).alias("_levels"))
+        behind = F.transform(F.sequence(F.lit(1), F.lit(len(levels))), lambda k: F.coalesce(F.element_at("_levels", k), _none(cols)))
+        ends = cut_lineage(ends.join(found, "y", "left").select("y", *cols, behind.alias("behind")))
+    else:
+        ends = ends.withColumn("behind", F.array(_none(cols)))
+    last = len(levels) + 1
+    walked = _best_of_levels(arcs, ends, cols, last).withColumnRenamed("x", "identifier")
     stored = F.transform(
         F.sequence(F.lit(1), F.lit(depth)),
-        lambda k: F.coalesce(F.element_at(F.col("walked"), F.least(k, F.lit(last)))["sums"], _none(cols)),
+        lambda k: F.coalesce(F.get("walked", F.least(k, F.lit(last)) - 1), _none(cols)),
     )
     table = known.join(walked, "identifier", "left").select("identifier", "live", *cols, stored.alias("sums"))
     return GraphState(
@@ -136,12 +166,28 @@ def _replace_arcs(rows: DataFrame, batch: DataFrame) -> DataFrame:
     return rows.join(batch, ARC, "left_anti").unionByName(batch.where("live").drop("live"))
 
 
-def _read_nodes(table: PartTable, changed: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Rows of the wanted nodes after the changes, with the sums stored before them (null for new nodes)."""
-    stored = table.lookup(wanted)
-    new = changed.join(wanted, "identifier", "left_semi")
-    old = stored.select("identifier", "sums")
-    return stored.drop("sums").join(new, "identifier", "left_anti").unionByName(new).join(old, "identifier", "left")
+def _read_nodes(table: PartTable, changed: DataFrame, wanted: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """Rows of the wanted nodes after the changes, with the sums stored before them (null for new nodes), and whether
+    they are ``changed``."""
+    values = ["live", *cols]
+    new = changed.join(wanted, "identifier", "left_semi").select("identifier", F.struct(*values).alias("_new"))
+    hit = F.col("_new").isNotNull()
+    rows = table.lookup(wanted).join(new, "identifier", "full_outer")
+    after = [F.when(hit, F.col(f"_new.{c}")).otherwise(F.col(c)).alias(c) for c in values]
+    return rows.select("identifier", *after, "sums", hit.alias("changed"))
+
+
+def _overlaid(rows: DataFrame, levels: Sequence[DataFrame], key: str, depth: int, cols: Sequence[str]) -> DataFrame:
+    """``rows`` with their stored ``sums``, in which those of the levels that differ take their places, as ``kept``."""
+    # At most one row per node and level.
+    found = reduce(DataFrame.unionByName, [v.select("x", "sums", F.lit(k).alias("level")) for k, v in enumerate(levels, 1)])
+    entries = F.map_from_entries(F.collect_list(F.struct("level", "sums"))).alias("_levels")
+    kept = F.transform(
+        F.sequence(F.lit(1), F.lit(depth)),
+        lambda k: F.coalesce(F.element_at("_levels", k), F.get("sums", k - 1), _none(cols)),
+    )
+    found = found.groupBy(F.col("x").alias(key)).agg(entries)
+    return rows.join(found, key, "left").withColumn("kept", kept).withColumn("moved", F.col("_levels").isNotNull())
 
 
 def update_inherited(
@@ -167,49 +213,70 @@ def update_inherited(
     entered = into.lookup(changed.select(F.col("identifier").alias("y"))).select("x")
     seeds = cut_lineage(arcs.select("x").union(entered).union(changed.select("identifier")).distinct())
 
+    def passing(nodes: DataFrame) -> DataFrame:
+        """Those that some arc enters."""
+        return into.present(nodes.select(F.col("x").alias("y"))).select(F.col("y").alias("x"))
+
+    hubs = cut_lineage(passing(seeds))
+    asked: DataFrame | None = None  # nodes whose arcs into them have been read
+    before: list[DataFrame] = []  # these arcs
+    before_hubs: list[DataFrame] = []  # those of them that leave nodes which an arc enters
     gathered: DataFrame | None = None  # nodes whose arcs have been read
     steps: list[DataFrame] = []  # their arcs with gains and the stored sums behind them
     own: list[DataFrame] = []  # their own rows
     levels: list[DataFrame] = []  # sums that differ from the stored ones, by level
     for level in range(1, depth + 1):
-        candidates = fresh = seeds
+        candidates = fresh = hubs
         # Only a live node passes on what it has.
         moved = levels[-1].where("live").select(F.col("x").alias("y")) if levels else None
         if moved is not None and not moved.isEmpty():
-            candidates = cut_lineage(seeds.union(into.lookup(moved).select("x")).distinct())
+            unasked = moved if asked is None else cut_lineage(moved.join(asked, "y", "left_anti"))
+            if not unasked.isEmpty():
+                before.append(cut_lineage(into.lookup(unasked).select("x", "y")))
+                before_hubs.append(cut_lineage(before[-1].join(passing(before[-1].select("x")), "x", "left_semi")))
+                asked = unasked if asked is None else asked.union(unasked)
+            ahead = reduce(DataFrame.unionByName, before_hubs).join(moved, "y", "left_semi")
+            candidates = cut_lineage(hubs.union(ahead.select("x")).distinct())
             fresh = cut_lineage(candidates.join(gathered, "x", "left_anti"))
-        if gathered is None or (candidates is not seeds and not fresh.isEmpty()):
-            rows = cut_lineage(_read_nodes(state.nodes, changed, fresh.select(F.col("x").alias("identifier"))))
+        if gathered is None or (candidates is not hubs and not fresh.isEmpty()):
+            rows = cut_lineage(_read_nodes(state.nodes, changed, fresh.select(F.col("x").alias("identifier")), cols))
             leaving = cut_lineage(out.lookup(rows.select(F.col("identifier").alias("x"))))
-            ends = _read_nodes(state.nodes, changed, leaving.select(F.col("y").alias("identifier")).distinct()).where("live")
+            ends = leaving.select(F.col("y").alias("identifier")).distinct()
+            ends = _read_nodes(state.nodes, changed, ends, cols).where("live").drop("changed")
             ends = ends.withColumnsRenamed({"identifier": "y", "sums": "stored"})
             found = leaving.join(ends, "y").select("x", "y", "stored", *[_gain(c).alias(f"{c}_gain") for c in cols])
             steps.append(cut_lineage(found))
-            own.append(rows.select(F.col("identifier").alias("x"), "live", "sums"))
+            own.append(rows.withColumnRenamed("identifier", "x"))
             gathered = fresh if gathered is None else gathered.union(fresh)
         walked = reduce(DataFrame.unionByName, steps).join(candidates, "x", "left_semi")
-        before = F.col("stored")[level - 2] if level > 1 else _none(cols)
+        stored = F.col("stored")[level - 2] if level > 1 else _none(cols)
         if levels:
             new = levels[-1].select(F.col("x").alias("y"), F.col("sums").alias("_new"))
-            walked = walked.join(new, "y", "left").withColumn("onward", F.coalesce("_new", before))
+            walked = walked.join(new, "y", "left").withColumn("onward", F.coalesce("_new", stored))
         else:
-            walked = walked.withColumn("onward", before)
+            walked = walked.withColumn("onward", stored)
         computed = _best(walked, cols).withColumnRenamed("sums", "_sums")
         mine = reduce(DataFrame.unionByName, own).join(candidates, "x", "left_semi")
         mine = mine.join(computed, "x", "left").withColumn("_sums", F.coalesce("_sums", _none(cols)))
         differ = mine.where(~F.col("_sums").eqNullSafe(F.col("sums")[level - 1]))
         levels.append(cut_lineage(differ.select("x", "live", F.col("_sums").alias("sums"))))
 
-    # At most one row per node and level.
-    rows = reduce(DataFrame.unionByName, [v.select("x", "sums", F.lit(k).alias("level")) for k, v in enumerate(levels, 1)])
-    entries = F.map_from_entries(F.collect_list(F.struct("level", "sums"))).alias("_levels")
-    moved = cut_lineage(rows.groupBy(F.col("x").alias("identifier")).agg(entries))
-    touched = moved.select("identifier").union(changed.select("identifier")).distinct()
-    batch = _read_nodes(state.nodes, changed, touched).join(moved, "identifier", "left")
-    kept = F.transform(
-        F.sequence(F.lit(1), F.lit(depth)),
-        lambda k: F.coalesce(F.element_at("_levels", k), F.get("sums", k - 1), _none(cols)),
-    )
-    batch = batch.select("identifier", "live", *cols, kept.alias("sums"))
+    result = ["identifier", "live", *cols, F.col("kept").alias("sums")]
+    hub_rows = reduce(DataFrame.unionByName, own).withColumnRenamed("x", "identifier")
+    batch = _overlaid(hub_rows, levels, "identifier", depth, cols).where("moved OR changed").select(*result)
+
+    # Nodes that no arc enters, all levels at once.
+    reached = reduce(DataFrame.union, [seeds, *[b.select("x") for b in before]]).distinct()
+    leaves = cut_lineage(reached.join(reduce(DataFrame.union, [hubs, *[b.select("x") for b in before_hubs]]), "x", "left_anti"))
+    if not leaves.isEmpty():
+        leaving = cut_lineage(out.lookup(leaves))
+        ends = leaving.select(F.col("y").alias("identifier")).distinct()
+        ends = _read_nodes(state.nodes, changed, ends, cols).where("live").withColumnRenamed("identifier", "y")
+        ends = cut_lineage(_overlaid(ends, levels, "y", depth, cols).select("y", *cols, F.col("kept").alias("behind")))
+        walked = _best_of_levels(leaving, ends, cols, depth).withColumnRenamed("x", "identifier")
+        rows = _read_nodes(state.nodes, changed, leaves.select(F.col("x").alias("identifier")), cols)
+        nothing = F.transform(F.sequence(F.lit(1), F.lit(depth)), lambda _: _none(cols))
+        rows = rows.join(walked, "identifier", "left").withColumn("kept", F.coalesce("walked", nothing))
+        batch = batch.unionByName(rows.where(F.col("changed") | ~F.col("kept").eqNullSafe(F.col("sums"))).select(*result))
     nodes = apply_batch(state.nodes, batch, lambda t, b: merge_upsert(t, b, ["identifier"]), batch_id)
     return GraphState(nodes, out, into)

@@ -76,15 +76,16 @@ def latest_apart(
     return df.withColumn("_number", number).withColumn("_rank", first).where("_rank = 1").drop("_rank", "_number")
 
 
-def require_unique(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+def require_unique(df: DataFrame, keys: Sequence[str], together: Sequence[str] = ()) -> DataFrame:
     """``df`` unchanged; the job fails when a key occurs twice.  Rows without a key pass.
 
-    The check runs on the partitioning and sort order that a following join on the same columns needs anyway.
+    The check runs on the partitioning and sort order that a following join on the same columns needs anyway, or on
+    ``together``: the keys and columns that they decide, in the order by which the rows are sorted next.
     """
     message = F.concat(F.lit("a key occurs twice in one batch: "), F.to_json(F.struct(*keys)))
     single = (F.col("_position") == 1) | ~has_key(keys)
     first = F.when(single, True).otherwise(F.raise_error(message).cast("boolean"))
-    together = [*keys, APART] if APART in df.columns else list(keys)
+    together = list(together) or ([*keys, APART] if APART in df.columns else list(keys))
     position = F.row_number().over(Window.partitionBy(*together).orderBy(*together))
     return df.withColumn("_position", position).where(first).drop("_position")
 

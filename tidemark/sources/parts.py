@@ -2,7 +2,8 @@
 
 A row belongs to the part that the hash of its key gives.  Below the table's folder lie
 
-* ``data/<write>/_part=<n>/``: files of rows, sorted by key;
+* ``data/<write>/_part=<n>/``: files of rows, sorted by key; a part of a large table is written by several tasks, whose
+  files overlap;
 * ``blooms/<write>/_part=<n>/``: for each file a blocked Bloom filter of its keys, one row per 64-bit word;
 * ``versions/<n>/``: ``files`` (the manifest: one row per file with its rows, lowest and highest key and a digest of its
   rows), ``tree`` (digests over parts, see :mod:`tidemark.operators.snapshot_tree`) and ``about``.
@@ -32,13 +33,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.operators.keys import has_key, require_unique, spread
+from tidemark.operators.keys import has_key, require_unique
 from tidemark.operators.merge import comparable
 from tidemark.operators.snapshot_tree import tree_of
 from tidemark.session import cut_lineage
 
 PART = "_part"
-FILE_ROWS = 5_000_000  # rows of a file; a part with more has several, which its sorted keys divide
+SLICE = "_slice"
+SLICES = 4  # tasks that write a part of a large table, each a file or more of it
+FILE_ROWS = 5_000_000  # rows of a file; what a task has more of a part goes to several, which its sorted keys divide
 KEY_BITS = 10  # bits of a Bloom filter for each key
 WORD = 64
 PROBES = 4  # bits of a key, all in one word
@@ -85,8 +88,15 @@ class PartTable:
     def lookup(self, wanted: DataFrame) -> DataFrame:
         """Rows whose ``by`` columns are those of a row of ``wanted``; files of other parts are not opened."""
         wanted = cut_lineage(_typed(wanted, self.by, self.schema).where(has_key(self.by)).distinct())
-        parts = [r[0] for r in wanted.select(part_of(self.by, self.parts)).distinct().collect()]
-        return self.read(self.files(parts)).join(wanted, list(self.by), "left_semi")
+        return self._in_parts_of(wanted).join(wanted, list(self.by), "left_semi")
+
+    def present(self, wanted: DataFrame) -> DataFrame:
+        """The ``by`` columns of ``wanted`` that some row has, once; files of other parts are not opened."""
+        wanted = cut_lineage(_typed(wanted, self.by, self.schema).where(has_key(self.by)).distinct())
+        return wanted.join(self._in_parts_of(wanted).select(*self.by).distinct(), list(self.by), "left_semi")
+
+    def _in_parts_of(self, wanted: DataFrame) -> DataFrame:
+        return self.read(self.files([r[0] for r in wanted.select(part_of(self.by, self.parts)).distinct().collect()]))
 
 
 def _numbers(spark: SparkSession, parts: Sequence[int]) -> DataFrame:
@@ -173,37 +183,49 @@ def create(
     file_rows: int = FILE_ROWS,
 ) -> PartTable:
     """Write ``df`` as version 0 of a new table.  ``parts`` decides what the smallest read is, and never changes."""
-    rows = require_unique(spread(df, keys), keys).select(*df.columns)
     table = PartTable(df.sparkSession, path, -1, tuple(keys), tuple(by or keys), parts, df.schema.toNullable())
-    return _commit(table, _written(table, rows, file_rows), None, "")
+    return _commit(table, _written(table, df, file_rows, check=True), None, "")
 
 
-def _written(table: PartTable, rows: DataFrame, file_rows: int) -> DataFrame:
-    """Write rows and the Bloom filters of their files; the entries of the manifest, read back from the files."""
-    spark, write = table.spark, uuid.uuid4().hex
-    placed = _complete(rows, table.keys).withColumn(PART, part_of(table.by, table.parts))
-    dealt = placed.repartition(F.col(PART)).sortWithinPartitions(PART, *table.keys)
+def _written(table: PartTable, rows: DataFrame, file_rows: int, check: bool = False) -> DataFrame:
+    """Write rows and the Bloom filters of their files; the entries of the manifest, read back from the files.
+
+    With ``check`` a key that occurs twice fails the job, by the sort that the files need anyway.
+    """
+    spark, write, keys = table.spark, uuid.uuid4().hex, table.keys
+    slices = F.pmod(F.xxhash64(*keys, F.lit("slice")), F.lit(SLICES))
+    placed = _complete(rows, keys).withColumn(PART, part_of(table.by, table.parts)).withColumn(SLICE, slices)
+    dealt = placed.repartition(F.col(PART), F.col(SLICE))
+    if check:
+        dealt = require_unique(dealt, keys, [PART, *keys, SLICE])
+    dealt = dealt.sortWithinPartitions(PART, *keys).drop(SLICE)
     dealt.write.option("maxRecordsPerFile", file_rows).partitionBy(PART).parquet(f"{table.path}/data/{write}")
     stored = spark.read.schema(T.StructType([*table.schema.fields, T.StructField(PART, T.IntegerType())]))
+    # A task's files in several parts share a name.
     stored = stored.parquet(f"{table.path}/data/{write}")
-    name = F.concat(F.lit(f"{write}/{PART}="), F.col(PART).cast("string"), F.lit("/"), F.col("_metadata.file_name"))
-    key = F.struct(*table.keys)
+    stored = stored.withColumn("_name", F.col("_metadata.file_name")).withColumn("_row", F.col("_metadata.row_index"))
     row = hashable(table.schema)
-    entries = cut_lineage(
-        stored.withColumn("file", name)
-        .groupBy(PART, "file")
-        .agg(
-            F.count("*").alias("rows"),
-            F.min(key).alias("low"),
-            F.max(key).alias("high"),
+    counted = cut_lineage(
+        stored.groupBy(PART, "_name").agg(
+            F.count("*").alias("_rows"),
             *(F.bit_xor(F.xxhash64(F.lit(side), *row)).alias(side) for side in ("digest1", "digest2")),
         )
-        .withColumn("words", F.greatest(F.lit(1), F.ceil(F.col("rows") * KEY_BITS / WORD)))
+        .withColumn("_words", F.greatest(F.lit(1), F.ceil(F.col("_rows") * KEY_BITS / WORD)))
+        .withColumn("_file", F.monotonically_increasing_id())
     )
-    with_words = stored.select(*table.keys, PART, name.alias("file"))
-    with_words = with_words.join(entries.select("file", "words"), "file")
-    filters = with_words.select(PART, "file", *_probe(table.keys, F.col("words")))
-    filters = filters.groupBy(PART, "file", "word").agg(F.bit_or("mask").alias("bits"))
+    # Files are sorted by key, so the first and the last row have the bounds.
+    key = F.struct(*keys)
+    ends = stored.select(*keys, PART, "_name", "_row").join(F.broadcast(counted.select(PART, "_name", "_rows")), [PART, "_name"])
+    ends = ends.where((F.col("_row") == 0) | (F.col("_row") == F.col("_rows") - 1))
+    bounds = ends.groupBy(PART, "_name").agg(F.min(key).alias("low"), F.max(key).alias("high"))
+    file = F.concat(F.lit(f"{write}/{PART}="), F.col(PART).cast("string"), F.lit("/"), F.col("_name")).alias("file")
+    entries = counted.join(bounds, [PART, "_name"]).withColumnsRenamed({"_rows": "rows", "_words": "words"})
+    entries = cut_lineage(entries.select(PART, file, "rows", "low", "high", "digest1", "digest2", "words"))
+    numbers = F.broadcast(counted.select(PART, "_name", "_words", "_file"))
+    with_words = stored.select(*keys, PART, "_name").join(numbers, [PART, "_name"])
+    filters = with_words.select("_file", *_probe(keys, F.col("_words")))
+    filters = filters.groupBy("_file", "word").agg(F.bit_or("mask").alias("bits"))
+    filters = filters.join(numbers, "_file").select(PART, file, "word", "bits")
     filters = filters.repartition(F.col(PART)).sortWithinPartitions(PART, "file", "word")
     filters.write.partitionBy(PART).parquet(f"{table.path}/blooms/{write}")
     return entries
